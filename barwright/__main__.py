@@ -25,7 +25,7 @@ def _arguments() -> argparse.Namespace:
     for sub in (gate, job("curate", dated=True)):
         sub.add_argument("--json-lines", action="store_true", help="landing holds a document per line")
     job("adjust", dated=False)
-    job("detect", dated=False)
+    job("detect", dated=False).add_argument("--since", help="compute only this day and later ones")
     job("stocks", dated=True).add_argument(
         "--formats", nargs="+", default=["avro", "parquet"], choices=["avro", "parquet"]
     )
@@ -53,7 +53,7 @@ def main() -> None:
     elif args.job == "adjust":
         adjust(spark, layout)
     elif args.job == "detect":
-        regimes = detect(spark, layout)
+        regimes = detect(spark, layout, args.since)
         newest_per_symbol_listing(regimes).show(truncate=False)
         regime_distribution(regimes).show(truncate=False)
     elif args.job == "stocks":

@@ -5,12 +5,10 @@ ratio and every dividend *raises* them by its yield, the event day included. Tha
 tables downstream are defined on; it is not the usual back-adjustment, which divides and lowers.
 """
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.operators.segments import running_totals_back
+from barwright.operators.segments import BAR_NO, number_bars
 
 BAR_KEY = ["symbol", "trade_date_market"]
 
@@ -83,12 +81,12 @@ def add_adjustment_factor(bars: DataFrame) -> DataFrame:
 
     ``cumulative_split_factor`` is the product of the ratios from the newest bar back (ratios
     that are not positive are left out), ``dividend_adjustment`` the sum of dividend yields,
-    ``adjustment_factor`` the first times one plus the second.
+    ``adjustment_factor`` the first times one plus the second. ``bar_no`` comes with them.
     """
     dividend_yield = F.when(
         F.col("close") > 0, F.col("dividend_amount") / F.col("close")
     ).otherwise(0.0)
-    totals = running_totals_back(
+    totals = number_bars(
         bars, {"_log_split": F.log("split_ratio"), "dividend_adjustment": dividend_yield}
     )
     return (
@@ -101,22 +99,29 @@ def add_adjustment_factor(bars: DataFrame) -> DataFrame:
     )
 
 
-def adjusted_ohlc(bars: DataFrame) -> DataFrame:
+def adjusted_ohlc(bars: DataFrame, *also: str) -> DataFrame:
     """Raw and adjusted prices; the volume stays as traded."""
-    prices: Sequence[str] = ("open", "high", "low", "close")
+    prices = ("open", "high", "low", "close")
     return bars.select(
         *BAR_KEY,
         *prices,
         *[(F.col(p) * F.col("adjustment_factor")).alias(f"adjusted_{p}") for p in prices],
         "volume",
         "adjustment_factor",
+        *also,
     )
 
 
-def adjust_prices(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Adjusted bars of all symbols in one plan; one row out per bar in."""
+def adjust_prices(
+    bars: DataFrame, splits: DataFrame, dividends: DataFrame, *, numbered: bool = False
+) -> DataFrame:
+    """Adjusted bars of all symbols in one plan; one row out per bar in.
+
+    ``numbered`` keeps ``bar_no``, for indicators computed in the same plan.
+    """
     needed = bars.select(*BAR_KEY, "open", "high", "low", "close", "volume")
-    return adjusted_ohlc(add_adjustment_factor(join_events(needed, splits, dividends)))
+    factors = add_adjustment_factor(join_events(needed, splits, dividends))
+    return adjusted_ohlc(factors, *([BAR_NO] if numbered else []))
 
 
 def unmatched_events(

@@ -4,7 +4,7 @@ The steps below add columns to a frame of bars given a window over one symbol. T
 functions run the steps they need with the look-back those need.
 """
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barwright.operators.segments import over_segments
@@ -108,3 +108,15 @@ def trend_indicators(bars: DataFrame, **segments) -> DataFrame:
     """
     steps = [_previous, _range, _average_range, _movement, _direction, _trend]
     return over_segments(bars, steps, 2 * PERIOD - 1, **segments)
+
+
+def look_back_from(bars: DataFrame, since: str, rows: int = 2 * PERIOD - 1) -> DataFrame:
+    """Bars from a day on, and the last ``rows`` bars of each symbol before it.
+
+    Enough to compute the indicators of the newer days; each map task passes on at most ``rows``
+    older bars per symbol.
+    """
+    day = F.col("trade_date_market")
+    newest_first = Window.partitionBy("symbol").orderBy(F.desc("trade_date_market"))
+    older = bars.filter(day < since).withColumn("_age", F.row_number().over(newest_first))
+    return bars.filter(day >= since).unionByName(older.filter(f"_age <= {rows}").drop("_age"))

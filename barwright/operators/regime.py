@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.columns import to_money
 from barwright.operators.indicators import trend_indicators
+from barwright.operators.segments import BAR_NO
 
 # Trend and volatility bounds, and the confidence by distance from the trend bound.
 TREND_ADX = 25
@@ -33,9 +34,10 @@ def regime_confidence(adx: Column) -> Column:
 
 
 def on_adjusted_prices(adjusted: DataFrame) -> DataFrame:
-    """Bars whose open, high, low and close are the adjusted ones."""
+    """Bars whose open, high, low and close are the adjusted ones, with ``bar_no`` if known."""
     prices = [F.col(f"adjusted_{p}").alias(p) for p in ("open", "high", "low", "close")]
-    return adjusted.select("symbol", "trade_date_market", *prices, "volume")
+    number = [name for name in adjusted.columns if name == BAR_NO]
+    return adjusted.select("symbol", "trade_date_market", *prices, "volume", *number)
 
 
 def classify(indicators: DataFrame) -> DataFrame:

@@ -18,63 +18,62 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1024
-_OWN = ("_slice", "_bar_no", "_segment", "_warm_up")
+BAR_NO = "bar_no"
+DAY = "trade_date_market"
 
 Step = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
 def _sliced(bars: DataFrame) -> DataFrame:
     # An undated bar sorts before all others, so its slice does too.
-    year = F.coalesce(F.year("trade_date_market"), F.lit(-1))
-    return bars.withColumn("_slice", year)
-
-
-def running_totals_back(bars: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
-    """Add sums from the newest bar of a symbol back to each bar, bars of the same day included."""
-    sliced = _sliced(bars)
-    here = Window.partitionBy("symbol", "_slice").orderBy(F.desc("trade_date_market"))
-    newer = (
-        Window.partitionBy("symbol")
-        .orderBy(F.desc("_slice"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    return bars.withColumn("_slice", F.coalesce(F.year(DAY), F.lit(-1)))
 
-    slice_sums = sliced.groupBy("symbol", "_slice").agg(
-        *[F.sum(value).alias(name) for name, value in totals.items()]
-    )
-    carried = slice_sums.select(
-        "symbol", "_slice", *[F.sum(name).over(newer).alias(f"_newer_{name}") for name in totals]
+
+def number_bars(
+    bars: DataFrame,
+    totals_back: Mapping[str, Column] | None = None,
+    *,
+    calendar: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``bar_no``, counting a symbol's bars from 0 at the oldest, and running totals.
+
+    ``totals_back`` maps names to expressions to be summed from the newest bar of the symbol
+    back to each bar, bars of the same day included. Without totals, ``calendar`` may stand in
+    for ``bars`` in counting the bars per year: any cheaper frame with the same symbols and days.
+    """
+    totals = dict(totals_back or {})
+    symbol = Window.partitionBy("symbol")
+    to_here = symbol.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    newer = symbol.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    newest_first = Window.partitionBy("symbol", "_slice").orderBy(F.desc(DAY))
+
+    counted = _sliced(bars if totals or calendar is None else calendar)
+    slices = (
+        counted.groupBy("symbol", "_slice")
+        .agg(F.count("*").alias("_rows"), *[F.sum(v).alias(name) for name, v in totals.items()])
+        .select(
+            "symbol",
+            "_slice",
+            F.sum("_rows").over(to_here).alias("_rows_to_here"),
+            *[F.sum(name).over(newer).alias(f"_newer_{name}") for name in totals],
+        )
     )
-    local = sliced.withColumns({name: F.sum(value).over(here) for name, value in totals.items()})
-    # A sum over NULLs alone is NULL, as in a single window.
-    joined = local.join(carried, ["symbol", "_slice"], "left").withColumns(
+    local = _sliced(bars).withColumns(
         {
-            name: F.coalesce(
-                F.col(name) + F.col(f"_newer_{name}"), F.col(name), F.col(f"_newer_{name}")
-            )
-            for name in totals
+            "_row": F.row_number().over(newest_first),
+            **{name: F.sum(value).over(newest_first) for name, value in totals.items()},
         }
     )
-    return joined.select(*bars.columns, *totals)
 
+    def total(name: str) -> Column:
+        # A sum over NULLs alone is NULL, as in a single window.
+        here, carried = F.col(name), F.col(f"_newer_{name}")
+        return F.coalesce(here + carried, here, carried).alias(name)
 
-def _numbered(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Add the 0-based number of each bar within its symbol, oldest first."""
-    older = (
-        Window.partitionBy("symbol")
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    slice_rows = _sliced(calendar).groupBy("symbol", "_slice").agg(F.count("*").alias("_rows"))
-    offsets = slice_rows.select(
-        "symbol", "_slice", F.coalesce(F.sum("_rows").over(older), F.lit(0)).alias("_rows_before")
-    )
-    here = Window.partitionBy("symbol", "_slice").orderBy("trade_date_market")
-    numbered = _sliced(bars).withColumn("_row", F.row_number().over(here))
-    return (
-        numbered.join(offsets, ["symbol", "_slice"], "left")
-        .withColumn("_bar_no", F.coalesce("_rows_before", F.lit(0)) + F.col("_row") - 1)
-        .drop("_row", "_rows_before")
+    return local.join(slices, ["symbol", "_slice"], "left").select(
+        *bars.columns,
+        *[total(name) for name in totals],
+        (F.col("_rows_to_here") - F.col("_row")).alias(BAR_NO),
     )
 
 
@@ -88,22 +87,21 @@ def over_segments(
 ) -> DataFrame:
     """Run window steps over segments; each bar sees up to ``look_back`` earlier bars.
 
-    A step takes the frame and the window to use (symbol in date order) and adds columns.
-    ``calendar`` may be any cheaper frame with the same (``symbol``, ``trade_date_market``)
-    rows as ``bars``; only its rows per year are counted.
+    A step takes the frame and the window to use (a symbol in date order) and adds columns.
+    Bars that carry ``bar_no`` already are not numbered again.
     """
     if look_back >= segment_rows:
         raise ValueError("a segment must be longer than the look-back")
-    number = F.col("_bar_no")
-    segment = F.floor(number / segment_rows)
-    is_tail = number % segment_rows >= segment_rows - look_back
-    copies = F.when(is_tail, F.array(segment, segment + 1)).otherwise(F.array(segment))
+    numbered = bars if BAR_NO in bars.columns else number_bars(bars, calendar=calendar)
 
-    seg = _numbered(bars, bars if calendar is None else calendar)
-    seg = seg.withColumn("_segment", F.explode(copies))
-    seg = seg.withColumn("_warm_up", F.col("_segment") > segment)
+    segment = F.floor(F.col(BAR_NO) / segment_rows)
+    is_tail = F.col(BAR_NO) % segment_rows >= segment_rows - look_back
+    copies = F.when(is_tail, F.array(segment, segment + 1)).otherwise(F.array(segment))
+    seg = numbered.withColumn("_segment", F.explode(copies)).withColumn(
+        "_warm_up", F.col("_segment") > segment
+    )
 
-    in_order = Window.partitionBy("symbol", "_segment").orderBy("_bar_no")
+    in_order = Window.partitionBy("symbol", "_segment").orderBy(BAR_NO)
     for step in steps:
         seg = step(seg, in_order)
-    return seg.filter(~F.col("_warm_up")).drop(*_OWN)
+    return seg.filter(~F.col("_warm_up")).drop("_segment", "_warm_up", BAR_NO)

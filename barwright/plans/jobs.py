@@ -9,12 +9,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from barwright import schemas
 from barwright.operators import curate as curation
 from barwright.operators import quality
 from barwright.operators.actions import adjust_prices, latest_events
+from barwright.operators.indicators import look_back_from
 from barwright.operators.regime import detect_regimes, on_adjusted_prices
 from barwright.sinks import (
     append_new,
@@ -160,10 +162,20 @@ def adjust(spark: SparkSession, layout: Layout) -> None:
     overwrite_table(adjusted, layout.curated("ohlcv_adjusted"), ["trade_date_market"])
 
 
-def detect(spark: SparkSession, layout: Layout) -> DataFrame:
-    """``ohlcv_adjusted`` to ``regime``; returns the written table for reports on it."""
+def detect(spark: SparkSession, layout: Layout, since: str | None = None) -> DataFrame:
+    """``ohlcv_adjusted`` to ``regime``; returns the written table for reports on it.
+
+    With ``since``, only that day and later ones are computed and replaced. That is enough as
+    long as no split or dividend changed the adjusted prices of earlier days.
+    """
     adjusted = read_table(spark, layout.curated("ohlcv_adjusted"), schemas.OHLCV_ADJUSTED)
-    regimes = detect_regimes(on_adjusted_prices(adjusted))
+    bars = on_adjusted_prices(adjusted)
+    if since is None:
+        regimes = detect_regimes(bars)
+    else:
+        regimes = detect_regimes(look_back_from(bars, since)).filter(
+            F.col("trade_date_market") >= since
+        )
     overwrite_partitions(regimes, layout.curated("regime"), ["trade_date_market"])
     return read_table(spark, layout.curated("regime"), schemas.REGIME)
 

@@ -316,6 +316,8 @@ ORACLE = {
         FROM regimes GROUP BY regime ORDER BY count DESC""",
     "regime_latest20": _REGIMES
     + "SELECT * FROM regimes ORDER BY symbol, trade_date_market DESC LIMIT 20",
+    "regime_since": _REGIMES
+    + "SELECT * FROM regimes WHERE trade_date_market >= DATE '2001-01-01'",
     "adjusted_regime": _ADJUSTED_REGIMES + "SELECT * FROM regimes",
     "distinct_symbols": _with(BARS) + "SELECT DISTINCT symbol FROM bars",
     "layer_counts": _with(BARS, SPLITS, DIVIDENDS)

@@ -445,9 +445,15 @@ def regime_latest20(spark, sf_dir):
 @query
 def adjusted_regime(spark, sf_dir):
     """Bars and events to regimes in one plan."""
-    bars, splits, dividends = _three(spark, sf_dir)
-    adjusted = actions.adjust_prices(bars, splits, dividends)
-    return regime.detect_regimes(regime.on_adjusted_prices(adjusted), calendar=bars)
+    adjusted = actions.adjust_prices(*_three(spark, sf_dir), numbered=True)
+    return regime.detect_regimes(regime.on_adjusted_prices(adjusted))
+
+
+@query
+def regime_since(spark, sf_dir):
+    """Regimes from 2001 on, computed from those bars and the look-back before them."""
+    bars = indicators.look_back_from(t.bars(spark, sf_dir), "2001-01-01")
+    return regime.detect_regimes(bars).filter(F.col("trade_date_market") >= "2001-01-01")
 
 
 # --- quality -------------------------------------------------------------------------------

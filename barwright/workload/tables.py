@@ -47,15 +47,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The trade number with the price in the low eleven bits: its minimum is the first trade of
     # the day and its maximum the last, in a plain numeric aggregate.
     trade = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2048 + price
-    spread_up, spread_down = F.round(F.col("l_tax") * 100), F.round(F.col("l_discount") * 100)
+    spread_up, spread_down = (F.floor(F.col(c) * 100 + 0.5) for c in ("l_tax", "l_discount"))
     trades = table(spark, sf_dir, "lineitem").select(
         "l_suppkey",
         F.col("l_shipdate").cast("date").alias(DAY),
         F.col("l_quantity").alias("quantity"),
         price.cast("double").alias("price"),
         trade.alias("trade"),
-        (price + spread_up).alias("top"),
-        (price - spread_down).alias("bottom"),
+        (price + spread_up).cast("double").alias("top"),
+        (price - spread_down).cast("double").alias("bottom"),
     )
     daily = trades.groupBy("l_suppkey", DAY).agg(
         (F.min("trade") % 2048).cast("double").alias("open"),

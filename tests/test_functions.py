@@ -1,0 +1,134 @@
+"""Scalar columns, against hand-computed values."""
+
+from datetime import date, datetime, timezone
+from decimal import Decimal
+from zoneinfo import ZoneInfo
+
+import pytest
+from pyspark.sql import functions as F
+
+from barwright.functions import columns, dates
+
+
+def one(spark, expression):
+    return spark.range(1).select(expression.alias("x")).first().x
+
+
+MS = 1704164400000  # 2024-01-02 03:00 UTC
+
+
+@pytest.mark.parametrize(
+    "zone, expected",
+    [
+        ("US/Eastern", date(2024, 1, 1)),
+        ("Asia/Kolkata", date(2024, 1, 2)),
+        ("Europe/Paris", date(2024, 1, 1)),
+        (None, date(2024, 1, 1)),
+    ],
+)
+def test_market_date(spark, session_zone, zone, expected):
+    assert one(spark, dates.market_date(F.lit(MS), F.lit(zone))) == expected
+
+
+def test_market_date_follows_the_zone_rules_all_year(spark, session_zone):
+    hours = range(1_704_067_200, 1_704_067_200 + 366 * 86_400, 6 * 3600)
+    frame = spark.createDataFrame([(h * 1000,) for h in hours], "ms bigint")
+    rows = frame.select(
+        "ms",
+        dates.market_date("ms", F.lit("Asia/Kolkata")).alias("india"),
+        dates.market_date("ms", F.lit("US/Eastern")).alias("us"),
+    ).collect()
+    for row in rows:
+        at = datetime.fromtimestamp(row.ms / 1000, timezone.utc)
+        assert row.india == at.astimezone(ZoneInfo("Asia/Kolkata")).date()
+        assert row.us == at.astimezone(ZoneInfo("America/New_York")).date()
+
+
+@pytest.mark.parametrize(
+    "ms, expected",
+    [(MS, date(2024, 1, 2)), (0, date(1970, 1, 1)), (-1, date(1969, 12, 31)), (None, None)],
+)
+def test_utc_date(spark, session_zone, ms, expected):
+    assert one(spark, dates.utc_date(F.lit(ms).cast("bigint"))) == expected
+
+
+def test_dates_from_text(spark, ansi):
+    assert one(spark, dates.parse_date(F.lit("2024-03-08"))) == date(2024, 3, 8)
+    assert one(spark, dates.parse_date(F.lit("zz"))) is None
+    assert one(spark, dates.parse_date(F.lit("2024-03-08"), "yyyy-MM-dd")) == date(2024, 3, 8)
+    assert one(spark, dates.parse_date(F.lit("08/03/2024"), "yyyy-MM-dd")) is None
+
+
+@pytest.mark.parametrize(
+    "symbol, zone",
+    [
+        ("RELIANCE.NS", "Asia/Kolkata"),
+        ("TCS.BO", "Asia/Kolkata"),
+        ("AAPL", "US/Eastern"),
+        (".NSX", "US/Eastern"),
+        ("ANS", "US/Eastern"),
+    ],
+)
+def test_market_zone(spark, symbol, zone):
+    assert one(spark, dates.market_zone(F.lit(symbol))) == zone
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [("120", 120), (" 120 ", 120), ("12.7", 12), ("-12.7", -12), ("12.", 12), ("x", None), ("1x", None), (None, None)],
+)
+def test_whole_numbers_from_text(spark, ansi, text, expected):
+    assert one(spark, columns.to_whole(F.lit(text).cast("string"))) == expected
+
+
+def test_doubles_from_text(spark, ansi):
+    assert one(spark, columns.to_double(F.lit("1.2e3"))) == 1200.0
+    assert one(spark, columns.to_double(F.lit("n/a"))) is None
+
+
+def test_money(spark, ansi):
+    assert one(spark, columns.to_money(F.lit(1.005))) == Decimal("1.01")
+    assert one(spark, columns.to_money(F.lit(-1.005))) == Decimal("-1.01")
+    assert one(spark, columns.to_money(F.lit(99999999.99))) == Decimal("99999999.99")
+    assert one(spark, columns.to_money(F.lit(1e8))) is None
+
+
+def test_ratios(spark, ansi):
+    assert one(spark, columns.split_ratio(F.lit(1.0), F.lit(2.0))) == 2.0
+    assert one(spark, columns.split_ratio(F.lit(0.0), F.lit(2.0))) is None
+    assert one(spark, columns.return_pct(F.lit(100.0), F.lit(105.0))) == 0.05
+    assert one(spark, columns.return_pct(F.lit(0.0), F.lit(105.0))) is None
+
+
+@pytest.mark.parametrize(
+    "number, key",
+    [
+        (15976523425, "3):Qhb"),
+        (0, "0"),
+        (83, "]"),
+        (84, "10"),
+        (9223372036854775807, "iO??End<I7"),
+        (-1, None),
+        (None, None),
+    ],
+)
+def test_short_key_base_84(spark, ansi, number, key):
+    assert one(spark, columns.short_key(F.lit(number).cast("bigint"), 84)) == key
+
+
+@pytest.mark.parametrize("base", [2, 10, 36, 62, 84, 90])
+def test_short_key_decodes(spark, base):
+    numbers = [0, 1, base - 1, base, base**3 + 1, 2**53 + 1, 2**63 - 1]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n bigint")
+    for row in frame.select("n", columns.short_key("n", base).alias("k")).collect():
+        value = 0
+        for char in row.k:
+            value = value * base + columns.DIGITS.index(char)
+        assert value == row.n
+        assert row.n == 0 or row.k[0] != "0"
+
+
+@pytest.mark.parametrize("base", [0, 1, 91])
+def test_short_key_rejects_other_bases(base):
+    with pytest.raises(ValueError):
+        columns.short_key("n", base)
