@@ -17,10 +17,12 @@ def read_table(
 ) -> DataFrame:
     """A table, or only the named columns of it, under a fixed schema.
 
-    The schema also types the partition columns, so a symbol such as ``0700`` stays text.
+    The schema also types the partition columns, so a symbol such as ``0700`` stays text, and
+    sets the column order, which otherwise puts them last.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     table = spark.read.schema(schema).format(fmt).options(**options).load(path)
-    return table.select(*columns) if columns else table
+    return table.select(*(columns or schema.names))
 
 
 def read_or_empty(

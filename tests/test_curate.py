@@ -1,0 +1,119 @@
+"""Landed documents to typed tables."""
+
+import json
+from datetime import date, datetime
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from barwright import schemas
+from barwright.operators import curate
+from barwright.sources import landing_path, read_landing, read_stock_documents
+
+RUN = "2024-01-02"
+MS = 1704164400000
+
+
+def stamp():
+    return F.lit("2024-01-03 03:00:00").cast("timestamp")
+
+
+def drop_document(base, endpoint, symbol, payload, zone="US/Eastern"):
+    """One pretty-printed document per symbol, as a fetcher leaves them."""
+    folder = base / endpoint / f"ingestion_date={RUN}"
+    folder.mkdir(parents=True, exist_ok=True)
+    document = {
+        "symbol": symbol,
+        "source": "polygon",
+        "endpoint_type": endpoint,
+        "ingestion_timestamp": "2024-01-02T03:00:00.000000Z",
+        "execution_date": RUN,
+        "market_timezone": zone,
+        "payload": payload,
+    }
+    (folder / f"{symbol}.json").write_text(json.dumps(document, indent=2))
+
+
+def test_bars(spark, tmp_path, ansi):
+    whole = {"t": MS, "o": 10, "h": 12, "l": 9, "c": 11, "v": 1000, "vw": 10, "n": 7}
+    fraction = {"t": float(MS), "o": 1.5, "h": 2.5, "l": 1.0, "c": 2.0, "v": 1.2e7, "vw": 1.75, "n": 3.0}
+    drop_document(tmp_path, "daily_ohlcv", "AAPL", {"resultsCount": 1, "results": [whole]})
+    drop_document(tmp_path, "daily_ohlcv", "TCS.NS", {"results": [fraction]}, "Asia/Kolkata")
+    drop_document(tmp_path, "daily_ohlcv", "NONE", {"resultsCount": 0})
+    drop_document(tmp_path, "daily_ohlcv", "EMPTY", {"results": []})
+    bars = curate.curate_ohlcv(read_landing(spark, str(tmp_path), "daily_ohlcv", RUN))
+    assert [f.dataType for f in bars.schema] == [f.dataType for f in schemas.OHLCV]
+    assert bars.columns == schemas.OHLCV.names
+    assert {tuple(r) for r in bars.collect()} == {
+        ("AAPL", date(2024, 1, 1), date(2024, 1, 2), 10.0, 12.0, 9.0, 11.0, 1000.0, 10.0, 7, MS, "polygon"),
+        ("TCS.NS", date(2024, 1, 2), date(2024, 1, 2), 1.5, 2.5, 1.0, 2.0, 1.2e7, 1.75, 3, MS, "polygon"),
+    }
+
+
+def test_splits(spark, tmp_path, ansi):
+    results = [
+        {"id": "s1", "execution_date": "2020-08-31", "split_from": 1, "split_to": 4},
+        {"id": "s2", "execution_date": "zz", "split_from": 0, "split_to": 2},
+    ]
+    drop_document(tmp_path, "splits", "AAPL", {"results": results})
+    drop_document(tmp_path, "splits", "MSFT", {"results": []})
+    splits = curate.curate_splits(read_landing(spark, str(tmp_path), "splits", RUN), stamp())
+    assert [f.dataType for f in splits.schema] == [f.dataType for f in schemas.SPLITS]
+    assert {tuple(r)[:-1] for r in splits.collect()} == {
+        ("AAPL", "s1", date(2020, 8, 31), 1.0, 4.0, 4.0),
+        ("AAPL", "s2", None, 0.0, 2.0, None),
+    }
+    assert splits.first().ingestion_timestamp == datetime(2024, 1, 3, 3)
+
+
+def test_dividends(spark, tmp_path, ansi):
+    result = {
+        "id": "d1",
+        "cash_amount": 0.24,
+        "currency": "USD",
+        "declaration_date": "2023-11-02",
+        "ex_dividend_date": "2023-11-10",
+        "record_date": "2023-11-13",
+        "pay_date": "x",
+        "dividend_type": "CD",
+        "frequency": 4,
+        "ticker": "AAPL",
+    }
+    drop_document(tmp_path, "dividends", "AAPL", {"results": [result, {"id": "d2"}]})
+    dividends = curate.curate_dividends(read_landing(spark, str(tmp_path), "dividends", RUN), stamp())
+    assert dividends.columns == schemas.DIVIDENDS.names
+    assert [f.dataType for f in dividends.schema] == [f.dataType for f in schemas.DIVIDENDS]
+    assert {tuple(r)[:-1] for r in dividends.collect()} == {
+        ("AAPL", "d1", 0.24, "USD", date(2023, 11, 2), date(2023, 11, 10), date(2023, 11, 13), None, "CD", 4),
+        ("AAPL", "d2", None, None, None, None, None, None, None, None),
+    }
+
+
+def test_all_documents_empty(spark, tmp_path):
+    drop_document(tmp_path, "splits", "A", {"results": []})
+    drop_document(tmp_path, "splits", "B", {})
+    assert curate.curate_splits(read_landing(spark, str(tmp_path), "splits", RUN)).count() == 0
+
+
+def test_missing_directory(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        read_landing(spark, str(tmp_path), "daily_ohlcv", RUN)
+    none = read_landing(spark, str(tmp_path), "splits", RUN, required=False)
+    assert curate.curate_splits(none).collect() == []
+    assert landing_path("b", "splits", RUN) == "b/splits/ingestion_date=2024-01-02"
+
+
+def test_stocks(spark, tmp_path, ansi):
+    def day(open_, close, volume):
+        return {"1. open": open_, "2. high": "9", "3. low": "1", "4. close": close, "5. volume": volume}
+
+    document = {"IBM": day("2.0", "3.0", "100"), "0700": day("0", "1", "x"), "BAD": day("zz", "1", "7.9")}
+    (tmp_path / "stocks.json").write_text(json.dumps(document, indent=1))
+    stocks = curate.curate_stocks(read_stock_documents(spark, str(tmp_path / "stocks.json")), RUN)
+    assert [(f.name, f.dataType) for f in stocks.schema] == [(f.name, f.dataType) for f in schemas.STOCKS]
+    assert {tuple(r) for r in stocks.collect()} == {
+        ("IBM", 2.0, 9.0, 1.0, 3.0, 100, date(2024, 1, 2), 0.5),
+        ("0700", 0.0, 9.0, 1.0, 1.0, None, date(2024, 1, 2), None),
+        ("BAD", None, 9.0, 1.0, 1.0, 7, date(2024, 1, 2), None),
+    }

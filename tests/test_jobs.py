@@ -1,0 +1,191 @@
+"""The jobs end to end, through the layers on disk, each run twice."""
+
+import json
+import sys
+from datetime import date, timedelta
+from unittest import mock
+
+import pytest
+from helpers import by_symbol, random_bars
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+from test_curate import drop_document
+
+from barwright import __main__ as cli
+from barwright import plans, schemas
+from barwright.operators.quality import IncompleteLanding
+from barwright.plans import Layout
+from barwright.sinks import envelopes
+from barwright.sinks.files import Target
+from barwright.sources import read_table
+
+RUN = "2024-01-02"
+
+
+def ms(day):
+    return (day - date(1970, 1, 1)).days * 86_400_000 + 5 * 3_600_000
+
+
+def land_documents(base, histories, splits=None, dividends=None):
+    """One document per symbol and endpoint, bars of the whole history in one run."""
+    for symbol, history in histories.items():
+        results = [
+            {"t": ms(d), "o": o, "h": h, "l": l, "c": c, "v": v, "vw": c, "n": 1}
+            for _, d, o, h, l, c, v in history
+        ]
+        drop_document(base, "daily_ohlcv", symbol, {"results": results})
+        drop_document(base, "splits", symbol, {"results": (splits or {}).get(symbol, [])})
+        drop_document(base, "dividends", symbol, {"results": (dividends or {}).get(symbol, [])})
+
+
+def curated(spark, layout, table, schema):
+    return read_table(spark, layout.curated(table), schema)
+
+
+@pytest.fixture
+def market(spark, tmp_path):
+    layout = Layout(str(tmp_path))
+    histories = by_symbol(random_bars(51, {"AAPL": 40, "0700": 5}, gaps=(1, 1, 3)))
+    middle = histories["AAPL"][20][1]
+    split = {"id": "s", "execution_date": str(middle), "split_from": 1, "split_to": 2}
+    paid = {"id": "d", "cash_amount": 0.5, "ex_dividend_date": str(middle), "frequency": 4}
+    base = tmp_path / "landing" / "polygon"
+    land_documents(base, histories, {"AAPL": [split]}, {"AAPL": [paid]})
+    return layout, base, histories, middle
+
+
+def run_all(spark, layout):
+    plans.curate(spark, layout, RUN)
+    plans.adjust(spark, layout)
+    return plans.detect(spark, layout)
+
+
+def test_layers(spark, market):
+    layout, _, histories, middle = market
+    first = sorted(run_all(spark, layout).collect())
+    again = sorted(run_all(spark, layout).collect())
+    assert first == again and len(first) == 45
+    assert {r.symbol for r in first} == {"AAPL", "0700"}
+    # Two runs landed the same events: they are stored once.
+    assert curated(spark, layout, "splits", schemas.SPLITS).count() == 1
+    assert curated(spark, layout, "dividends", schemas.DIVIDENDS).count() == 1
+
+    close = {r[1]: r[5] for r in histories["AAPL"]}
+    for row in curated(spark, layout, "ohlcv_adjusted", schemas.OHLCV_ADJUSTED).collect():
+        early = row.symbol == "AAPL" and row.trade_date_market <= middle
+        want = 2 * (1 + 0.5 / close[middle]) if early else 1.0
+        assert row.adjustment_factor == pytest.approx(want)
+
+
+def test_missing_event_tables(spark, market, tmp_path):
+    layout, _, histories, _ = market
+    other = Layout(str(tmp_path / "other"))
+    base = tmp_path / "other" / "landing" / "polygon"
+    for row in histories["AAPL"][:3]:
+        result = {"t": ms(row[1]), "o": row[2], "h": row[3], "l": row[4], "c": row[5], "v": row[6]}
+        drop_document(base, "daily_ohlcv", "AAPL", {"results": [result]})
+    assert run_all(spark, other).count() == 1
+
+
+def test_missing_bars_stop_the_run(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        plans.curate(spark, Layout(str(tmp_path)), RUN)
+
+
+def test_corrected_split_wins(spark, market):
+    layout, base, histories, middle = market
+    plans.curate(spark, layout, RUN)
+    fixed = {"id": "s", "execution_date": str(middle), "split_from": 1, "split_to": 5}
+    land_documents(base, histories, {"AAPL": [fixed]})
+    plans.curate(spark, layout, RUN)
+    plans.adjust(spark, layout)
+    adjusted = curated(spark, layout, "ohlcv_adjusted", schemas.OHLCV_ADJUSTED)
+    close = {r[1]: r[5] for r in histories["AAPL"]}[middle]
+    first_day = histories["AAPL"][0][1]
+    row = adjusted.filter((F.col("symbol") == "AAPL") & (F.col("trade_date_market") == F.lit(first_day))).first()
+    assert row.adjustment_factor == pytest.approx(5 * (1 + 0.5 / close))
+
+
+def test_gate(spark, market):
+    layout, base, _, _ = market
+    symbols = spark.createDataFrame([("AAPL",), ("0700",)], "symbol string")
+    assert plans.check_landing(spark, layout, symbols, RUN).filter("succeeded").count() == 2
+    more = symbols.union(spark.createDataFrame([("MSFT",)], "symbol string"))
+    with pytest.raises(IncompleteLanding, match="MSFT: splits"):
+        plans.check_landing(spark, layout, more, RUN)
+
+
+def test_curating_without_the_gate_loses_a_day(spark, market, tmp_path):
+    """A later run with fewer symbols for a day replaces the whole day."""
+    layout, base, histories, _ = market
+    plans.curate(spark, layout, RUN)
+    before = curated(spark, layout, "ohlcv", schemas.OHLCV)
+    shared = {r[1] for r in histories["0700"]} & {r[1] for r in histories["AAPL"]}
+    assert shared and before.count() == 45
+    only = tmp_path / "landing" / "polygon" / "daily_ohlcv" / f"ingestion_date={RUN}"
+    (only / "AAPL.json").write_text("{}")
+    plans.curate(spark, layout, RUN)
+    left = curated(spark, layout, "ohlcv", schemas.OHLCV).filter("symbol = 'AAPL'")
+    assert not {r.trade_date_market for r in left.collect()} & shared
+
+
+def test_since(spark, market):
+    layout, _, histories, _ = market
+    full = sorted(run_all(spark, layout).collect())
+    since = histories["AAPL"][35][1]
+    assert sorted(plans.detect(spark, layout, str(since)).collect()) == full
+
+
+def test_land_twice(spark, tmp_path):
+    layout = Layout(str(tmp_path))
+    schema = "symbol string, id string, execution_date string, split_from double, split_to double"
+    splits = spark.createDataFrame([("A", "1", "2020-01-01", 1.0, 2.0)], schema)
+    asked = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    for _ in range(2):
+        plans.land(layout, RUN, {"splits": envelopes(splits, "splits", RUN, requested=asked)})
+    landed = spark.read.json(f"{layout.landing}/splits/ingestion_date={RUN}")
+    assert landed.count() == 2
+
+
+def test_stocks(spark, tmp_path):
+    layout = Layout(str(tmp_path))
+    document = tmp_path / "landing" / f"fact_date={RUN}"
+    document.mkdir(parents=True)
+    entry = {"1. open": "2", "2. high": "4", "3. low": "1", "4. close": "3", "5. volume": "10"}
+    (document / "stocks.json").write_text(json.dumps({"IBM": entry, "0700": entry}))
+    targets = {
+        "parquet": Target(layout.processed("parquet", RUN), ["date", "symbol"]),
+        "orc": Target(layout.processed("orc", RUN), ["date"]),
+    }
+    for _ in range(2):
+        plans.stocks(spark, layout, RUN, targets)
+    for fmt, target in targets.items():
+        rows = read_table(spark, target.path, schemas.STOCKS, fmt=fmt).collect()
+        assert sorted(tuple(r) for r in rows) == [
+            (s, 2.0, 4.0, 1.0, 3.0, 10, date(2024, 1, 2), 0.5) for s in ("0700", "IBM")
+        ]
+
+
+def test_contacts(spark, tmp_path):
+    """No database here: the frame handed to the writer is checked."""
+    (tmp_path / "c.csv").write_text("E-mail,Contact,Name\na,1,x\na,1,y\n,2,z\n,2,w\nb,1,v\n")
+    with mock.patch("barwright.plans.jobs.write_jdbc") as write:
+        plans.load_contacts(spark, str(tmp_path / "c.csv"), "jdbc:x", {"user": "u"})
+    frame, *rest = write.call_args.args
+    assert rest == ["jdbc:x", "POC", {"user": "u"}]
+    assert sorted((r["E-mail"] or "", r.Contact) for r in frame.collect()) == [("", "2"), ("a", "1"), ("b", "1")]
+
+
+def test_command_line(spark, market, capsys, tmp_path):
+    layout, _, _, _ = market
+    (tmp_path / "symbols.txt").write_text("AAPL\n0700\n")
+    for args in (
+        ["check-landing", "--base", layout.base, RUN, "--symbols", str(tmp_path / "symbols.txt")],
+        ["curate", "--base", layout.base, RUN],
+        ["adjust", "--base", layout.base],
+        ["detect", "--base", layout.base],
+    ):
+        with mock.patch.object(sys, "argv", ["barwright", *args]):
+            cli.main()
+    assert "avg_adx" in capsys.readouterr().out
+    assert curated(spark, layout, "regime", schemas.REGIME).count() == 45
