@@ -4,7 +4,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from barwright.operators.regime import newest_per_symbol_listing, regime_distribution
+from barwright.operators.quality import newest_first_listing
+from barwright.operators.regime import regime_distribution
 from barwright.plans import Layout, adjust, check_landing, curate, detect, load_contacts, stocks
 from barwright.plans.jobs import stock_targets
 
@@ -51,10 +52,11 @@ def main() -> None:
     elif args.job == "curate":
         curate(spark, layout, args.date, multi_line=not args.json_lines)
     elif args.job == "adjust":
-        adjust(spark, layout)
+        prices = adjust(spark, layout).drop("open", "high", "low", "volume")
+        newest_first_listing(prices).show(truncate=False)
     elif args.job == "detect":
         regimes = detect(spark, layout, args.since)
-        newest_per_symbol_listing(regimes).show(truncate=False)
+        newest_first_listing(regimes).show(truncate=False)
         regime_distribution(regimes).show(truncate=False)
     elif args.job == "stocks":
         targets = stock_targets(layout, args.date)

@@ -28,13 +28,6 @@ def _range(bars: DataFrame, w: WindowSpec) -> DataFrame:
     return bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), *gap_from_close))
 
 
-def _average_range(bars: DataFrame, w: WindowSpec) -> DataFrame:
-    atr = F.avg("tr").over(_trailing(w))
-    return bars.withColumn("atr_14", atr).withColumn(
-        "atr_pct", F.try_divide("atr_14", "close") * 100
-    )
-
-
 def _movement(bars: DataFrame, w: WindowSpec) -> DataFrame:
     up, down = F.col("up_move"), F.col("down_move")
 
@@ -49,11 +42,23 @@ def _movement(bars: DataFrame, w: WindowSpec) -> DataFrame:
     ).withColumns({"plus_dm": prevailing(up, down), "minus_dm": prevailing(down, up)})
 
 
+# The smoothed true range that the DIs are measured against is the ATR.
+SMOOTHED = {"atr_14": "tr", "smoothed_plus_dm": "plus_dm", "smoothed_minus_dm": "minus_dm"}
+
+
+def _smooth(bars: DataFrame, w: WindowSpec) -> DataFrame:
+    known = {name: of for name, of in SMOOTHED.items() if of in bars.columns}
+    return bars.withColumns({name: F.avg(of).over(_trailing(w)) for name, of in known.items()})
+
+
+def _range_percent(bars: DataFrame, w: WindowSpec) -> DataFrame:
+    return bars.withColumn("atr_pct", F.try_divide("atr_14", "close") * 100)
+
+
 def _direction(bars: DataFrame, w: WindowSpec) -> DataFrame:
-    means = {f"smoothed_{c}": F.avg(c).over(_trailing(w)) for c in ("plus_dm", "minus_dm", "tr")}
-    return bars.withColumns(means).withColumns(
+    return bars.withColumns(
         {
-            f"{side}_di": F.try_divide(f"smoothed_{side}_dm", "smoothed_tr") * 100
+            f"{side}_di": F.try_divide(f"smoothed_{side}_dm", "atr_14") * 100
             for side in ("plus", "minus")
         }
     )
@@ -87,7 +92,7 @@ def true_range(bars: DataFrame, **segments) -> DataFrame:
 
 def average_true_range(bars: DataFrame, **segments) -> DataFrame:
     """Add ``atr_14`` (simple mean of the true range) and ``atr_pct`` (of the close)."""
-    return over_segments(bars, [_previous, _range, _average_range], PERIOD, **segments)
+    return over_segments(bars, [_previous, _range, _smooth, _range_percent], PERIOD, **segments)
 
 
 def directional_movement(bars: DataFrame, **segments) -> DataFrame:
@@ -97,7 +102,7 @@ def directional_movement(bars: DataFrame, **segments) -> DataFrame:
 
 def directional_index(bars: DataFrame, **segments) -> DataFrame:
     """Add ``plus_di`` and ``minus_di``; NULL while the smoothed range is 0."""
-    steps = [_previous, _range, _movement, _direction]
+    steps = [_previous, _range, _movement, _smooth, _direction]
     return over_segments(bars, steps, PERIOD, **segments)
 
 
@@ -106,7 +111,7 @@ def trend_indicators(bars: DataFrame, **segments) -> DataFrame:
 
     A value rests on 14 DX, the first of them on 14 ranges, the first of those on one bar more.
     """
-    steps = [_previous, _range, _average_range, _movement, _direction, _trend]
+    steps = [_previous, _range, _movement, _smooth, _range_percent, _direction, _trend]
     return over_segments(bars, steps, 2 * PERIOD - 1, **segments)
 
 

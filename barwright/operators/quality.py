@@ -120,3 +120,8 @@ def union_providers(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         first = first.unionByName(other, allowMissingColumns=True)
     return first
+
+
+def newest_first_listing(daily: DataFrame, rows: int = 20) -> DataFrame:
+    """The first rows by symbol, newest day first: the report after a run."""
+    return daily.orderBy("symbol", F.desc("trade_date_market")).limit(rows)

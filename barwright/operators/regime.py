@@ -74,8 +74,3 @@ def regime_distribution(regimes: DataFrame) -> DataFrame:
         )
         .orderBy(F.desc("count"))
     )
-
-
-def newest_per_symbol_listing(regimes: DataFrame, rows: int = 20) -> DataFrame:
-    """The first rows by symbol, newest day first: the report printed after a run."""
-    return regimes.orderBy("symbol", F.desc("trade_date_market")).limit(rows)

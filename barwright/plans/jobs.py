@@ -150,8 +150,8 @@ def curate(
     )
 
 
-def adjust(spark: SparkSession, layout: Layout) -> None:
-    """``ohlcv`` with ``splits`` and ``dividends`` to ``ohlcv_adjusted``."""
+def adjust(spark: SparkSession, layout: Layout) -> DataFrame:
+    """``ohlcv`` with ``splits`` and ``dividends`` to ``ohlcv_adjusted``; returns what was written."""
     columns = ["symbol", "trade_date_market", "open", "high", "low", "close", "volume"]
     bars = read_table(spark, layout.curated("ohlcv"), schemas.OHLCV, columns)
     splits = read_or_empty(spark, layout.curated("splits"), schemas.SPLITS)
@@ -160,6 +160,7 @@ def adjust(spark: SparkSession, layout: Layout) -> None:
         bars, latest_events(splits, "split_id"), latest_events(dividends, "dividend_id")
     )
     overwrite_table(adjusted, layout.curated("ohlcv_adjusted"), ["trade_date_market"])
+    return read_table(spark, layout.curated("ohlcv_adjusted"), schemas.OHLCV_ADJUSTED)
 
 
 def detect(spark: SparkSession, layout: Layout, since: str | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ dividends AS (
   SELECT {SYMBOL} AS symbol,
          'D-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS dividend_id,
          CASE WHEN l_tax < 0.005 THEN NULL WHEN l_tax < 0.015 THEN CAST(0 AS DOUBLE)
-              ELSE l_quantity / 97 END AS cash_amount,
+              ELSE l_quantity * 25 / 1103 END AS cash_amount,
          'USD' AS currency,
          CAST(CAST(l_shipdate AS DATE) - 30 AS DATE) AS declaration_date,
          CAST(l_shipdate AS DATE) AS ex_dividend_date,
@@ -293,6 +293,10 @@ ORACLE = {
         round(adjusted_open, 4) AS adjusted_open, round(adjusted_high, 4) AS adjusted_high,
         round(adjusted_low, 4) AS adjusted_low, round(adjusted_close, 4) AS adjusted_close,
         volume, round(adjustment_factor, 4) AS adjustment_factor FROM adjusted""",
+    "adjusted_latest20": _FACTORS
+    + f"""SELECT {_KEY}, close, round(adjusted_close, 4) AS adjusted_close,
+        round(adjustment_factor, 4) AS adjustment_factor
+        FROM adjusted ORDER BY symbol, trade_date_market DESC LIMIT 20""",
     "optional_source": _with(BARS)
     + f"SELECT {_KEY}, close, close AS adjusted_close, CAST(1 AS DOUBLE) AS adjustment_factor FROM bars",
     "lag_prices": _TREND

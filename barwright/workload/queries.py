@@ -181,7 +181,7 @@ def _dividend_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = t.table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
-    return suppliers.select(t.symbol().alias("symbol"))
+    return suppliers.selectExpr(t.SYMBOL)
 
 
 def _landed(
@@ -362,6 +362,13 @@ def adjusted_ohlc(spark, sf_dir):
     return rounded(_adjusted(spark, sf_dir), 4, "low", "adjustment_factor", *prices)
 
 
+@query
+def adjusted_latest20(spark, sf_dir):
+    adjusted = quality.newest_first_listing(_adjusted(spark, sf_dir))
+    prices = adjusted.select(*KEY, "close", "adjusted_close", "adjustment_factor")
+    return rounded(prices, 4, "adjusted_close", "adjustment_factor")
+
+
 @query
 def optional_source(spark, sf_dir):
     """Adjustment when no event table was ever written."""
@@ -439,7 +446,7 @@ def regime_distribution(spark, sf_dir):
 
 @query
 def regime_latest20(spark, sf_dir):
-    return regime.newest_per_symbol_listing(_regimes(spark, sf_dir))
+    return quality.newest_first_listing(_regimes(spark, sf_dir))
 
 
 @query

@@ -2,8 +2,9 @@
 
 A supplier is a symbol and a shipping day a trading day; line items are the day's trades. Trade
 prices are whole numbers and lows carry an odd multiple of 1/2048, so sums are exact in any
-order and moves up and down never tie; dividends are 97ths, so that adjusted prices do not end
-on a rounding boundary. Results then do not hang on the order of summation.
+order and moves up and down never tie; dividends are fractions over a prime above any price, so that
+adjusted prices do not end on a rounding boundary. Results then do not hang on the order of
+summation.
 """
 
 import atexit
@@ -34,46 +35,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def symbol() -> Column:
-    """Supplier key with an exchange suffix: none, ``.NS`` or ``.BO``."""
-    exchange = F.col("l_suppkey") % 3
-    suffix = F.when(exchange == 0, ".NS").when(exchange == 1, ".BO").otherwise("")
-    return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), suffix)
+# Supplier key with an exchange suffix: none, ``.NS`` or ``.BO``.
+SYMBOL = """concat('S', l_suppkey,
+    CASE l_suppkey % 3 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END) AS symbol"""
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: one row per symbol and day."""
-    price = (20 + F.ceil(F.col("l_extendedprice") / 100)).cast("bigint")
-    # The trade number with the price in the low eleven bits: its minimum is the first trade of
-    # the day and its maximum the last, in a plain numeric aggregate.
-    trade = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 2048 + price
-    spread_up, spread_down = (F.floor(F.col(c) * 100 + 0.5) for c in ("l_tax", "l_discount"))
-    trades = table(spark, sf_dir, "lineitem").select(
+    trades = table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey",
-        F.col("l_shipdate").cast("date").alias(DAY),
-        F.col("l_quantity").alias("quantity"),
-        price.cast("double").alias("price"),
-        trade.alias("trade"),
-        (price + spread_up).cast("double").alias("top"),
-        (price - spread_down).cast("double").alias("bottom"),
+        "CAST(l_shipdate AS DATE) AS trade_date_market",
+        "l_quantity AS quantity",
+        "20 + ceil(l_extendedprice / 100) AS price",
+        "l_orderkey * 8 + l_linenumber AS trade_no",
+        "floor(l_tax * 100 + 0.5D) AS up",
+        "floor(l_discount * 100 + 0.5D) AS down",
     )
+    # The trade number with the price in its low eleven bits: the minimum is the first trade of
+    # the day and the maximum the last, in a plain numeric aggregate.
     daily = trades.groupBy("l_suppkey", DAY).agg(
-        (F.min("trade") % 2048).cast("double").alias("open"),
-        F.max("top").alias("high"),
-        F.min("bottom").alias("bottom"),
-        (F.max("trade") % 2048).cast("double").alias("close"),
-        F.sum("quantity").alias("volume"),
-        (F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity")).alias("vwap"),
-        F.count("*").alias("transactions"),
+        F.expr("min(trade_no * 2048 + price) % 2048 AS open"),
+        F.expr("max(price + up) AS high"),
+        F.expr("min(price - down) AS bottom"),
+        F.expr("max(trade_no * 2048 + price) % 2048 AS close"),
+        F.expr("sum(quantity) AS volume"),
+        F.expr("sum(price * quantity) / sum(quantity) AS vwap"),
+        F.expr("count(*) AS transactions"),
     )
-    odd = 2 * (F.unix_date(DAY) % 512) + 1
-    return daily.select(
-        symbol().alias("symbol"),
+    return daily.selectExpr(
+        SYMBOL,
         DAY,
-        "open",
-        "high",
-        (F.col("bottom") - odd / 2048).alias("low"),
-        "close",
+        "CAST(open AS DOUBLE) AS open",
+        "CAST(high AS DOUBLE) AS high",
+        "bottom - (2 * (unix_date(trade_date_market) % 512) + 1) / 2048D AS low",
+        "CAST(close AS DOUBLE) AS close",
         "volume",
         "vwap",
         "transactions",
@@ -83,50 +78,43 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seventh items of fifty units count as splits; returned ones a day late, mostly without a bar."""
     items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity = 50")
-    late = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    split_to = F.when(F.col("l_linestatus") == "O", 3.0).otherwise(2.0)
-    return items.select(
-        symbol().alias("symbol"),
-        F.concat(F.lit("S-"), F.col("l_orderkey").cast("string")).alias("split_id"),
-        F.date_add(F.col("l_shipdate").cast("date"), late).alias("execution_date"),
-        F.lit(1.0).alias("split_from"),
-        split_to.alias("split_to"),
-        split_to.alias("split_ratio"),
+    return items.selectExpr(
+        SYMBOL,
+        "concat('S-', l_orderkey) AS split_id",
+        "date_add(CAST(l_shipdate AS DATE), IF(l_returnflag = 'R', 1, 0)) AS execution_date",
+        "1D AS split_from",
+        "IF(l_linestatus = 'O', 3D, 2D) AS split_to",
+        "IF(l_linestatus = 'O', 3D, 2D) AS split_ratio",
     )
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First items at a high discount count as dividends; some pay zero, some have no amount."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_discount >= 0.09")
-    pays = (
-        F.when(F.col("l_tax") < 0.005, F.lit(None).cast("double"))
-        .when(F.col("l_tax") < 0.015, 0.0)
-        .otherwise(F.col("l_quantity") / 97)
-    )
-    ex_date = F.col("l_shipdate").cast("date")
-    return items.select(
-        symbol().alias("symbol"),
-        F.concat(
-            F.lit("D-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")
-        ).alias("dividend_id"),
-        pays.alias("cash_amount"),
-        F.lit("USD").alias("currency"),
-        F.date_sub(ex_date, 30).alias("declaration_date"),
-        ex_date.alias("ex_dividend_date"),
-        F.date_add(ex_date, 1).alias("record_date"),
-        F.date_add(ex_date, 14).alias("pay_date"),
-        F.when(F.col("l_returnflag") == "N", "SC").otherwise("CD").alias("distribution_type"),
-        F.lit(4).alias("frequency"),
+    items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_discount >= 0.09D")
+    return items.withColumn("day", F.col("l_shipdate").cast("date")).selectExpr(
+        SYMBOL,
+        "concat('D-', l_orderkey, '-', l_partkey) AS dividend_id",
+        """CASE WHEN l_tax < 0.005D THEN NULL WHEN l_tax < 0.015D THEN 0D
+           ELSE l_quantity * 25 / 1103 END AS cash_amount""",
+        "'USD' AS currency",
+        "date_sub(day, 30) AS declaration_date",
+        "day AS ex_dividend_date",
+        "date_add(day, 1) AS record_date",
+        "date_add(day, 14) AS pay_date",
+        "IF(l_returnflag = 'N', 'SC', 'CD') AS distribution_type",
+        "4 AS frequency",
     )
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second provider's bars: order totals per priority and day, without volume detail."""
-    price = F.ceil(F.col("o_totalprice") / 1000).cast("double")
-    return (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("date").alias(DAY))
-        .agg(F.max(price).alias("high"), F.min(price).alias("low"), F.count("*").alias("transactions"))
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority AS symbol",
+        "CAST(o_orderdate AS DATE) AS trade_date_market",
+        "CAST(ceil(o_totalprice / 1000) AS DOUBLE) AS price",
+    )
+    return orders.groupBy("symbol", DAY).agg(
+        F.max("price").alias("high"), F.min("price").alias("low"), F.count("*").alias("transactions")
     )
 
 

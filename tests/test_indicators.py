@@ -1,5 +1,6 @@
 """Indicators and regimes: hand-computed cases, brute force over awkward histories, invariants."""
 
+import re
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -7,7 +8,7 @@ import pytest
 from helpers import BAR_SCHEMA, bar, by_symbol, indicators as brute_force, random_bars
 from pyspark.sql import functions as F
 
-from barwright.operators import indicators, regime
+from barwright.operators import indicators, quality, regime
 from barwright.operators.segments import number_bars, over_segments
 
 DAY = date(2024, 1, 1)
@@ -178,15 +179,29 @@ def test_distribution_and_listing(spark):
     distribution = regime.regime_distribution(regimes).collect()
     assert sum(r["count"] for r in distribution) == len(rows)
     assert [r["count"] for r in distribution] == sorted((r["count"] for r in distribution), reverse=True)
-    listing = regime.newest_per_symbol_listing(regimes).collect()
+    listing = quality.newest_first_listing(regimes).collect()
     want = sorted(rows, key=lambda r: (r.symbol, -r.trade_date_market.toordinal()))[:20]
     assert listing == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_exchange_for_the_windows(spark):
     """The window chain over segments needs one shuffle and one sort."""
-    plan = regime.detect_regimes(frame(spark, random_bars(31, SIZES)))._jdf.queryExecution()
-    text = plan.executedPlan().toString()
-    assert text.count("Exchange hashpartitioning(symbol#") >= 2
-    assert sum("_segment" in line for line in text.splitlines() if "Exchange" in line) == 1
-    assert sum("_segment" in line for line in text.splitlines() if " Sort " in line) == 1
+    lines = plan_of(regime.detect_regimes(frame(spark, random_bars(31, SIZES)))).splitlines()
+    assert sum("_segment" in line for line in lines if "Exchange" in line) == 1
+    assert sum("_segment" in line for line in lines if " Sort " in line) == 1
+
+
+def test_no_task_gets_all_bars_of_a_symbol(spark):
+    """Only the table of bars per year is gathered by symbol."""
+    plan = plan_of(regime.detect_regimes(frame(spark, random_bars(31, SIZES))))
+    assert len(re.findall(r"hashpartitioning\(symbol#\d+, \d+\)", plan)) == 1
+    assert "partial_count(1)" in plan
+
+
+def test_look_back_is_limited_before_the_shuffle(spark):
+    plan = plan_of(indicators.look_back_from(frame(spark, random_bars(31, SIZES)), "1990-01-01"))
+    assert re.search(r"WindowGroupLimit .*, 27, Partial", plan)
