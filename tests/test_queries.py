@@ -1,12 +1,14 @@
 """Every registered query against its SQL on the smallest tables."""
 
 from pathlib import Path
+from unittest import mock
 
 import pytest
 from oracle_check import compare, connect
 
 from barwright.workload.oracle import ORACLE
 from barwright.workload.queries import QUERIES
+from barwright.workload.tables import scratch
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -32,3 +34,14 @@ def test_entry(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).limit(1).count() == 1
+
+
+def test_scratch_folder(spark, tmp_path):
+    """Shared if the session names one, else temporary; never the same twice."""
+    first, second = scratch(spark, "x"), scratch(spark, "x")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert first != second and all(p.startswith(f"{shared}/x-") for p in (first, second))
+    unnamed = mock.Mock()
+    unnamed.conf.get.return_value = None
+    with mock.patch("tempfile.mkdtemp", return_value=str(tmp_path / "own")):
+        assert scratch(unnamed, "x").startswith(str(tmp_path / "own" / "x-"))
