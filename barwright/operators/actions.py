@@ -30,50 +30,45 @@ def positive_dividends(dividends: DataFrame) -> DataFrame:
     return dividends.filter(F.col("cash_amount") > 0)
 
 
-def splits_by_day(splits: DataFrame) -> DataFrame:
-    """Product of the split ratios per symbol and day."""
-    return splits.groupBy("symbol", F.col("execution_date").alias("trade_date_market")).agg(
-        F.product("split_ratio").alias("split_ratio")
-    )
+def _by_day(events: DataFrame, date_column: str, **totals) -> DataFrame:
+    """One row per symbol and day, so a bar meets at most one; merged before the shuffle."""
+    day = F.col(date_column).alias("trade_date_market")
+    return events.groupBy("symbol", day).agg(*[v.alias(name) for name, v in totals.items()])
 
 
-def dividends_by_day(dividends: DataFrame) -> DataFrame:
-    """Sum of the positive cash amounts per symbol and ex-date."""
-    return (
-        positive_dividends(dividends)
-        .groupBy("symbol", F.col("ex_dividend_date").alias("trade_date_market"))
-        .agg(F.sum("cash_amount").alias("dividend_amount"))
+def _join_days(bars: DataFrame, days: DataFrame, **defaults: float) -> DataFrame:
+    return bars.join(days, BAR_KEY, "left").withColumns(
+        {name: F.coalesce(name, F.lit(value)) for name, value in defaults.items()}
     )
 
 
 def join_splits(bars: DataFrame, splits: DataFrame) -> DataFrame:
-    """Add ``split_ratio`` of the bar's day, 1.0 without a split; one row per bar."""
-    return bars.join(splits_by_day(splits), BAR_KEY, "left").withColumn(
-        "split_ratio", F.coalesce("split_ratio", F.lit(1.0))
-    )
+    """Add ``split_ratio``, the product of the day's ratios, 1.0 without a split."""
+    days = _by_day(splits, "execution_date", split_ratio=F.product("split_ratio"))
+    return _join_days(bars, days, split_ratio=1.0)
 
 
 def join_dividends(bars: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Add ``dividend_amount`` of the bar's day, 0.0 without one; one row per bar."""
-    return bars.join(dividends_by_day(dividends), BAR_KEY, "left").withColumn(
-        "dividend_amount", F.coalesce("dividend_amount", F.lit(0.0))
-    )
+    """Add ``dividend_amount``, the sum of the day's positive amounts, 0.0 without one."""
+    paid = positive_dividends(dividends)
+    days = _by_day(paid, "ex_dividend_date", dividend_amount=F.sum("cash_amount"))
+    return _join_days(bars, days, dividend_amount=0.0)
 
 
 def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Both joins at the price of one: the two event tables are merged per day first."""
-    both = (
-        splits_by_day(splits)
-        .unionByName(dividends_by_day(dividends), allowMissingColumns=True)
-        .groupBy(BAR_KEY)
-        .agg(F.max("split_ratio").alias("split_ratio"), F.max("dividend_amount").alias("dividend_amount"))
+    """Both of the above at the price of one join: the event tables are put together first."""
+    events = splits.select(
+        "symbol", F.col("execution_date").alias("day"), "split_ratio"
+    ).unionByName(
+        positive_dividends(dividends).select(
+            "symbol", F.col("ex_dividend_date").alias("day"), "cash_amount"
+        ),
+        allowMissingColumns=True,
     )
-    return bars.join(both, BAR_KEY, "left").withColumns(
-        {
-            "split_ratio": F.coalesce("split_ratio", F.lit(1.0)),
-            "dividend_amount": F.coalesce("dividend_amount", F.lit(0.0)),
-        }
+    days = _by_day(
+        events, "day", split_ratio=F.product("split_ratio"), dividend_amount=F.sum("cash_amount")
     )
+    return _join_days(bars, days, split_ratio=1.0, dividend_amount=0.0)
 
 
 def add_adjustment_factor(bars: DataFrame) -> DataFrame:

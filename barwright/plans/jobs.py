@@ -44,7 +44,7 @@ class Layout:
 
     @property
     def landing(self) -> str:
-        return f"{self.base}/landing/polygon"
+        return f"{self.base}/landing/{schemas.PROVIDER}"
 
     def curated(self, table: str) -> str:
         return f"{self.base}/curated/{table}"
