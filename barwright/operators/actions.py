@@ -8,7 +8,7 @@ tables downstream are defined on; it is not the usual back-adjustment, which div
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.operators.segments import BAR_NO, number_bars
+from barwright.operators.segments import BAR_NO, SLICE, number_bars, with_slice
 
 BAR_KEY = ["symbol", "trade_date_market"]
 
@@ -56,7 +56,12 @@ def join_dividends(bars: DataFrame, dividends: DataFrame) -> DataFrame:
 
 
 def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Both of the above at the price of one join: the event tables are put together first."""
+    """Both of the above at the price of one join, on symbol and year.
+
+    The events of a symbol and year, at most one entry per day, become a map that each bar looks
+    its day up in. Bars are thereby joined on the keys the running totals are grouped by, and
+    need no shuffle of their own however many events there are.
+    """
     events = splits.select(
         "symbol", F.col("execution_date").alias("day"), "split_ratio"
     ).unionByName(
@@ -66,9 +71,24 @@ def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> Dat
         allowMissingColumns=True,
     )
     days = _by_day(
-        events, "day", split_ratio=F.product("split_ratio"), dividend_amount=F.sum("cash_amount")
+        events.filter(F.col("day").isNotNull()),
+        "day",
+        split_ratio=F.product("split_ratio"),
+        dividend_amount=F.sum("cash_amount"),
+    )
+    entry = F.struct("trade_date_market", F.struct("split_ratio", "dividend_amount"))
+    years = (
+        with_slice(days)
+        .groupBy("symbol", SLICE)
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("_events"))
+    )
+    event = F.try_element_at("_events", F.col("trade_date_market"))
+    joined = with_slice(bars).join(years, ["symbol", SLICE], "left")
+    return joined.select(
+        *bars.columns,
+        F.coalesce(event["split_ratio"], F.lit(1.0)).alias("split_ratio"),
+        F.coalesce(event["dividend_amount"], F.lit(0.0)).alias("dividend_amount"),
     )
-    return _join_days(bars, days, split_ratio=1.0, dividend_amount=0.0)
 
 
 def add_adjustment_factor(bars: DataFrame) -> DataFrame:
@@ -114,7 +134,7 @@ def adjust_prices(
 
     ``numbered`` keeps ``bar_no``, for indicators computed in the same plan.
     """
-    needed = bars.select(*BAR_KEY, "open", "high", "low", "close", "volume")
+    needed = with_slice(bars.select(*BAR_KEY, "open", "high", "low", "close", "volume"))
     factors = add_adjustment_factor(join_events(needed, splits, dividends))
     return adjusted_ohlc(factors, *([BAR_NO] if numbered else []))
 

@@ -20,13 +20,17 @@ from pyspark.sql import functions as F
 SEGMENT_ROWS = 1024
 BAR_NO = "bar_no"
 DAY = "trade_date_market"
+SLICE = "_slice"
 
 Step = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
-def _sliced(bars: DataFrame) -> DataFrame:
+def with_slice(rows: DataFrame, day: str = DAY) -> DataFrame:
+    """Add the slice of each row, unless it is there: steps that share it share a shuffle."""
+    if SLICE in rows.columns:
+        return rows
     # An undated bar sorts before all others, so its slice does too.
-    return bars.withColumn("_slice", F.coalesce(F.year(DAY), F.lit(-1)))
+    return rows.withColumn(SLICE, F.coalesce(F.year(day), F.lit(-1)))
 
 
 def number_bars(
@@ -43,22 +47,22 @@ def number_bars(
     """
     totals = dict(totals_back or {})
     symbol = Window.partitionBy("symbol")
-    to_here = symbol.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    newer = symbol.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    newest_first = Window.partitionBy("symbol", "_slice").orderBy(F.desc(DAY))
+    to_here = symbol.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    newer = symbol.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    newest_first = Window.partitionBy("symbol", SLICE).orderBy(F.desc(DAY))
 
-    counted = _sliced(bars if totals or calendar is None else calendar)
+    counted = with_slice(bars if totals or calendar is None else calendar)
     slices = (
-        counted.groupBy("symbol", "_slice")
+        counted.groupBy("symbol", SLICE)
         .agg(F.count("*").alias("_rows"), *[F.sum(v).alias(name) for name, v in totals.items()])
         .select(
             "symbol",
-            "_slice",
+            SLICE,
             F.sum("_rows").over(to_here).alias("_rows_to_here"),
             *[F.sum(name).over(newer).alias(f"_newer_{name}") for name in totals],
         )
     )
-    local = _sliced(bars).withColumns(
+    local = with_slice(bars).withColumns(
         {
             "_row": F.row_number().over(newest_first),
             **{name: F.sum(value).over(newest_first) for name, value in totals.items()},
@@ -70,8 +74,8 @@ def number_bars(
         here, carried = F.col(name), F.col(f"_newer_{name}")
         return F.coalesce(here + carried, here, carried).alias(name)
 
-    return local.join(slices, ["symbol", "_slice"], "left").select(
-        *bars.columns,
+    return local.join(slices, ["symbol", SLICE], "left").select(
+        *[name for name in bars.columns if name != SLICE],
         *[total(name) for name in totals],
         (F.col("_rows_to_here") - F.col("_row")).alias(BAR_NO),
     )

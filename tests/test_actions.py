@@ -1,5 +1,6 @@
 """Splits and dividends on bars."""
 
+import re
 from datetime import date, datetime, timedelta
 from math import exp, log
 
@@ -187,3 +188,34 @@ def test_one_day_apart_from_year_end(spark):
     splits = [("A", "s", date(2024, 1, 1), 2.0), ("A", "t", date(2023, 12, 31), 3.0)]
     got = factors(actions.adjust_prices(*frames(spark, bars, splits)))
     assert [got[("A", d)] for d in days] == pytest.approx([6, 6, 6, 2, 1, 1])
+
+
+def test_undated_rows(spark):
+    """An undated bar comes before all others; an undated event has no day to act on."""
+    splits = [("A", "s", date(2024, 3, 8), 2.0), ("A", "t", None, 7.0)]
+    dividends = [("A", "d", None, 1.0)]
+    got = factors(actions.adjust_prices(*frames(spark, MARCH + [bar("A", None, 50.0)], splits, dividends)))
+    assert got[("A", None)] == pytest.approx(2.0)
+    assert sorted(got.values()) == pytest.approx([1, 1, 2, 2, 2])
+
+
+def test_bars_are_not_shuffled_for_the_events(spark):
+    """Without any broadcast, the join rides on the shuffle by symbol and year."""
+    tables = frames(spark, MARCH, [("A", "s", date(2024, 3, 8), 2.0)], [("A", "d", date(2024, 3, 7), 1.0)])
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        adjusted = actions.adjust_prices(*tables, numbered=True)
+        regimes = regime.detect_regimes(regime.on_adjusted_prices(adjusted))
+        plan = regimes._jdf.queryExecution().executedPlan().toString()
+        assert len(regimes.collect()) == 4
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    by = re.findall(r"- Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))
+    assert sorted(by) == sorted(
+        # bars twice, bars' closes, events by day, events by year, bars per year twice
+        ["symbol, _slice", "symbol, _segment", "symbol, _slice", "symbol, day", "symbol, _slice", "symbol", "symbol, _slice"]
+    )
