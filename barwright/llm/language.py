@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Lengths of the n-grams and how many of them a profile and a document rank.
-SIZES, RANKED = (1, 2, 3), 300
+#: Letters of the longest n-grams and how many of them a profile and a document rank.
+LONGEST, RANKED = 3, 300
 UNDETERMINED = "und"
 #: Languages that a set of profiles may hold, which bounds what is sent to every executor: more
 #: than ISO 639-3 has codes. Beyond it fitting stops with an error.
@@ -44,38 +44,37 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, gram, count)`` sorted by row and gram, and for each row whether it has a letter.
+    """``(row, gram, count)`` sorted by row, and for each row whether it has a letter.
 
     Everything but letters counts as a space, words are padded by spaces, and n-grams of spaces
     only, or with a space inside, are left out. A gram is its code points, 21 bits each.
     """
     encoded = [(" " + t + " ").encode("utf-32-le", "surrogatepass") for t in texts]
-    code = _letters()[np.frombuffer(b"".join(encoded), np.uint32)].astype(np.int64)
+    code = _letters()[np.frombuffer(b"".join(encoded), np.uint32)]
     row = np.repeat(np.arange(len(texts)), [len(e) // 4 for e in encoded])
-    letter = code != 32
-    has_letter = np.bincount(row[letter], minlength=len(texts)) > 0
-    found_row, found_gram = [], []
-    for size in SIZES:
-        n = len(code) - size + 1
-        if n <= 0:
-            continue
-        gram, fits = np.zeros(n, np.int64), row[:n] == row[size - 1 :]
-        for k in range(size):
-            gram = (gram << _BITS) | code[k : k + n]
-            if size == 1 or 0 < k < size - 1:
-                fits &= letter[k : k + n]
-        if size == 2:
-            fits &= letter[:n] | letter[1:]
-        found_row.append(row[:n][fits])
-        found_gram.append(gram[fits])
-    none = np.zeros(0, np.int64)
-    row, gram = np.concatenate([none, *found_row]), np.concatenate([none, *found_gram])
-    order = np.lexsort((gram, row))
-    row, gram = row[order], gram[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    has_letter = np.bincount(row[code != 32], minlength=len(texts)) > 0
+    present = np.flatnonzero(np.bincount(code))  # few, so that row and gram fit one number
+    base = len(present) + 1
+    if len(texts) > 1 and len(texts) * base**3 >= 2**63:
+        half = len(texts) // 2
+        first, second = gram_counts(texts[:half]), gram_counts(texts[half:])
+        return (np.concatenate((first[0], second[0] + half)), *(np.concatenate(x) for x in zip(first[1:], second[1:], strict=True)))
+    place = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+    place[present] = np.arange(1, base)
+    digit, letter = place[code], code != 32
+    pair = digit[:-1] * base + digit[1:]
+    together, either = row[:-1] == row[1:], letter[:-1] | letter[1:]
+    one = (row * base**3 + digit)[letter]
+    two = (row[:-1] * base**3 + pair)[together & either]
+    three = (row[:-2] * base**3 + pair[:-1] * base + digit[2:])[together[:-1] & together[1:] & letter[1:-1]]
+    key = np.sort(np.concatenate((one, two, three)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return row[at], gram[at], np.diff(np.append(at, len(row))), has_letter
+    row, gram = np.divmod(key[at], base**3)
+    whole = np.concatenate(([0], present)).astype(np.int64)
+    gram = (whole[gram // base**2] << (2 * _BITS)) | (whole[gram // base % base] << _BITS) | whole[gram % base]
+    return row, gram, np.diff(np.append(at, len(key))), has_letter
 
 
 def fit_profiles(labelled: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def identify(docs: DataFrame, profiles: DataFrame, *, keep: tuple[str, ...] = ("
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches):
             row, gram, times, has_letter = gram_counts(texts)
-            order = np.lexsort((gram, -times, row))
+            order = np.lexsort((gram, (row << np.int64(40)) - times))
             row, gram = row[order], gram[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
             row, gram, rank = row[rank < RANKED], gram[rank < RANKED], rank[rank < RANKED]

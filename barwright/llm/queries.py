@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import contamination, language, near_dup, pieces, pii
+from barwright.llm import contamination, language, licenses, near_dup, pieces, pii, quality_rules, resampling, token_counts, urls
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Share of the documents that the resampling draws.
+DRAWN = 0.85
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,34 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "print")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKEN_RANKS, public_tokenizers.PATTERN)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "best")
+
+
+def op6_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), share=DRAWN)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id")
+    failed = F.expr(" or ".join(quality_rules.RULES[name] for name in quality_rules.BASE_RULES))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(*columns, failed.alias("base_failed"), F.col("broken").isNull().alias("kept"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -42,6 +69,90 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id", "text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_decontamination, op8_sentencepiece, op9_language, op10_near_dup)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_url_filter,
+        op3_decontamination,
+        op4_token_counts,
+        op5_licenses,
+        op6_resampling,
+        op7_quality_rules,
+        op8_sentencepiece,
+        op9_language,
+        op10_near_dup,
+    )
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op3_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS (
+            SELECT item_id, least(len(w), 13) AS n, list_slice(w, k, k + least(len(w), 13) - 1) AS words
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS k FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (
+            SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS words
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, k, n, item_id FROM places JOIN windows USING (n, words)),
+        hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id),
+        hit_items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+            CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+            sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+        FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """,
+    "op5_licenses": rf"""
+        WITH t AS (
+            SELECT license, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS g
+            FROM (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
+                FROM (VALUES {", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)}) v(license, text))),
+        parts AS (
+            SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)) ||
+                list_filter(regexp_split_to_array(text, '
+[ 	]*
+'), lambda p: contains(p, chr(10))))) AS part
+            FROM documents WHERE text IS NOT NULL),
+        grams AS (
+            SELECT doc_id, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS g
+            FROM (SELECT doc_id, regexp_extract_all(lower(part), '[\p{{L}}\p{{N}}]+') AS w FROM parts)),
+        hits AS (
+            SELECT doc_id, license, 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice FROM grams, t
+            WHERE 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) >= {licenses.THRESHOLD})
+        SELECT doc_id, coalesce(names, '') AS licenses, coalesce(best, 0.0::DOUBLE) AS best
+        FROM documents LEFT JOIN (
+            SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS names, max(dice) AS best FROM hits GROUP BY doc_id) USING (doc_id)
+    """,
+    "op7_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+            FROM documents),
+        places AS (
+            SELECT doc_id, k, list_slice(w, k, k + 7) AS words
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, words FROM places GROUP BY ALL HAVING count(*) > 1),
+        repeated AS (
+            SELECT doc_id, count(DISTINCT p) AS n
+            FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM places JOIN twice USING (doc_id, words)) GROUP BY doc_id),
+        f AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) AS BIGINT) AS n_lines,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+                length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+            FROM d LEFT JOIN repeated USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
+                OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+                OR 100 * n_capitals > 40 * word_chars) AS kept
+        FROM f
+    """,
+}

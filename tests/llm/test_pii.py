@@ -1,0 +1,76 @@
+import random
+
+from pyspark.sql import functions as F
+
+from barwright.llm import pii
+from tests.llm.plain import personal
+
+SCHEMA = "doc_id long, text string"
+TEXTS = [
+    None,
+    "",
+    "a@b.c_d@e.f x.y@z 1.2.3.4.5.6.7.8 256.1.1.1 00001.2.3.255 +1 (22) 333-4444. 4111 1111 1111 1111 4111-1111-1111-1112é a@b a@@b.c ü@x.y.z.",
+    "😀 😀 +49 30 1234567 😀 a@b.co",
+    "9" * 60_000,
+    "a.b" * 20_000 + "@x" + ".y" * 10_000,
+    "1.2.3.4 " * 2000,
+    "+1 222 333 4444 +1 222 333 4444\n+1-22",
+    "4111111111111111 5500000000000004 +4111111111111111",
+]
+
+
+def spans(row):
+    return [f"{s['kind']}:{s['start']}:{s['end']}" for s in row]
+
+
+def test_base_spans_equal_plain_search(spark):
+    r = random.Random(1)
+    made = TEXTS + ["".join(r.choices(["1", "23", "456", ".", " ", "-", "+", "(", ")", "@", "a", "b.c", "é", "4111111111111111", "\n"], k=60)) for _ in range(400)]
+    rows = list(enumerate(made)) + [(3, made[3]), (3, "a@b.cd"), (None, "e@f.gh")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS base", "2 AS print", "3 AS spans"))
+    got = sorted(((r["doc_id"], spans(r["base"])) for r in found.collect()), key=str)
+    assert got == sorted(((d, personal(t)) for d, t in rows), key=str)
+
+
+def learnable(spark):
+    """Cards follow one word and are mostly right; the same word is rare elsewhere."""
+    rows = []
+    for k in range(40):
+        digits = f"{4000_0000_0000_000 + 7919 * k:015d}"
+        check = next(c for c in "0123456789" if not personal(digits + c) == [])
+        rows.append((k, f"pay by kartennummer {digits}{check} please {k}"))
+    wrong = str((int(rows[0][1].split()[3]) + 1))
+    rows += [(100, f"or kartennummer {wrong} now"), (101, f"parcel {wrong[:-1]}0 came"), (102, "a kartennummer is a number"), (100, f"or kartennummer {wrong} now")]
+    return rows, wrong
+
+
+def test_contexts_find_what_no_form_matches(spark):
+    rows, wrong = learnable(spark)
+    found = {r["doc_id"]: (spans(r["base"]), spans(r["spans"])) for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[100] == ([], ["card:16:32"])
+    assert found[102] == ([], [])
+    assert all(found[k][0] == found[k][1] == personal(rows[k][1]) for k in range(40))
+
+
+def test_words_of_everywhere_are_no_patterns(spark):
+    rows, wrong = learnable(spark)
+    rows += [(200, "kartennummer und " * 4000)]
+    found = {r["doc_id"]: spans(r["spans"]) for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[100] == []
+
+
+def test_redaction(spark):
+    rows = [(1, "mail a@b.co or +1 222 333 4444!"), (2, None), (3, "nothing"), (1, "mail a@b.co or +1 222 333 4444!"), (None, "x@y.zz"), (4, "+4111111111111111 end")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long")).withColumn("spans", F.lit("mine"))
+    out = pii.redact(docs, pii.find_personal_data(docs))
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=str) == sorted(
+        [(1, "mail [EMAIL] or [PHONE]!", 24), (1, "mail [EMAIL] or [PHONE]!", 24), (2, None, None), (3, "nothing", 7), (None, "[EMAIL]", 7), (4, "+[CARD] end", 11)], key=str
+    )
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    found = pii.find_personal_data(docs)
+    assert found.count() == 0
+    assert pii.redact(docs, found).count() == 0
