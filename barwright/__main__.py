@@ -4,10 +4,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from barwright.operators.quality import newest_first_listing
+from barwright.operators.quality import IncompleteLanding, newest_first_listing
 from barwright.operators.regime import regime_distribution
 from barwright.plans import Layout, adjust, check_landing, curate, detect, load_contacts, stocks
-from barwright.plans.jobs import stock_targets
+from barwright.plans.jobs import events_without_bar, stock_targets
 
 
 def _arguments() -> argparse.Namespace:
@@ -23,8 +23,7 @@ def _arguments() -> argparse.Namespace:
 
     gate = job("check-landing", dated=True)
     gate.add_argument("--symbols", required=True, help="text file, one symbol per line")
-    for sub in (gate, job("curate", dated=True)):
-        sub.add_argument("--json-lines", action="store_true", help="landing holds a document per line")
+    job("curate", dated=True)
     job("adjust", dated=False)
     job("detect", dated=False).add_argument("--since", help="compute only this day and later ones")
     job("stocks", dated=True).add_argument(
@@ -33,7 +32,7 @@ def _arguments() -> argparse.Namespace:
     contacts = jobs.add_parser("contacts")
     for name in ("csv", "url", "user", "password", "driver"):
         contacts.add_argument(f"--{name}", required=True)
-    contacts.add_argument("--table", default="POC")
+    contacts.add_argument("--table", required=True)
     return parser.parse_args()
 
 
@@ -48,12 +47,18 @@ def main() -> None:
     layout = Layout(args.base)
     if args.job == "check-landing":
         symbols = spark.read.text(args.symbols).withColumnRenamed("value", "symbol")
-        check_landing(spark, layout, symbols, args.date, multi_line=not args.json_lines).show()
+        try:
+            check_landing(spark, layout, symbols, args.date).show()
+        except IncompleteLanding as error:
+            for gap in error.gaps.toLocalIterator():
+                print(*gap)
+            raise
     elif args.job == "curate":
-        curate(spark, layout, args.date, multi_line=not args.json_lines)
+        curate(spark, layout, args.date)
     elif args.job == "adjust":
         prices = adjust(spark, layout).drop("open", "high", "low", "volume")
         newest_first_listing(prices).show(truncate=False)
+        print("events on days without a bar:", events_without_bar(spark, layout).count())
     elif args.job == "detect":
         regimes = detect(spark, layout, args.since)
         newest_first_listing(regimes).show(truncate=False)

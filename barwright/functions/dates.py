@@ -10,12 +10,19 @@ INDIA, US = "Asia/Kolkata", "US/Eastern"
 INDIA_SUFFIXES = (".NS", ".BO")
 
 MS_PER_DAY = 86_400_000
+#: Epoch milliseconds of the years 1 to 9999; beyond them there is no date, whatever the zone.
+FIRST_MS, LAST_MS = -719_161 * MS_PER_DAY, 2_932_895 * MS_PER_DAY
 
 
 def _utc_datetime(epoch_ms: Column) -> Column:
-    """Zone-less UTC date and time of an epoch-millisecond column."""
+    """Zone-less UTC date and time of an epoch-millisecond column, NULL out of range."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.timestamp_add("MILLISECOND", epoch_ms.cast("bigint"), epoch)
+    return F.timestamp_add("MILLISECOND", _in_range(epoch_ms).try_cast("bigint"), epoch)
+
+
+def _in_range(epoch_ms: Column) -> Column:
+    # NaN is above all numbers
+    return F.when(epoch_ms.between(FIRST_MS, LAST_MS), epoch_ms)
 
 
 def market_date(epoch_ms: Column | str, zone: Column | str) -> Column:
@@ -30,7 +37,7 @@ def market_date(epoch_ms: Column | str, zone: Column | str) -> Column:
 
 def utc_date(epoch_ms: Column | str) -> Column:
     """UTC date, rounding towards the past also before 1970."""
-    days = F.floor(as_column(epoch_ms) / MS_PER_DAY)
+    days = F.floor(_in_range(as_column(epoch_ms)) / MS_PER_DAY)
     return F.date_from_unix_date(days.try_cast("int"))
 
 

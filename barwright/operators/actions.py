@@ -8,7 +8,7 @@ tables downstream are defined on; it is not the usual back-adjustment, which div
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.operators.segments import BAR_NO, SLICE, number_bars, with_slice
+from barwright.operators.segments import BAR_NO, KEY, SLICE, number_bars, with_slice
 
 BAR_KEY = ["symbol", "trade_date_market"]
 
@@ -71,7 +71,7 @@ def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> Dat
         allowMissingColumns=True,
     )
     days = _by_day(
-        events.filter(F.col("day").isNotNull()),
+        events.filter(F.col("symbol").isNotNull() & F.col("day").isNotNull()),
         "day",
         split_ratio=F.product("split_ratio"),
         dividend_amount=F.sum("cash_amount"),
@@ -79,11 +79,11 @@ def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> Dat
     entry = F.struct("trade_date_market", F.struct("split_ratio", "dividend_amount"))
     years = (
         with_slice(days)
-        .groupBy("symbol", SLICE)
+        .groupBy(KEY, SLICE)
         .agg(F.map_from_entries(F.collect_list(entry)).alias("_events"))
     )
     event = F.try_element_at("_events", F.col("trade_date_market"))
-    joined = with_slice(bars).join(years, ["symbol", SLICE], "left")
+    joined = with_slice(bars).join(years, [KEY, SLICE], "left")
     return joined.select(
         *bars.columns,
         F.coalesce(event["split_ratio"], F.lit(1.0)).alias("split_ratio"),
@@ -142,6 +142,12 @@ def adjust_prices(
 def unmatched_events(
     bars: DataFrame, events: DataFrame, date_column: str
 ) -> DataFrame:
-    """Events on a day without a bar: they have no effect on the adjusted prices."""
+    """Events on a day without a bar: they have no effect on the adjusted prices.
+
+    The bars are first cut down to the days of events, which takes no shuffle of the bars while the
+    events are few.
+    """
+    key = ["symbol", date_column]
     days = bars.select("symbol", F.col("trade_date_market").alias(date_column))
-    return events.join(days, ["symbol", date_column], "left_anti")
+    met = days.join(events.select(key).distinct(), key, "left_semi").distinct()
+    return events.join(met, key, "left_anti")

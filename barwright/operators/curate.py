@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.columns import return_pct, split_ratio, to_double, to_whole
 from barwright.functions.dates import market_date, parse_date, utc_date
-from barwright.schemas import PROVIDER, STOCK_FIELDS
+from barwright.schemas import PROVIDER, STOCK_FIELDS, STOCK_RECORD_DATE
 
 
 def explode_results(landing: DataFrame) -> DataFrame:
@@ -64,13 +64,15 @@ def curate_dividends(landing: DataFrame, ingested_at: Column | None = None) -> D
 
 
 def stock_rows(documents: DataFrame, run_date: str) -> DataFrame:
-    """Symbol-keyed documents to one row per symbol, numbers parsed."""
+    """Symbol-keyed documents to one row per symbol, numbers parsed, with the run date and the date
+    of the record, NULL where the document has none."""
     entries = documents.select(F.explode("stocks").alias("symbol", "s"))
     columns = []
     for field, name in STOCK_FIELDS.items():
         text = F.col("s").getField(field)
         columns.append((to_whole(text) if name == "volume" else to_double(text)).alias(name))
-    return entries.select("symbol", *columns, F.lit(run_date).alias("date"))
+    record_date = parse_date(F.col("s").getField(STOCK_RECORD_DATE)).alias("record_date")
+    return entries.select("symbol", *columns, record_date, F.lit(run_date).alias("date"))
 
 
 def enrich_stocks(rows: DataFrame) -> DataFrame:

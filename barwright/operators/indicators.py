@@ -119,9 +119,19 @@ def look_back_from(bars: DataFrame, since: str, rows: int = 2 * PERIOD - 1) -> D
     """Bars from a day on, and the last ``rows`` bars of each symbol before it.
 
     Enough to compute the indicators of the newer days; each map task passes on at most ``rows``
-    older bars per symbol.
+    older bars per symbol. Where the look-back begins is found from symbols and days alone, so that
+    the other columns are only read from there on. Symbols without newer bars look back on nothing.
     """
     day = F.col("trade_date_market")
     newest_first = Window.partitionBy("symbol").orderBy(F.desc("trade_date_market"))
-    older = bars.filter(day < since).withColumn("_age", F.row_number().over(newest_first))
+
+    def latest(older: DataFrame) -> DataFrame:
+        return older.withColumn("_age", F.row_number().over(newest_first)).filter(f"_age <= {rows}")
+
+    days = bars.select("symbol", "trade_date_market")
+    active = days.filter(day >= since).select(F.col("symbol").alias("_active")).distinct()
+    needed = days.filter(day < since).join(active, F.col("symbol").eqNullSafe(F.col("_active")), "left_semi")
+    first = latest(needed).agg(F.min("trade_date_market")).first()[0]
+    older = bars.filter(day < since) if first is None else bars.filter((day < since) & (day >= first))
+    older = latest(older)
     return bars.filter(day >= since).unionByName(older.filter(f"_age <= {rows}").drop("_age"))

@@ -11,7 +11,11 @@ LANDING_KEY = ["symbol", "endpoint_type", "execution_date"]
 
 
 class IncompleteLanding(RuntimeError):
-    """Some expected symbol and endpoint did not land."""
+    """Some expected symbol and endpoint did not land; ``gaps`` has all of them as a table."""
+
+    def __init__(self, count: int, gaps: DataFrame):
+        super().__init__(f"{count} landings are missing, so nothing is curated")
+        self.count, self.gaps = count, gaps
 
 
 def landed_keys(envelopes: DataFrame) -> DataFrame:
@@ -44,15 +48,11 @@ def not_yet_landed(incoming: DataFrame, landed: DataFrame) -> DataFrame:
     return incoming.join(landed_keys(landed), LANDING_KEY, "left_anti")
 
 
-def require_complete(gaps: DataFrame, listed: int = 50) -> None:
-    """Raise if there is any gap, naming the first few."""
-    first = gaps.orderBy(LANDING_KEY).take(listed + 1)
-    if not first:
-        return
-    lines = [f"  {row.symbol}: {row.endpoint_type} on {row.execution_date}" for row in first[:listed]]
-    if len(first) > listed:
-        lines.append("  and more")
-    raise IncompleteLanding("not landed, so nothing is curated:\n" + "\n".join(lines))
+def require_complete(gaps: DataFrame) -> None:
+    """Raise if there is any gap; the error counts and carries them all."""
+    count = gaps.count()
+    if count:
+        raise IncompleteLanding(count, gaps.select(LANDING_KEY))
 
 
 def landing_summary(expected: DataFrame, landed: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.columns import to_money
-from barwright.operators.indicators import trend_indicators
+from barwright.operators.indicators import look_back_from, trend_indicators
 from barwright.operators.segments import BAR_NO
+from barwright.scratch import stored
 
-# Trend and volatility bounds, and the confidence by distance from the trend bound.
+# The labels, trend and volatility bounds, and the confidence by distance from the trend bound.
 TREND_ADX = 25
 VOLATILE_ATR_PCT = 3
 CLEAR, CLEAR_ABOVE, CLEAR_BELOW = 0.9, 30, 20
@@ -16,12 +17,15 @@ WEAK = 0.5
 
 
 def regime_label(adx: Column, atr_pct: Column) -> Column:
-    """``trending_`` or ``range_`` with ``stable`` or ``volatile``; ``unknown`` on NULL input."""
-    trend = F.when(adx > TREND_ADX, "trending_").when(adx <= TREND_ADX, "range_")
-    volatility = F.when(atr_pct < VOLATILE_ATR_PCT, "stable").when(
-        atr_pct >= VOLATILE_ATR_PCT, "volatile"
+    """One of the five labels; ``unknown`` on NULL input."""
+    stable, volatile = atr_pct < VOLATILE_ATR_PCT, atr_pct >= VOLATILE_ATR_PCT
+    return (
+        F.when((adx > TREND_ADX) & stable, "trending_stable")
+        .when((adx > TREND_ADX) & volatile, "trending_volatile")
+        .when((adx <= TREND_ADX) & stable, "range_stable")
+        .when((adx <= TREND_ADX) & volatile, "range_volatile")
+        .otherwise("unknown")
     )
-    return F.coalesce(F.concat(trend, volatility), F.lit("unknown"))
 
 
 def regime_confidence(adx: Column) -> Column:
@@ -74,3 +78,41 @@ def regime_distribution(regimes: DataFrame) -> DataFrame:
         )
         .orderBy(F.desc("count"))
     )
+
+
+def restated_symbols(bars: DataFrame, held: DataFrame, since: str) -> DataFrame:
+    """Symbols whose bars before ``since`` do not give the held regimes: a new event changed their
+    prices, or a day came or went. Only the symbol, the day and the close are compared."""
+    day = F.col("trade_date_market") < since
+    now = bars.filter(day).select("symbol", "trade_date_market", to_money("close").alias("_now"))
+    then = held.filter(day).select("symbol", "trade_date_market", F.col("close_price").alias("_then"))
+    both = now.withColumn("_in", F.lit(1)).unionByName(
+        then.withColumn("_in", F.lit(2)), allowMissingColumns=True
+    )
+    days = both.groupBy("symbol", "trade_date_market").agg(
+        F.sum("_in").alias("_in"), F.max("_now").alias("_now"), F.max("_then").alias("_then")
+    )
+    apart = (F.col("_in") != 3) | ~F.col("_now").eqNullSafe(F.col("_then"))
+    return days.filter(apart).select("symbol").distinct()
+
+
+def regime_updates(bars: DataFrame, held: DataFrame, since: str) -> DataFrame:
+    """All rows of the days on which a run from ``since`` on changes the ``held`` regimes.
+
+    Days from ``since`` on are computed with as much history as they need. A symbol whose earlier
+    prices were restated is computed as a whole; on its earlier days the rows of the other symbols
+    are the held ones.
+    """
+    restated = stored(restated_symbols(bars, held, since), "restated")
+    same = lambda rows: rows["symbol"].eqNullSafe(restated["symbol"])
+    day = F.col("trade_date_market")
+    steady = bars.join(restated, same(bars), "left_anti")
+    recent = detect_regimes(look_back_from(steady, since)).filter(day >= since)
+    if restated.isEmpty():
+        return recent
+    whole = stored(detect_regimes(bars.join(restated, same(bars), "left_semi")), "restated_regimes")
+    before = held.filter(day < since)
+    gone = before.join(restated, same(before), "left_semi").select("trade_date_market")
+    days = whole.filter(day < since).select("trade_date_market").union(gone).distinct()
+    others = before.join(restated, same(before), "left_anti").join(days, "trade_date_market", "left_semi")
+    return recent.unionByName(whole).unionByName(others.select(recent.columns))

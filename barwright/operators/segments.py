@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 SEGMENT_ROWS = 1024
 BAR_NO = "bar_no"
+#: The symbol for joins: bars without one are a group of their own there too, as in a window.
+KEY = "_key"
 DAY = "trade_date_market"
 SLICE = "_slice"
 
@@ -30,7 +32,12 @@ def with_slice(rows: DataFrame, day: str = DAY) -> DataFrame:
     if SLICE in rows.columns:
         return rows
     # An undated bar sorts before all others, so its slice does too.
-    return rows.withColumn(SLICE, F.coalesce(F.year(day), F.lit(-1)))
+    return rows.withColumns(
+        {
+            KEY: F.coalesce(F.concat(F.lit("="), "symbol"), F.lit("")),
+            SLICE: F.coalesce(F.year(day), F.lit(-1)),
+        }
+    )
 
 
 def number_bars(
@@ -46,17 +53,17 @@ def number_bars(
     for ``bars`` in counting the bars per year: any cheaper frame with the same symbols and days.
     """
     totals = dict(totals_back or {})
-    symbol = Window.partitionBy("symbol")
+    symbol = Window.partitionBy(KEY)
     to_here = symbol.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
     newer = symbol.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    newest_first = Window.partitionBy("symbol", SLICE).orderBy(F.desc(DAY))
+    newest_first = Window.partitionBy(KEY, SLICE).orderBy(F.desc(DAY))
 
     counted = with_slice(bars if totals or calendar is None else calendar)
     slices = (
-        counted.groupBy("symbol", SLICE)
+        counted.groupBy(KEY, SLICE)
         .agg(F.count("*").alias("_rows"), *[F.sum(v).alias(name) for name, v in totals.items()])
         .select(
-            "symbol",
+            KEY,
             SLICE,
             F.sum("_rows").over(to_here).alias("_rows_to_here"),
             *[F.sum(name).over(newer).alias(f"_newer_{name}") for name in totals],
@@ -74,8 +81,8 @@ def number_bars(
         here, carried = F.col(name), F.col(f"_newer_{name}")
         return F.coalesce(here + carried, here, carried).alias(name)
 
-    return local.join(slices, ["symbol", SLICE], "left").select(
-        *[name for name in bars.columns if name != SLICE],
+    return local.join(slices, [KEY, SLICE], "left").select(
+        *[name for name in bars.columns if name not in (KEY, SLICE)],
         *[total(name) for name in totals],
         (F.col("_rows_to_here") - F.col("_row")).alias(BAR_NO),
     )

@@ -15,9 +15,9 @@ from pyspark.sql.types import StructType
 from barwright import schemas
 from barwright.operators import curate as curation
 from barwright.operators import quality
-from barwright.operators.actions import adjust_prices, latest_events
-from barwright.operators.indicators import look_back_from
-from barwright.operators.regime import detect_regimes, on_adjusted_prices
+from barwright.operators.actions import adjust_prices, latest_events, unmatched_events
+from barwright.operators.regime import detect_regimes, on_adjusted_prices, regime_updates
+from barwright.scratch import stored
 from barwright.sinks import (
     append_new,
     land_envelopes,
@@ -33,12 +33,13 @@ from barwright.sources import (
     read_or_empty,
     read_stock_documents,
     read_table,
+    rejected_landings,
 )
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the layers live below one base path."""
+    """Where the layers live below one base path. The folder names are fixed values."""
 
     base: str
 
@@ -56,20 +57,11 @@ class Layout:
         return f"{self.base}/processed/{fmt}/fact_date={run_date}"
 
 
-def _landed(
-    spark: SparkSession, layout: Layout, execution_date: str, multi_line: bool
-) -> DataFrame:
+def _landed(spark: SparkSession, layout: Layout, execution_date: str) -> DataFrame:
     """Keys of all envelopes of a run date, over the endpoints."""
     keys = [
         quality.landed_keys(
-            read_landing(
-                spark,
-                layout.landing,
-                endpoint,
-                execution_date,
-                required=False,
-                multi_line=multi_line,
-            )
+            read_landing(spark, layout.landing, endpoint, execution_date, required=False)
         )
         for endpoint in schemas.ENDPOINTS
     ]
@@ -87,7 +79,6 @@ def land(
             endpoint,
             execution_date,
             required=False,
-            multi_line=False,
         )
         land_envelopes(quality.not_yet_landed(incoming, held), layout.landing, endpoint)
 
@@ -97,12 +88,18 @@ def check_landing(
     layout: Layout,
     symbols: DataFrame,
     execution_date: str,
-    *,
-    multi_line: bool = True,
 ) -> DataFrame:
-    """Raise unless every symbol landed at every endpoint; otherwise the summary per symbol."""
+    """Raise unless every symbol landed at every endpoint and everything landed can be read;
+    otherwise the summary per symbol."""
+    rejected = [
+        rejected_landings(spark, layout.landing, endpoint, execution_date).count()
+        for endpoint in schemas.ENDPOINTS
+    ]
+    if any(rejected):
+        counts = ", ".join(f"{n} of {e}" for n, e in zip(rejected, schemas.ENDPOINTS, strict=True) if n)
+        raise ValueError(f"landed documents that do not parse: {counts}")
     expected = quality.expected_landings(symbols, execution_date)
-    landed = _landed(spark, layout, execution_date, multi_line)
+    landed = _landed(spark, layout, execution_date)
     quality.require_complete(quality.landing_gaps(expected, landed))
     return quality.landing_summary(expected, landed)
 
@@ -110,9 +107,17 @@ def check_landing(
 def append_events(
     events: DataFrame, id_column: str, path: str, schema: StructType, date_column: str
 ) -> None:
-    """Append events that are new or whose content changed; readers take the latest per id."""
+    """Append events that differ from the latest version held; readers take the latest per id.
+
+    Of the held table only what has an id of the batch is looked at.
+    """
     content = [name for name in schema.names if name != "ingestion_timestamp"]
-    append_new(latest_events(events, id_column), path, schema, content, [date_column])
+    batch = latest_events(events, id_column).select(schema.names)
+    held = read_or_empty(batch.sparkSession, path, schema)
+    ids = batch.select("symbol", id_column).distinct()
+    same_id = [held[c].eqNullSafe(ids[c]) for c in ("symbol", id_column)]
+    latest = latest_events(held.join(ids, same_id, "left_semi"), id_column)
+    append_new(batch, path, schema, content, [date_column], held=latest)
 
 
 def curate(
@@ -121,7 +126,6 @@ def curate(
     execution_date: str,
     *,
     ingested_at: Column | None = None,
-    multi_line: bool = True,
 ) -> None:
     """Landing to ``ohlcv``, ``splits`` and ``dividends``.
 
@@ -136,7 +140,6 @@ def curate(
             endpoint,
             execution_date,
             required=required,
-            multi_line=multi_line,
         )
 
     bars = curation.curate_ohlcv(landing("daily_ohlcv", required=True))
@@ -163,22 +166,39 @@ def adjust(spark: SparkSession, layout: Layout) -> DataFrame:
     return read_table(spark, layout.curated("ohlcv_adjusted"), schemas.OHLCV_ADJUSTED)
 
 
+def events_without_bar(spark: SparkSession, layout: Layout) -> DataFrame:
+    """``symbol, event_id, event_date`` of splits and dividends that no bar shows, so that they
+    change no price."""
+    bars = read_table(spark, layout.curated("ohlcv"), schemas.OHLCV, ["symbol", "trade_date_market"])
+    tables = (
+        ("splits", schemas.SPLITS, "split_id", "execution_date"),
+        ("dividends", schemas.DIVIDENDS, "dividend_id", "ex_dividend_date"),
+    )
+    found = []
+    for name, schema, event_id, day in tables:
+        events = latest_events(read_or_empty(spark, layout.curated(name), schema), event_id)
+        lost = unmatched_events(bars, events.select("symbol", event_id, day), day)
+        found.append(lost.select("symbol", F.col(event_id).alias("event_id"), F.col(day).alias("event_date")))
+    return quality.union_providers(*found)
+
+
 def detect(spark: SparkSession, layout: Layout, since: str | None = None) -> DataFrame:
     """``ohlcv_adjusted`` to ``regime``; returns the written table for reports on it.
 
-    With ``since``, only that day and later ones are computed and replaced. That is enough as
-    long as no split or dividend changed the adjusted prices of earlier days.
+    A full run replaces the table. With ``since``, that day and later ones are computed and
+    replaced, and the earlier days of symbols whose adjusted prices a new event has changed. A day
+    that lost its last bar stays until the next full run.
     """
+    path = layout.curated("regime")
     adjusted = read_table(spark, layout.curated("ohlcv_adjusted"), schemas.OHLCV_ADJUSTED)
     bars = on_adjusted_prices(adjusted)
     if since is None:
-        regimes = detect_regimes(bars)
+        overwrite_table(detect_regimes(bars), path, ["trade_date_market"])
     else:
-        regimes = detect_regimes(look_back_from(bars, since)).filter(
-            F.col("trade_date_market") >= since
-        )
-    overwrite_partitions(regimes, layout.curated("regime"), ["trade_date_market"])
-    return read_table(spark, layout.curated("regime"), schemas.REGIME)
+        held = read_or_empty(spark, path, schemas.REGIME)
+        updates = stored(regime_updates(bars, held, since), "regimes")
+        overwrite_partitions(updates, path, ["trade_date_market"])
+    return read_table(spark, path, schemas.REGIME)
 
 
 def stocks(
@@ -206,7 +226,7 @@ def load_contacts(
     csv_path: str,
     url: str,
     properties: Mapping[str, str],
-    table: str = "POC",
+    table: str,
 ) -> None:
     """A contact CSV, one row per e-mail and contact, to a database table."""
     contacts = read_csv_text(spark, csv_path)

@@ -135,10 +135,14 @@ STOCKS = _struct(
     low=DOUBLE,
     close=DOUBLE,
     volume=LONG,
+    record_date=DATE,
     date=DATE,
     return_pct=DOUBLE,
 )
 
+#: Field of a stock document for the day of its record, where the run that fetched it noted one.
+STOCK_RECORD_DATE = "record_date"
+
 # Field names of the symbol-keyed stock document, with the column each becomes.
 STOCK_FIELDS = {
     "1. open": "open",
@@ -148,5 +152,5 @@ STOCK_FIELDS = {
     "5. volume": "volume",
 }
 STOCK_DOCUMENT = MapType(
-    STRING, StructType([StructField(name, STRING) for name in STOCK_FIELDS])
+    STRING, StructType([StructField(name, STRING) for name in (*STOCK_FIELDS, STOCK_RECORD_DATE)])
 )

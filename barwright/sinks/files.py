@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barwright.scratch import stored
 from barwright.sources.files import read_or_empty
 
 
@@ -49,23 +50,30 @@ def append_new(
     schema: StructType | str,
     keys: Sequence[str],
     partition_by: Sequence[str] = (),
+    *,
+    held: DataFrame | None = None,
 ) -> None:
-    """Append the rows whose key the table does not hold yet.
+    """Append the rows whose key the table, or ``held`` as a part of it, does not hold yet.
 
     Keys compare NULL-safe. ``df`` must be unique on the keys.
     """
-    held = read_or_empty(df.sparkSession, path, schema, keys)
+    if held is None:
+        held = read_or_empty(df.sparkSession, path, schema, keys)
     same = [F.col(f"new.{key}").eqNullSafe(F.col(f"held.{key}")) for key in keys]
     new = df.alias("new").join(held.alias("held"), same, "left_anti")
     _writer(new, "append", partition_by).parquet(path)
 
 
 def write_formats(df: DataFrame, targets: Mapping[str, Target]) -> None:
-    """Write the same rows once per format, each with its own path, partitioning and codec.
+    """Write the same rows in each format, with its own path, partitioning and codec.
+
+    The rows are computed once, into the shared folder, before any target is touched: rows that
+    cannot be computed leave what was there.
 
     Any format on the classpath will do: ``parquet``, ``orc``, ``json``; ``avro`` needs the
     spark-avro package.
     """
+    df = stored(df, "formats")
     for fmt, target in targets.items():
         writer = _writer(df, "overwrite", target.partition_by)
         if target.codec:

@@ -16,9 +16,9 @@ def write_jdbc(
 ) -> None:
     """Replace a database table by the rows of ``df``.
 
-    ``connections`` bounds the load on the database; Spark merges partitions down to it. Each
-    task commits once. A task lost after its commit is run again, so load a keyed table
+    ``connections`` bounds the load on the database; the rows are dealt out to as many tasks, so
+    that what computes them keeps its own number of tasks. Each task commits once. A task lost after its commit is run again, so load a keyed table
     (``truncate=true`` in the properties keeps its definition) where that must not show.
     """
     options = {"numPartitions": str(connections), "batchsize": str(batch_size), **properties}
-    df.write.jdbc(url, table, mode="overwrite", properties=options)
+    df.repartition(connections).write.jdbc(url, table, mode="overwrite", properties=options)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.dates import market_zone
 from barwright.schemas import ENDPOINT_RESULTS, PROVIDER
+from barwright.sources.landing import LINES
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -51,10 +52,12 @@ def envelopes(
 
 
 def land_envelopes(envelopes: DataFrame, base: str, endpoint: str) -> None:
-    """Add envelopes of one endpoint as JSON lines below ``base/<endpoint>/ingestion_date=<date>``.
+    """Add envelopes of one endpoint as JSON lines below ``base/<endpoint>/ingestion_date=<date>``,
+    in the folder that :func:`barwright.sources.read_landing` takes for lines.
 
     Nothing landed is touched; pass the envelopes through
     :func:`barwright.operators.quality.not_yet_landed` first so a second run adds nothing.
     """
-    dated = envelopes.withColumn("ingestion_date", F.col("execution_date"))
-    dated.write.mode("append").partitionBy("ingestion_date").json(f"{base}/{endpoint}")
+    name, _, value = LINES.partition("=")
+    dated = envelopes.withColumns({"ingestion_date": F.col("execution_date"), name: F.lit(value)})
+    dated.write.mode("append").partitionBy("ingestion_date", name).json(f"{base}/{endpoint}")

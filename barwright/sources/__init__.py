@@ -1,6 +1,6 @@
 """Readers with explicit schemas."""
 from barwright.sources.files import read_csv_text, read_or_empty, read_table
-from barwright.sources.landing import landing_path, read_landing, read_stock_documents
+from barwright.sources.landing import landing_path, read_landing, read_stock_documents, rejected_landings
 
 __all__ = [
     "landing_path",
@@ -9,4 +9,5 @@ __all__ = [
     "read_or_empty",
     "read_stock_documents",
     "read_table",
+    "rejected_landings",
 ]

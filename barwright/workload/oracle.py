@@ -95,6 +95,14 @@ adjusted AS (
 
 RAW_PRICES = """
 prices AS (SELECT symbol, trade_date_market, high, low, close FROM bars)"""
+NAMELESS = """
+prices AS (
+  SELECT symbol, trade_date_market, high, low, close FROM bars
+  WHERE CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) % 5 <> 0
+  UNION ALL
+  SELECT NULL, trade_date_market, max(high), min(low), max(close) FROM bars
+  WHERE CAST(regexp_extract(symbol, '[0-9]+') AS INTEGER) % 5 = 0 GROUP BY trade_date_market
+)"""
 ADJUSTED_PRICES = """
 prices AS (
   SELECT symbol, trade_date_market, adjusted_high AS high, adjusted_low AS low, adjusted_close AS close
@@ -168,10 +176,6 @@ expected AS (
   FROM suppliers, (VALUES ('daily_ohlcv'), ('splits'), ('dividends')) e(endpoint_type)
 )"""
 
-YEARLY = """
-yearly AS (
-  SELECT symbol, trade_date_market, close, volume, CAST(year(trade_date_market) AS INTEGER) AS year FROM bars
-)"""
 
 
 def _with(*parts: str) -> str:
@@ -203,6 +207,20 @@ _TEXT = """CASE event_type WHEN 'error' THEN 'n/a'
       WHEN 'click' THEN CAST(user_id AS VARCHAR) || '.75' ELSE CAST(user_id AS VARCHAR) END"""
 _MS = "epoch_ms(ts)"
 
+_CURATED_BARS = _with(BARS) + f"""
+    SELECT symbol, CASE WHEN ms IS NOT NULL THEN CAST(timezone(CASE WHEN symbol LIKE '%.NS' OR symbol LIKE '%.BO' THEN 'Asia/Kolkata' ELSE 'US/Eastern' END,
+            timezone('UTC', make_timestamp(ms * 1000))) AS DATE) END AS trade_date_market,
+        CASE WHEN ms IS NOT NULL THEN CAST(make_timestamp(ms * 1000) AS DATE) END AS trade_date_utc,
+        open, high, round(low, 6) AS low, close, volume, round(vwap, 6) AS vwap,
+        CAST(transactions AS INTEGER) AS transactions,
+        coalesce(ms, 1000000000000000000) AS raw_timestamp_ms, 'polygon' AS provider
+    FROM (SELECT *, CASE WHEN n % 7 <> 0 THEN (n * 24 + 2 + 7 * (n % 4)) * 3600000 END AS ms
+        FROM (SELECT *, CAST(date_diff('day', DATE '1970-01-01', trade_date_market) AS BIGINT) AS n FROM bars))"""
+
+_STOCKS = _with(BARS) + f"""SELECT symbol, open, high, round(low, 8) AS low, close, CAST(volume AS BIGINT) AS volume,
+        trade_date_market AS record_date, DATE '{RUN_DATE}' AS date, round((close - open) / nullif(open, 0), 8) AS return_pct
+        FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date_market DESC) = 1"""
+
 ORACLE = {
     "bars_daily": _with(BARS)
     + f"SELECT {_KEY}, open, high, round(low, 6) AS low, close, volume, round(vwap, 6) AS vwap, transactions FROM bars",
@@ -233,12 +251,8 @@ ORACLE = {
     + f"SELECT {_KEY}, round((close - open) / nullif(open, 0), 8) AS return_pct FROM bars",
     "short_key": f"""SELECT o_orderkey, {_digits('o_orderkey * 1000003', 84, 9)} AS key_84,
         {_digits('o_orderkey * 1000003', 16, 15)} AS key_16 FROM orders""",
-    "curate_ohlcv": _with(BARS)
-    + f"""SELECT symbol, trade_date_market, trade_date_market AS trade_date_utc, open, high,
-        round(low, 6) AS low, close, volume, round(vwap, 6) AS vwap,
-        CAST(transactions AS INTEGER) AS transactions,
-        CAST(date_diff('day', DATE '1970-01-01', trade_date_market) AS BIGINT) * 86400000 + 18000000 AS raw_timestamp_ms,
-        'polygon' AS provider FROM bars""",
+    "curate_ohlcv": _CURATED_BARS,
+    "curate_documents": _CURATED_BARS,
     "curate_splits": _with(SPLITS)
     + "SELECT symbol, split_id, execution_date, split_from, split_to, split_to / split_from AS split_ratio FROM splits",
     "curate_dividends": _with(DIVIDENDS) + "SELECT * FROM dividends",
@@ -264,10 +278,8 @@ ORACLE = {
     "new_landings_only": _with(BARS)
     + """SELECT symbol, 'daily_ohlcv' AS endpoint_type, CAST(trade_date_market AS VARCHAR) AS execution_date, close
         FROM bars WHERE trade_date_market >= DATE '1999-01-01'""",
-    "stock_document_rows": _with(BARS)
-    + f"""SELECT symbol, open, high, round(low, 8) AS low, close, CAST(volume AS BIGINT) AS volume,
-        DATE '{RUN_DATE}' AS date, round((close - open) / nullif(open, 0), 8) AS return_pct
-        FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date_market DESC) = 1""",
+    "stock_document_rows": _STOCKS,
+    "curate_stock_documents": _STOCKS,
     "latest_per_symbol": _with(BARS)
     + f"""SELECT {_KEY}, open, high, round(low, 6) AS low, close, volume, round(vwap, 6) AS vwap, transactions
         FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date_market DESC) = 1""",
@@ -323,6 +335,8 @@ ORACLE = {
     "regime_since": _REGIMES
     + "SELECT * FROM regimes WHERE trade_date_market >= DATE '2001-01-01'",
     "adjusted_regime": _ADJUSTED_REGIMES + "SELECT * FROM regimes",
+    "regime_restated": _ADJUSTED_REGIMES + "SELECT * FROM regimes",
+    "regime_without_symbol": _with(BARS, NAMELESS, INDICATORS, REGIMES) + "SELECT * FROM regimes",
     "distinct_symbols": _with(BARS) + "SELECT DISTINCT symbol FROM bars",
     "layer_counts": _with(BARS, SPLITS, DIVIDENDS)
     + """SELECT 'ohlcv' AS layer, CAST(count(*) AS BIGINT) AS row_count FROM bars
@@ -340,17 +354,19 @@ ORACLE = {
         SELECT o_orderpriority, CAST(o_orderdate AS DATE), max(ceil(o_totalprice / 1000)),
                min(ceil(o_totalprice / 1000)), NULL, count(*)
         FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)""",
-    "partition_overwrite": _with(BARS, YEARLY)
-    + f"SELECT {_KEY}, close, volume + CASE WHEN year = 2001 THEN 1 ELSE 0 END AS volume, year FROM yearly",
-    "full_overwrite": _with(BARS, YEARLY) + "SELECT * FROM yearly WHERE year >= 1999",
+    "partition_overwrite": _with(BARS)
+    + f"""SELECT {_KEY}, close, volume + CASE WHEN year(trade_date_market) = 2001 THEN 1 ELSE 0 END AS volume
+        FROM bars""",
+    "full_overwrite": _with(BARS)
+    + f"SELECT {_KEY}, close, volume FROM bars WHERE year(trade_date_market) >= 1999",
     "append_once": _with(DIVIDENDS)
-    + """SELECT DISTINCT symbol, dividend_id, cash_amount, CAST(year(ex_dividend_date) AS INTEGER) AS year
-        FROM dividends""",
+    + "SELECT DISTINCT symbol, dividend_id, cash_amount, ex_dividend_date FROM dividends",
     "append_events_twice": _with(SPLITS)
-    + """SELECT symbol, split_id, CAST(date_trunc('year', execution_date) AS DATE) AS execution_date,
-        split_from, split_to, split_ratio FROM splits""",
-    "multi_format": _with(BARS, YEARLY)
-    + "SELECT y.*, f.format FROM yearly y, (VALUES ('parquet'), ('orc')) f(format)",
+    + "SELECT symbol, split_id, execution_date, split_from, split_to, split_ratio FROM splits",
+    "append_corrections": _with(SPLITS)
+    + "SELECT symbol, split_id, execution_date, split_from, split_to, split_ratio FROM splits",
+    "multi_format": _with(BARS)
+    + f"""SELECT {_KEY}, close, volume, f.format FROM bars, (VALUES ('parquet'), ('orc')) f(format)""",
     "parquet_subset": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
     "csv_load": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment AS "E-mail",
         CAST(c_nationkey AS VARCHAR) AS "Contact" FROM customer""",

@@ -6,13 +6,14 @@ folder first and return what a reader then finds there.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright import schemas
 from barwright.functions import columns, dates
 from barwright.operators import actions, curate, indicators, quality, regime
 from barwright.plans.jobs import append_events
+from barwright.scratch import stored
 from barwright.sinks import (
     append_new,
     envelopes,
@@ -23,6 +24,7 @@ from barwright.sinks import (
 )
 from barwright.sinks.files import Target
 from barwright.sources import (
+    landing_path,
     read_csv_text,
     read_landing,
     read_or_empty,
@@ -156,9 +158,10 @@ def short_key(spark, sf_dir):
 # --- landing and curation ------------------------------------------------------------------
 
 
-def _ohlcv_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ohlcv_results(spark: SparkSession, sf_dir: str, *also: Column) -> DataFrame:
     return t.bars(spark, sf_dir).select(
         "symbol",
+        *also,
         t.open_of_day_ms().alias("t"),
         F.col("open").alias("o"),
         F.col("high").alias("h"),
@@ -192,7 +195,7 @@ def _landed(
 ) -> DataFrame:
     base = t.scratch(spark, "landing")
     land_envelopes(envelopes(results, endpoint, RUN_DATE, requested=requested), base, endpoint)
-    return read_landing(spark, base, endpoint, RUN_DATE, multi_line=False)
+    return read_landing(spark, base, endpoint, RUN_DATE)
 
 
 @query
@@ -209,6 +212,28 @@ def curate_splits(spark, sf_dir):
     return curate.curate_splits(landed).drop("ingestion_timestamp")
 
 
+@query
+def curate_documents(spark, sf_dir):
+    """Indented documents, each with all bars of a symbol and year."""
+    results = _ohlcv_results(spark, sf_dir, F.year("trade_date_market").alias("year"))
+    fields = [f.name for f in schemas.ENDPOINT_RESULTS["daily_ohlcv"]]
+    yearly = results.groupBy("symbol", "year").agg(F.collect_list(F.struct(*fields)).alias("results"))
+    document = F.to_json(
+        F.struct(
+            "symbol",
+            F.lit("daily_ohlcv").alias("endpoint_type"),
+            F.lit(RUN_DATE).alias("execution_date"),
+            dates.market_zone("symbol").alias("market_timezone"),
+            F.struct("results").alias("payload"),
+        ),
+        {"pretty": "true"},
+    )
+    base = t.scratch(spark, "documents")
+    yearly.select(document.alias("value")).write.text(landing_path(base, "daily_ohlcv", RUN_DATE))
+    landed = read_landing(spark, base, "daily_ohlcv", RUN_DATE)
+    return rounded(curate.curate_ohlcv(landed), 6, "low", "vwap")
+
+
 @query
 def curate_dividends(spark, sf_dir):
     landed = _landed(
@@ -271,20 +296,40 @@ def new_landings_only(spark, sf_dir):
     return quality.not_yet_landed(daily, daily.filter(F.col("execution_date") < "1999-01-01"))
 
 
-@query
-def stock_document_rows(spark, sf_dir):
+def _stock_documents(spark: SparkSession, sf_dir: str, *keys: str) -> str:
+    """Files of the newest bar of each symbol, a document for each value of ``keys``."""
     newest = quality.newest_per_symbol(t.bars(spark, sf_dir))
     whole = F.col("volume").cast("bigint")
     texts = {**{p: F.col(p) for p in ("open", "high", "low", "close")}, "volume": whole}
     prices = F.struct(
-        *[texts[name].cast("string").alias(field) for field, name in schemas.STOCK_FIELDS.items()]
+        *[texts[name].cast("string").alias(field) for field, name in schemas.STOCK_FIELDS.items()],
+        F.col("trade_date_market").cast("string").alias(schemas.STOCK_RECORD_DATE),
     )
+    documents = newest.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("symbol", prices))).alias("stocks"))
     path = t.scratch(spark, "stocks")
-    newest.select(F.to_json(F.create_map("symbol", prices)).alias("value")).write.text(path)
-    rows = curate.curate_stocks(read_stock_documents(spark, path, multi_line=False), RUN_DATE)
+    documents.select(F.to_json("stocks", {"pretty": "true"}).alias("value")).write.text(path)
+    return path
+
+
+@query
+def stock_document_rows(spark, sf_dir):
+    """A document per symbol."""
+    path = _stock_documents(spark, sf_dir, "symbol")
+    rows = curate.curate_stocks(read_stock_documents(spark, path), RUN_DATE)
     return rounded(rows, 8, "low", "return_pct")
 
 
+@query
+def curate_stock_documents(spark, sf_dir):
+    """Indented documents of several symbols, those whose newest bars are of one day, written as
+    Parquet by date and symbol and read again."""
+    path = _stock_documents(spark, sf_dir, "trade_date_market")
+    rows = curate.curate_stocks(read_stock_documents(spark, path), RUN_DATE)
+    target = Target(t.scratch(spark, "processed"), ["date", "symbol"])
+    write_formats(rows, {"parquet": target})
+    return rounded(read_table(spark, target.path, schemas.STOCKS), 8, "low", "return_pct")
+
+
 @query
 def latest_per_symbol(spark, sf_dir):
     return rounded(quality.newest_per_symbol(t.bars(spark, sf_dir)), 6, "low", "vwap")
@@ -456,6 +501,36 @@ def adjusted_regime(spark, sf_dir):
     return regime.detect_regimes(regime.on_adjusted_prices(adjusted))
 
 
+@query
+def regime_without_symbol(spark, sf_dir):
+    """Regimes where the bars of every fifth supplier have no symbol: they are a group of their own,
+    here told apart in time by their supplier."""
+    bars = t.bars(spark, sf_dir)
+    nameless = F.pmod(F.regexp_extract("symbol", "[0-9]+", 0).cast("int"), F.lit(5)) == 0
+    kept = bars.filter(~nameless)
+    lost = bars.filter(nameless).groupBy("trade_date_market").agg(
+        *[F.max(p).alias(p) for p in ("open", "high", "close", "volume")], F.min("low").alias("low")
+    )
+    columns = [*KEY, "open", "high", "low", "close", "volume"]
+    both = kept.select(columns).unionByName(lost.withColumn("symbol", F.lit(None).cast("string")).select(columns))
+    return regime.detect_regimes(both)
+
+
+@query
+def regime_restated(spark, sf_dir):
+    """Regimes of bars adjusted by the splits before 2000 only, then a run since 2001 with all splits:
+    as if all had been there from the start."""
+    bars, splits, dividends = _three(spark, sf_dir)
+    early = splits.filter("execution_date < DATE '2000-01-01'")
+    first, then = (
+        regime.on_adjusted_prices(actions.adjust_prices(bars, s, dividends)) for s in (early, splits)
+    )
+    held = stored(regime.detect_regimes(first), "regimes")
+    updates = stored(regime.regime_updates(then, held, "2001-01-01"), "updates")
+    days = updates.select("trade_date_market").distinct()
+    return held.join(days, "trade_date_market", "left_anti").select(updates.columns).unionByName(updates)
+
+
 @query
 def regime_since(spark, sf_dir):
     """Regimes from 2001 on, computed from those bars and the look-back before them."""
@@ -522,75 +597,82 @@ def union_providers(spark, sf_dir):
 
 # --- files ---------------------------------------------------------------------------------
 
-BY_YEAR = "symbol string, trade_date_market date, close double, volume double, year int"
+BY_DAY = "symbol string, trade_date_market date, close double, volume double"
 
 
-def _yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.bars(spark, sf_dir).select(
-        *KEY, "close", "volume", F.year("trade_date_market").alias("year")
-    )
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.bars(spark, sf_dir).select(*KEY, "close", "volume")
 
 
 @query
 def partition_overwrite(spark, sf_dir):
-    """All years, then 2001 again with other volumes: the other years stay."""
-    path, bars = t.scratch(spark, "partitions"), _yearly(spark, sf_dir)
-    overwrite_partitions(bars, path, ["year"])
-    again = bars.filter("year = 2001").withColumn("volume", F.col("volume") + 1)
-    overwrite_partitions(again, path, ["year"])
-    return read_table(spark, path, BY_YEAR)
+    """All days, then those of 2001 again with other volumes: the other days stay."""
+    path, bars = t.scratch(spark, "partitions"), _daily(spark, sf_dir)
+    overwrite_partitions(bars, path, ["trade_date_market"])
+    again = bars.filter(F.year("trade_date_market") == 2001).withColumn("volume", F.col("volume") + 1)
+    overwrite_partitions(again, path, ["trade_date_market"])
+    return read_table(spark, path, BY_DAY)
 
 
 @query
 def full_overwrite(spark, sf_dir):
-    """All years, then the table again from 1999: the earlier years go."""
-    path, bars = t.scratch(spark, "table"), _yearly(spark, sf_dir)
-    overwrite_table(bars, path, ["year"])
-    overwrite_table(bars.filter("year >= 1999"), path, ["year"])
-    return read_table(spark, path, BY_YEAR)
+    """All days, then the table again from 1999: the earlier days go."""
+    path, bars = t.scratch(spark, "table"), _daily(spark, sf_dir)
+    overwrite_table(bars, path, ["trade_date_market"])
+    overwrite_table(bars.filter(F.year("trade_date_market") >= 1999), path, ["trade_date_market"])
+    return read_table(spark, path, BY_DAY)
 
 
 @query
 def append_once(spark, sf_dir):
     """Events to 1999, then all of them: each is there once."""
     path = t.scratch(spark, "events")
-    schema = "symbol string, dividend_id string, cash_amount double, year int"
-    paid = t.dividends(spark, sf_dir).select(
-        "symbol", "dividend_id", "cash_amount", F.year("ex_dividend_date").alias("year")
-    ).distinct()
-    keys = ["symbol", "dividend_id", "cash_amount", "year"]
-    append_new(paid.filter("year < 2000"), path, schema, keys, ["year"])
-    append_new(paid, path, schema, keys, ["year"])
+    schema = "symbol string, dividend_id string, cash_amount double, ex_dividend_date date"
+    keys = ["symbol", "dividend_id", "cash_amount", "ex_dividend_date"]
+    paid = t.dividends(spark, sf_dir).select(keys).distinct()
+    append_new(paid.filter("year(ex_dividend_date) < 2000"), path, schema, keys, ["ex_dividend_date"])
+    append_new(paid, path, schema, keys, ["ex_dividend_date"])
     return read_table(spark, path, schema)
 
 
-@query
-def append_events_twice(spark, sf_dir):
-    """Curated splits appended by two runs."""
+def _append_runs(spark: SparkSession, sf_dir: str, *ratios: float) -> DataFrame:
+    """The table of splits after a run for each factor of the ratios."""
     path = t.scratch(spark, "splits")
-    for run in ("2001-08-02 03:00:00", "2001-08-03 03:00:00"):
+    for day, ratio in enumerate(ratios, 2):
         curated = t.splits(spark, sf_dir).withColumns(
             {
-                # A few dates keep the folder count of this trial down.
-                "execution_date": F.trunc("execution_date", "year"),
-                "ingestion_timestamp": F.lit(run).cast("timestamp"),
+                "split_ratio": F.col("split_ratio") * ratio,
+                "ingestion_timestamp": F.lit(f"2001-08-0{day} 03:00:00").cast("timestamp"),
             }
         )
         append_events(curated, "split_id", path, schemas.SPLITS, "execution_date")
-    return read_table(spark, path, schemas.SPLITS).drop("ingestion_timestamp")
+    return read_table(spark, path, schemas.SPLITS)
+
+
+@query
+def append_events_twice(spark, sf_dir):
+    """Curated splits appended by two runs."""
+    return _append_runs(spark, sf_dir, 1.0, 1.0).drop("ingestion_timestamp")
+
+
+@query
+def append_corrections(spark, sf_dir):
+    """Splits whose ratios are doubled by a second run and put back by a third."""
+    latest = actions.latest_events(_append_runs(spark, sf_dir, 1.0, 2.0, 1.0), "split_id")
+    return latest.drop("ingestion_timestamp")
 
 
 @query
 def multi_format(spark, sf_dir):
-    """The same rows as Parquet by year and as ORC, read back from both."""
-    base, bars = t.scratch(spark, "formats"), _yearly(spark, sf_dir)
+    """The same rows as Parquet by day and as ORC, read back from both."""
+    base, bars = t.scratch(spark, "formats"), _daily(spark, sf_dir)
     targets = {
-        "parquet": Target(f"{base}/parquet", ["year"]),
+        "parquet": Target(f"{base}/parquet", ["trade_date_market"]),
         "orc": Target(f"{base}/orc", codec="zlib"),
     }
     write_formats(bars, targets)
     copies = [
-        read_table(spark, target.path, BY_YEAR, fmt=fmt).withColumn("format", F.lit(fmt))
+        read_table(spark, target.path, BY_DAY, fmt=fmt).withColumn("format", F.lit(fmt))
         for fmt, target in targets.items()
     ]
     return quality.union_providers(*copies)

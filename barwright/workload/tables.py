@@ -7,14 +7,11 @@ adjusted prices do not end on a rounding boundary. Results then do not hang on t
 summation.
 """
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.scratch import fresh_folder
+
 DAY = "trade_date_market"
 
 
@@ -23,16 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share.
-
-    The session names that folder in ``spark.checkpoint.dir``. Only where it is unset, as on a
-    single machine, is a temporary folder used instead, and removed at exit.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="barwright-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder all executors share, removed when the session ends."""
+    return fresh_folder(spark, name)
 
 
 # Supplier key with an exchange suffix: none, ``.NS`` or ``.BO``.
@@ -51,13 +40,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "floor(l_tax * 100 + 0.5D) AS up",
         "floor(l_discount * 100 + 0.5D) AS down",
     )
-    # The trade number with the price in its low eleven bits: the minimum is the first trade of
-    # the day and the maximum the last, in a plain numeric aggregate.
     daily = trades.groupBy("l_suppkey", DAY).agg(
-        F.expr("min(trade_no * 2048 + price) % 2048 AS open"),
+        F.expr("min_by(price, trade_no) AS open"),
         F.expr("max(price + up) AS high"),
         F.expr("min(price - down) AS bottom"),
-        F.expr("max(trade_no * 2048 + price) % 2048 AS close"),
+        F.expr("max_by(price, trade_no) AS close"),
         F.expr("sum(quantity) AS volume"),
         F.expr("sum(price * quantity) / sum(quantity) AS vwap"),
         F.expr("count(*) AS transactions"),
@@ -119,5 +106,8 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_of_day_ms(day: str = DAY) -> Column:
-    """Epoch milliseconds of 05:00 UTC: the same calendar day in both market zones."""
-    return (F.unix_date(day).cast("bigint") * 24 + 5) * 3_600_000
+    """Epoch milliseconds at 02:00, 09:00, 16:00 and 23:00 UTC in turn: early hours are the day
+    before in the US, late ones the day after in India. Every seventh day is out of range."""
+    number = F.unix_date(day).cast("bigint")
+    ms = (number * 24 + 2 + 7 * (number % 4)) * 3_600_000
+    return F.when(number % 7 == 0, 1e18).otherwise(ms.cast("double"))

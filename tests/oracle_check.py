@@ -54,13 +54,14 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or [name for name in queries() if name in oracle_sql()]
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"{Path.cwd().as_uri()}/spark-warehouse/_oracle")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -217,5 +217,5 @@ def test_bars_are_not_shuffled_for_the_events(spark):
     by = re.findall(r"- Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))
     assert sorted(by) == sorted(
         # bars twice, bars' closes, events by day, events by year, bars per year twice
-        ["symbol, _slice", "symbol, _segment", "symbol, _slice", "symbol, day", "symbol, _slice", "symbol", "symbol, _slice"]
+        ["_key, _slice", "symbol, _segment", "_key, _slice", "symbol, day", "_key, _slice", "_key", "_key, _slice"]
     )

@@ -113,7 +113,7 @@ def test_stocks(spark, tmp_path, ansi):
     stocks = curate.curate_stocks(read_stock_documents(spark, str(tmp_path / "stocks.json")), RUN)
     assert [(f.name, f.dataType) for f in stocks.schema] == [(f.name, f.dataType) for f in schemas.STOCKS]
     assert {tuple(r) for r in stocks.collect()} == {
-        ("IBM", 2.0, 9.0, 1.0, 3.0, 100, date(2024, 1, 2), 0.5),
-        ("0700", 0.0, 9.0, 1.0, 1.0, None, date(2024, 1, 2), None),
-        ("BAD", None, 9.0, 1.0, 1.0, 7, date(2024, 1, 2), None),
+        ("IBM", 2.0, 9.0, 1.0, 3.0, 100, None, date(2024, 1, 2), 0.5),
+        ("0700", 0.0, 9.0, 1.0, 1.0, None, None, date(2024, 1, 2), None),
+        ("BAD", None, 9.0, 1.0, 1.0, 7, None, date(2024, 1, 2), None),
     }

@@ -146,9 +146,9 @@ def test_envelopes(spark, tmp_path):
     wrapped = envelopes(splits, "splits", "2024-01-02", requested=asked, ingested_at=stamp)
     assert wrapped.schema.simpleString() == schemas.landing_schema(schemas.SPLIT_RESULT).simpleString()
     for _ in range(2):
-        held = read_landing(spark, str(tmp_path), "splits", "2024-01-02", required=False, multi_line=False)
+        held = read_landing(spark, str(tmp_path), "splits", "2024-01-02", required=False)
         land_envelopes(not_yet_landed(wrapped, held), str(tmp_path), "splits")
-    rows = read_landing(spark, str(tmp_path), "splits", "2024-01-02", multi_line=False).collect()
+    rows = read_landing(spark, str(tmp_path), "splits", "2024-01-02").collect()
     assert sorted((r.symbol, r.market_timezone, [x.id for x in r.payload.results]) for r in rows) == [
         ("A.NS", "Asia/Kolkata", ["1"]),
         ("A.NS", "Asia/Kolkata", ["2"]),
@@ -167,11 +167,14 @@ def test_no_empty_envelope_for_bars(spark):
 
 def test_jdbc_call(spark):
     """No database here: only what is handed to the writer is checked."""
-    with mock.patch.object(DataFrameWriter, "jdbc") as write:
-        write_jdbc(table(spark, ("A", D1, 1.0)), "jdbc:x", "POC", {"user": "u", "batchsize": "5"})
+    with mock.patch.object(DataFrameWriter, "jdbc", autospec=True) as write:
+        write_jdbc(table(spark, ("A", D1, 1.0)), "jdbc:x", "contacts", {"user": "u", "batchsize": "5"})
+    writer = write.call_args.args[0]
+    assert writer._df.rdd.getNumPartitions() == 16
     write.assert_called_once_with(
+        writer,
         "jdbc:x",
-        "POC",
+        "contacts",
         mode="overwrite",
         properties={"numPartitions": "16", "batchsize": "5", "user": "u"},
     )

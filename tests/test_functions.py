@@ -132,3 +132,10 @@ def test_short_key_decodes(spark, base):
 def test_short_key_rejects_other_bases(base):
     with pytest.raises(ValueError):
         columns.short_key("n", base)
+
+
+def test_epochs_beyond_all_dates_are_null(spark, ansi):
+    values = [1e30, -1e30, 1e18, float("nan"), float("inf"), None, 253402128000000.0, -62135510400000.0]
+    rows = spark.createDataFrame([(v,) for v in values], "t double")
+    got = rows.select(dates.market_date("t", F.lit(dates.INDIA)).alias("m"), dates.utc_date("t").alias("u")).collect()
+    assert [r.u is None for r in got] == [r.m is None for r in got] == [True] * 6 + [False] * 2

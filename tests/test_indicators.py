@@ -198,10 +198,21 @@ def test_one_exchange_for_the_windows(spark):
 def test_no_task_gets_all_bars_of_a_symbol(spark):
     """Only the table of bars per year is gathered by symbol."""
     plan = plan_of(regime.detect_regimes(frame(spark, random_bars(31, SIZES))))
-    assert len(re.findall(r"hashpartitioning\(symbol#\d+, \d+\)", plan)) == 1
+    assert len(re.findall(r"hashpartitioning\(_key#\d+, \d+\)", plan)) == 1
     assert "partial_count(1)" in plan
 
 
 def test_look_back_is_limited_before_the_shuffle(spark):
     plan = plan_of(indicators.look_back_from(frame(spark, random_bars(31, SIZES)), "1990-01-01"))
     assert re.search(r"WindowGroupLimit .*, 27, Partial", plan)
+
+
+@pytest.mark.parametrize("segment_rows", [28, 1024])
+def test_bars_without_symbol_are_a_group_of_their_own(spark, segment_rows):
+    """As many rows come out as go in, with the values a symbol of that name would have."""
+    rows = [(None if r[0] == "N" else r[0], *r[1:]) for r in random_bars(9, {"A": 40, "N": 70})]
+    named = [("N" if r[0] is None else r[0], *r[1:]) for r in rows]
+    for step in (indicators.previous_prices, indicators.true_range, indicators.average_true_range, indicators.directional_movement, indicators.directional_index, indicators.trend_indicators):
+        got = step(spark.createDataFrame(rows, BAR_SCHEMA), segment_rows=segment_rows).fillna({"symbol": "N"})
+        want = step(spark.createDataFrame(named, BAR_SCHEMA), segment_rows=segment_rows)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 110

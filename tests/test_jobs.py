@@ -1,8 +1,10 @@
 """The jobs end to end, through the layers on disk, each run twice."""
 
 import json
+import shutil
 import sys
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from pathlib import Path
 from unittest import mock
 
 import pytest
@@ -14,10 +16,12 @@ from test_curate import drop_document
 from barwright import __main__ as cli
 from barwright import plans, schemas
 from barwright.operators.quality import IncompleteLanding
+from barwright.operators.actions import latest_events
 from barwright.plans import Layout
+from barwright.plans.jobs import append_events, events_without_bar
 from barwright.sinks import envelopes
 from barwright.sinks.files import Target
-from barwright.sources import read_table
+from barwright.sources import read_landing, read_table, rejected_landings
 
 RUN = "2024-01-02"
 
@@ -111,8 +115,9 @@ def test_gate(spark, market):
     symbols = spark.createDataFrame([("AAPL",), ("0700",)], "symbol string")
     assert plans.check_landing(spark, layout, symbols, RUN).filter("succeeded").count() == 2
     more = symbols.union(spark.createDataFrame([("MSFT",)], "symbol string"))
-    with pytest.raises(IncompleteLanding, match="MSFT: splits"):
+    with pytest.raises(IncompleteLanding, match="3 landings") as error:
         plans.check_landing(spark, layout, more, RUN)
+    assert {(g.symbol, g.endpoint_type) for g in error.value.gaps.collect()} == {("MSFT", e) for e in schemas.ENDPOINTS}
 
 
 def test_curating_without_the_gate_loses_a_day(spark, market, tmp_path):
@@ -143,8 +148,102 @@ def test_land_twice(spark, tmp_path):
     asked = spark.createDataFrame([("A",), ("B",)], "symbol string")
     for _ in range(2):
         plans.land(layout, RUN, {"splits": envelopes(splits, "splits", RUN, requested=asked)})
-    landed = spark.read.json(f"{layout.landing}/splits/ingestion_date={RUN}")
-    assert landed.count() == 2
+    assert read_landing(spark, layout.landing, "splits", RUN).count() == 2
+
+
+def test_landed_lines_pass_the_gate_and_are_curated_in_full(spark, tmp_path):
+    """All jobs with their defaults, several rows per file."""
+    layout = Layout(str(tmp_path))
+    schema = "symbol string, t double, o double, h double, l double, c double, v double, vw double, n double"
+    days = [date(2024, 1, 1) + timedelta(k) for k in range(40)]
+    bars = spark.createDataFrame([("A", float(ms(d)), 1.0, 2.0, 0.5, 1.5, 9.0, 1.1, 3.0) for d in days], schema).coalesce(1)
+    splits = spark.createDataFrame([], "symbol string, id string, execution_date string, split_from double, split_to double")
+    dividends = spark.createDataFrame([], "symbol string, " + schemas.ENDPOINT_RESULTS["dividends"].simpleString()[7:-1].replace(":", " "))
+    symbols = spark.createDataFrame([("A",)], "symbol string")
+    frames = {"daily_ohlcv": bars, "splits": splits, "dividends": dividends}
+    plans.land(layout, RUN, {e: envelopes(f, e, RUN, requested=symbols) for e, f in frames.items()})
+    assert plans.check_landing(spark, layout, symbols, RUN).filter("succeeded").count() == 1
+    plans.curate(spark, layout, RUN)
+    assert curated(spark, layout, "ohlcv", schemas.OHLCV).count() == 40
+    # a document dropped beside the lines is read as well
+    drop_document(tmp_path / "landing" / "polygon", "daily_ohlcv", "B", {"results": [{"t": ms(days[0]), "c": 1.0}]})
+    assert read_landing(spark, layout.landing, "daily_ohlcv", RUN).count() == 41
+
+
+def test_what_does_not_parse_stops_the_run_and_is_listed(spark, market):
+    layout, base, _, _ = market
+    folder = base / "daily_ohlcv" / f"ingestion_date={RUN}"
+    (folder / "BAD.json").write_text('{"symbol": "BAD", "payload": {"results": [{"t": 1')
+    (folder / "two.json").write_text('{"symbol": "X", "payload": {"results": []}}\n{"symbol": "Y"\n{"symbol": "Z"}\n')
+    rejected = rejected_landings(spark, layout.landing, "daily_ohlcv", RUN).collect()
+    assert sorted(r.file.rsplit("/", 1)[1] for r in rejected) == ["BAD.json", "two.json"]
+    symbols = spark.createDataFrame([("AAPL",)], "symbol string")
+    with pytest.raises(ValueError, match="2 of daily_ohlcv"):
+        plans.check_landing(spark, layout, symbols, RUN)
+    with pytest.raises(Exception, match="not a landing document"):
+        plans.curate(spark, layout, RUN)
+
+
+def test_a_bad_stock_document_leaves_the_old_table(spark, tmp_path):
+    layout = Layout(str(tmp_path))
+    document = tmp_path / "landing" / f"fact_date={RUN}" / "stocks.json"
+    document.parent.mkdir(parents=True)
+    entry = {"1. open": "2", "2. high": "4", "3. low": "1", "4. close": "3", "5. volume": "10", "record_date": "2023-12-29"}
+    document.write_text(json.dumps({"IBM": entry}, indent=2))
+    targets = {"parquet": Target(layout.processed("parquet", RUN), ["date", "symbol"])}
+    plans.stocks(spark, layout, RUN, targets)
+    document.write_text(json.dumps({"IBM": entry}, indent=2)[:40])
+    with pytest.raises(Exception, match="not a stock document"):
+        plans.stocks(spark, layout, RUN, targets)
+    left = read_table(spark, targets["parquet"].path, schemas.STOCKS).collect()
+    assert [(r.symbol, r.record_date) for r in left] == [("IBM", date(2023, 12, 29))]
+
+
+@pytest.mark.parametrize("ratios", [(2, 4, 2), (2, 2, 4), (None, 2, None)])
+def test_the_last_version_of_an_event_wins(spark, tmp_path, ratios):
+    path = str(tmp_path / "splits")
+    for k, ratio in enumerate(ratios):
+        day = None if ratio is None else date(2024, 1, ratio)
+        row = ("A", "s1", day, 1.0, ratio and float(ratio), ratio and float(ratio), datetime(2024, 2, 1 + k))
+        other = ("A", f"new{k}", date(2024, 1, 1), 1.0, 2.0, 2.0, datetime(2024, 2, 1 + k))
+        for _ in range(2):
+            append_events(spark.createDataFrame([row, other], schemas.SPLITS), "split_id", path, schemas.SPLITS, "execution_date")
+    table = read_table(spark, path, schemas.SPLITS)
+    latest = {r.split_id: r for r in latest_events(table, "split_id").collect()}
+    assert latest["s1"].split_ratio == ratios[-1] and len(latest) == 4
+    changes = 1 + sum(a != b for a, b in zip(ratios, ratios[1:], strict=False))
+    assert table.count() == 3 + changes
+
+
+def test_a_full_run_drops_vanished_days(spark, market):
+    layout, _, histories, _ = market
+    run_all(spark, layout)
+    day = histories["AAPL"][5][1]
+    path = layout.curated("ohlcv_adjusted")
+    shutil.rmtree(Path(path) / f"trade_date_market={day}")
+    rows = read_table(spark, path, schemas.OHLCV_ADJUSTED).count()
+    assert plans.detect(spark, layout).count() == rows < 45
+
+
+def test_a_new_split_restates_older_days(spark, market):
+    """A run since a late day after a new split gives what a full run gives."""
+    layout, base, histories, _ = market
+    run_all(spark, layout)
+    late = histories["AAPL"][30][1]
+    split = {"id": "late", "execution_date": str(late), "split_from": 1, "split_to": 7}
+    drop_document(base, "splits", "AAPL", {"results": [split]})
+    plans.curate(spark, layout, RUN)
+    plans.adjust(spark, layout)
+    since = sorted(plans.detect(spark, layout, str(histories["AAPL"][35][1])).collect())
+    assert since == sorted(plans.detect(spark, layout).collect()) and len(since) == 45
+
+
+def test_events_without_bar(spark, market):
+    layout, base, histories, _ = market
+    lost = {"id": "lost", "execution_date": "1999-01-01", "split_from": 1, "split_to": 2}
+    drop_document(base, "splits", "0700", {"results": [lost]})
+    run_all(spark, layout)
+    assert [tuple(r) for r in events_without_bar(spark, layout).collect()] == [("0700", "lost", date(1999, 1, 1))]
 
 
 def test_stocks(spark, tmp_path):
@@ -162,7 +261,7 @@ def test_stocks(spark, tmp_path):
     for fmt, target in targets.items():
         rows = read_table(spark, target.path, schemas.STOCKS, fmt=fmt).collect()
         assert sorted(tuple(r) for r in rows) == [
-            (s, 2.0, 4.0, 1.0, 3.0, 10, date(2024, 1, 2), 0.5) for s in ("0700", "IBM")
+            (s, 2.0, 4.0, 1.0, 3.0, 10, None, date(2024, 1, 2), 0.5) for s in ("0700", "IBM")
         ]
 
 
@@ -170,9 +269,9 @@ def test_contacts(spark, tmp_path):
     """No database here: the frame handed to the writer is checked."""
     (tmp_path / "c.csv").write_text("E-mail,Contact,Name\na,1,x\na,1,y\n,2,z\n,2,w\nb,1,v\n")
     with mock.patch("barwright.plans.jobs.write_jdbc") as write:
-        plans.load_contacts(spark, str(tmp_path / "c.csv"), "jdbc:x", {"user": "u"})
+        plans.load_contacts(spark, str(tmp_path / "c.csv"), "jdbc:x", {"user": "u"}, "contacts")
     frame, *rest = write.call_args.args
-    assert rest == ["jdbc:x", "POC", {"user": "u"}]
+    assert rest == ["jdbc:x", "contacts", {"user": "u"}]
     assert sorted((r["E-mail"] or "", r.Contact) for r in frame.collect()) == [("", "2"), ("a", "1"), ("b", "1")]
 
 

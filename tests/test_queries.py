@@ -6,6 +6,7 @@ from unittest import mock
 import pytest
 from oracle_check import compare, connect
 
+from barwright.scratch import release, shared_folder, stored
 from barwright.workload.oracle import ORACLE
 from barwright.workload.queries import QUERIES
 from barwright.workload.tables import scratch
@@ -24,9 +25,27 @@ def test_every_query_has_an_oracle():
     assert QUERIES.keys() == ORACLE.keys()
 
 
+#: Queries that write a folder per day; a table of few days will do here.
+BY_DAY = ("partition_overwrite", "full_overwrite", "multi_format", "append_once", "append_events_twice", "append_corrections")
+
+
+@pytest.fixture(scope="module")
+def few_days(duck, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("few_days")
+    for table in Path(SF_DIR).glob("*.parquet"):
+        if table.stem != "lineitem":
+            (folder / table.name).symlink_to(table)
+    duck.execute(
+        f"""COPY (SELECT * FROM '{SF_DIR}/lineitem.parquet'
+            WHERE strftime(l_shipdate, '%Y-%m') IN ('1998-12', '1999-01', '2001-01')) TO '{folder}/lineitem.parquet'"""
+    )
+    return str(folder), connect(str(folder))
+
+
 @pytest.mark.parametrize("name", QUERIES)
-def test_query(spark, duck, name):
-    same, note = compare(spark, duck, SF_DIR, QUERIES[name], ORACLE[name])
+def test_query(spark, duck, few_days, name):
+    sf_dir, con = few_days if name in BY_DAY else (SF_DIR, duck)
+    same, note = compare(spark, con, sf_dir, QUERIES[name], ORACLE[name])
     assert same, note
 
 
@@ -37,11 +56,21 @@ def test_entry(spark):
 
 
 def test_scratch_folder(spark, tmp_path):
-    """Shared if the session names one, else temporary; never the same twice."""
+    """Shared if the session names one, else below the warehouse; never the same twice."""
     first, second = scratch(spark, "x"), scratch(spark, "x")
     shared = spark.conf.get("spark.checkpoint.dir")
     assert first != second and all(p.startswith(f"{shared}/x-") for p in (first, second))
     unnamed = mock.Mock()
-    unnamed.conf.get.return_value = None
-    with mock.patch("tempfile.mkdtemp", return_value=str(tmp_path / "own")):
-        assert scratch(unnamed, "x").startswith(str(tmp_path / "own" / "x-"))
+    unnamed.conf.get.side_effect = lambda key, *_: "file:/house/" if "warehouse" in key else None
+    assert shared_folder(unnamed) == "file:/house/_scratch"
+
+
+def test_intermediate_tables(spark):
+    """Written, typed as before, and gone once released."""
+    rows = spark.createDataFrame([(1, None), (2, ["a"])], "k int, v array<string>")
+    kept = stored(rows, "trial")
+    assert kept.schema == rows.schema and sorted(kept.collect()) == sorted(rows.collect())
+    folders = list(Path(spark.conf.get("spark.checkpoint.dir")).glob("trial-*"))
+    assert folders
+    release(spark)
+    assert not any(f.exists() for f in folders)
