@@ -77,7 +77,7 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, thres
 
     hits = F.filter(F.flatten(F.transform("grams", compared)), lambda m: m["dice"] >= threshold)
     rows = rows.select("doc_id", hits.alias("matches"))
-    return rows.select("doc_id", F.array_sort(F.array_distinct(F.col("matches.license"))).alias("licenses"), F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best"), "matches")
+    return rows.select("doc_id", F.sort_array(F.array_distinct(F.col("matches.license"))).alias("licenses"), F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best"), "matches")
 
 
 def bigrams_of(text: str) -> set[str]:

@@ -62,7 +62,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     joined = found.join(learnt.withColumnsRenamed({"doc_id": "d", "print": "p"}), same, "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    every = F.array_sort(F.concat(base, F.coalesce("learnt", none)))
+    every = F.sort_array(F.concat(base, F.coalesce("learnt", none)))
     return joined.select("doc_id", "print", _named(base).alias("base"), _named(every).alias("spans"))
 
 
@@ -85,7 +85,7 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _without(text: Column, spans: Column) -> Column:
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cut(seen: Column, s: Column) -> Column:

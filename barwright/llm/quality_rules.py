@@ -42,6 +42,7 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    rows = _with_repeats(rows)
     size = F.length("_text")
     counted = {
         "n_words": F.size("_words"),
@@ -49,7 +50,7 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
         "n_symbols": size - F.length(F.translate("_text", SYMBOLS, "")),
         "n_lines": F.size("_lines"),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeated("_words"),
+        "n_repeat_words": _covered("_places"),
         "n_capitals": size - F.length(F.translate("_text", UPPER, "")),
     }
     return rows.select(*keep, *[c.cast("long").alias(name) for name, c in counted.items()])
@@ -89,30 +90,35 @@ def cascade_order(docs: DataFrame, rules: dict[str, str] = RULES, sample_rows: i
     return sorted(rules, key=lambda name: -estimates[name][0] / estimates[name][1])
 
 
-def _repeated(words: str) -> Column:
-    """Words in windows of REPEAT words of which the text has more than one.
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """Add ``_places``, where windows of REPEAT ``_words`` begin that the text has more than once.
 
     Windows are compared by 64-bit hashes, built by doubling: of one word, of two, of four, of eight.
-    Only where some are equal are they sorted to find which.
+    Only where some are equal are they sorted to find which. Each step is a column of its own, as
+    its value is used more than once.
     """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     width = 1
     while width < REPEAT:
-        n = F.greatest(F.lit(0), F.size(hashes) - width)
-        hashes = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, F.least(F.lit(width + 1), F.size(words) + 1), n), lambda a, b: F.xxhash64(a, b))
+        n = F.greatest(F.lit(0), F.size("_hashes") - width)
+        rows = rows.withColumn("_count", n)
+        both = F.zip_with(F.slice("_hashes", 1, F.col("_count")), F.slice("_hashes", width + 1, F.col("_count")), lambda a, b: F.xxhash64(a, b))
+        rows = rows.withColumn("_hashes", both)
         width *= 2
-    return F.when(F.size(words) < REPEAT, F.lit(0)).otherwise(_covered(hashes))
+    placed = F.sort_array(F.transform("_hashes", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
+    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    rows = rows.withColumn("_placed", F.when(some, placed).otherwise(F.array().cast("array<struct<h:bigint,k:int>>")))
+    # the sort brings equal windows together; a window counts if its neighbour equals it
+    after = F.zip_with("_placed", F.slice("_placed", 2, F.size("_placed")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(after, lambda x: x["a"]["h"] == x["b"]["h"])
+    return rows.withColumn("_places", F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.array(x["a"]["k"], x["b"]["k"]))))))
+
 
+def _covered(places: str) -> Column:
+    """Words in the windows that begin at sorted places."""
 
-def _covered(hashes: Column) -> Column:
     def union(seen: Column, at: Column) -> Column:
         fresh = F.least(F.lit(REPEAT), at + REPEAT - seen["end"])
         return F.struct((seen["n"] + fresh).alias("n"), (at + REPEAT).alias("end"))
 
-    placed = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
-    # the sort brings equal windows together; a window counts if its neighbour equals it
-    after = F.zip_with(placed, F.slice(placed, 2, F.size(placed)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.filter(after, lambda x: x["a"]["h"] == x["b"]["h"])
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(pairs, lambda x: F.array(x["a"]["k"], x["b"]["k"])))))
-    count = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), union, lambda s: s["n"])
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(count)
+    return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), union, lambda s: s["n"])
