@@ -1,7 +1,4 @@
-"""Texts of an Arrow batch as flat numpy arrays: bytes, words and their hashes.
-
-Nothing here knows Spark; the operators call it on the rows of one task.
-"""
+"""Texts of an Arrow batch as flat numpy arrays: bytes, words and their hashes."""
 
 from __future__ import annotations
 
@@ -9,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at a time, so that the arrays of a task stay small whatever a batch holds.
 #: A longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,6 +23,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """``rows`` for a function over Arrow batches, in a session that makes batches of BATCH_ROWS rows
+    at most: whole texts of ten thousand rows, Spark's default, are too much for a Python worker
+    beside others. A session that asks for fewer rows keeps its setting."""
+    session, name = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(session.conf.get(name)) <= BATCH_ROWS:
+        session.conf.set(name, str(BATCH_ROWS))
+    return rows
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, one past the last, bytes, where each row's text starts and the last ends)``.
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from barwright.llm import flat
+
 #: Letters of the longest n-grams and how many of them a profile and a document rank.
 LONGEST, RANKED = 3, 300
 UNDETERMINED = "und"
@@ -26,7 +28,7 @@ MOST_LANGUAGES = 10_000
 #: Distinct n-grams a task counts before it hands its counts on.
 HELD_GRAMS = 1 << 20
 #: Code points of text handled at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BITS = np.int64(21)
 
@@ -106,7 +108,7 @@ def fit_profiles(labelled: DataFrame) -> DataFrame:
         yield _counted(held)
 
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = flat.in_small_batches(rows).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(most) - 1).filter(F.col("rank") < RANKED).select("lang", "gram", "rank")
 
@@ -161,7 +163,7 @@ def identify(docs: DataFrame, profiles: DataFrame, *, keep: tuple[str, ...] = ("
         raise ValueError(f"column names clash: {names_out}")
     rows = docs.select("text", *[docs[c].alias(f"_{c}") for c in keep])
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(predict, schema)
+    return flat.in_small_batches(rows).mapInArrow(predict, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barwright.llm import flat
+
 MARK = "▁"
 #: Words kept per task for texts that repeat them; the store is emptied when it is full.
 KEPT_WORDS = 400_000
@@ -267,7 +269,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
             rows = [[i for word in words for i in word] for words in encoder.words(texts)]
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(ids, "doc_id long, ids array<long>")
+    return flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(ids, "doc_id long, ids array<long>")
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
@@ -308,7 +310,7 @@ def digest_documents(docs: DataFrame, model: str, *, with_ids: bool = False) ->
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(digests, schema)
+    return flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(digests, schema)
 
 
 @lru_cache(maxsize=1)

@@ -63,7 +63,7 @@ def fit(target: DataFrame, raw: DataFrame) -> np.ndarray:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
 
-        return rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(side))
+        return flat.in_small_batches(rows).select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(side))
 
     both = counts(target, "target").join(counts(raw, "raw"), "bucket", "full").na.fill(0).toArrow()  # BUCKETS rows at most
     models = []
@@ -94,7 +94,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, *, seed: int = 1) -> DataFrame:
 
     noise = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(2**53)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (-F.log(-F.log(noise))).alias("noise"))
-    rows = rows.mapInArrow(add, "doc_id long, noise double, n_grams long, log_weight double")
+    rows = flat.in_small_batches(rows).mapInArrow(add, "doc_id long, noise double, n_grams long, log_weight double")
     return rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
 
 

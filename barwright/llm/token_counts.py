@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm import flat
+
 #: Where a token that crosses the end of a section counts: where its first or its last character
 #: lies, or where most of them lie (the first of equals).
 RULES = ("first", "last", "most")
@@ -56,7 +58,7 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, *, rule: str = "firs
                 yield _rows(part.column("doc_id"), [_counted(coder, t or "", s, sections is None, rule) for t, s in zip(part.column("text").to_pylist(), given, strict=True)])
 
     columns = ["doc_id", "text"] + ([F.col(sections).alias("sections")] if sections else [])
-    return docs.select(*columns).mapInArrow(attribute, f"doc_id long, n_tokens long, n_crossing long, n_outside long, sections {_COUNTED}")
+    return flat.in_small_batches(docs).select(*columns).mapInArrow(attribute, f"doc_id long, n_tokens long, n_crossing long, n_outside long, sections {_COUNTED}")
 
 
 _COUNTED = "array<struct<name:string,start:int,end:int,n_tokens:long>>"
