@@ -32,7 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of :func:`stored` that nothing reads any more."""
+    fs, at = _file_system(table.sparkSession, table._stored_at)
+    fs.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

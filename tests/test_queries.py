@@ -6,7 +6,7 @@ from unittest import mock
 import pytest
 from oracle_check import compare, connect
 
-from barwright.scratch import release, shared_folder, stored
+from barwright.scratch import discard, release, shared_folder, stored
 from barwright.workload.oracle import ORACLE
 from barwright.workload.queries import QUERIES
 from barwright.workload.tables import scratch
@@ -72,5 +72,8 @@ def test_intermediate_tables(spark):
     assert kept.schema == rows.schema and sorted(kept.collect()) == sorted(rows.collect())
     folders = list(Path(spark.conf.get("spark.checkpoint.dir")).glob("trial-*"))
     assert folders
+    other = stored(rows, "other")
+    discard(other)
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("other-*")) and kept.count() == 2
     release(spark)
     assert not any(f.exists() for f in folders)
