@@ -151,7 +151,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
-                OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+                OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
                 OR 100 * n_capitals > 40 * word_chars) AS kept
         FROM f
     """,
