@@ -86,3 +86,53 @@ def test_odd_rows_and_empty_tables(spark):
     assert urls.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     one_kind = urls.judge_urls(spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/")], SCHEMA)).collect()
     assert [(r["verdict"], r["score"]) for r in one_kind] == [("allow", 0.0)] * 2
+
+
+def counted(rows):
+    """Exact counts of both kinds by text, of contexts and of n-grams, as plain dictionaries."""
+    seen = [({}, {}), ({}, {})]
+    for ruling, told in rows:
+        context, both = seen[ruling == "block"]
+        for k in range(len(told)):
+            for size in range(min(k, urls.CONTEXT) + 1):
+                context[told[k - size : k]] = context.get(told[k - size : k], 0) + 1
+                both[told[k - size : k + 1]] = both.get(told[k - size : k + 1], 0) + 1
+    return seen
+
+
+def exact(seen, told):
+    total = 0.0
+    for k in range(len(told)):
+        chance = [1 / 256, 1 / 256]
+        for size in range(min(k, urls.CONTEXT) + 1):
+            for x in (0, 1):
+                context, both = (s.get(told[k - size : k + e], 0) for e, s in enumerate(seen[x]))
+                chance[x] = (both + urls.PRIOR * chance[x]) / (context + urls.PRIOR)
+        total += np.log(chance[0]) - np.log(chance[1])
+    return total / max(len(told), 1)
+
+
+def test_counts_stay_exact_with_many_ngrams(spark):
+    """Some 400,000 distinct n-grams, more than the 2 ** 18 buckets that the counts once shared."""
+    r = random.Random(5)
+    rows = [("allow" if k % 2 else "block", "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40))) for k in range(4000)]
+    pages = spark.createDataFrame([(k, t, t[:5], t[5:]) for k, (t, _) in enumerate(map(reversed, rows))], "page_id long, told string, host string, path string")
+    told = spark.createDataFrame(rows, "ruling string, told string")
+    seen = counted(rows)
+    assert sum(len(both) for _, both in seen) > 1 << 18
+    asked = pages.selectExpr("page_id", "host", "path", "null AS rule", "null AS ruling", "concat(reverse(host), path) AS told").limit(20)
+    for r in urls._score(asked, urls._fit(told)).collect():
+        assert abs(r["score"] - exact(seen, r["told"])) < 1e-9
+
+
+def test_a_model_too_large_to_send_scores_alike(spark, monkeypatch):
+    rows = made() + list(enumerate(ODD)) + [(1, ODD[4]), (1, ODD[4]), (None, ODD[4])]
+    pages = spark.createDataFrame(rows, SCHEMA)
+
+    def judged():
+        return sorted(((r["page_id"], r["host"], r["path"], r["verdict"], round(r["score"], 9)) for r in urls.judge_urls(pages).collect()), key=str)
+
+    small = judged()
+    monkeypatch.setattr(urls, "GATHERED", 0)
+    monkeypatch.setattr(urls, "BLOCK", 5)
+    assert judged() == small
