@@ -2,11 +2,13 @@
 
 Lines and paragraphs are normalised to lower-case words and compared to templates. The coefficient
 cannot reach the threshold where one side has too many bigrams for the other, so these templates
-are not compared at all.
+are not compared at all. A template that no whole line or paragraph reaches is sought in windows of
+about its size over the words of the whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -48,10 +50,12 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, thres
     """``doc_id, licenses, best, matches`` for each row of ``docs(doc_id, text)``.
 
     ``matches`` has ``(license, dice)`` of each line, and each paragraph of several lines, that
-    reaches the threshold for a template; ``licenses`` names these once each, sorted; ``best`` is the
-    largest coefficient among them or 0. A null or empty text has none. Repeated rows and null
-    doc_ids stay; other columns are left out. All lines of a text are compared, whatever its length.
+    reaches the threshold for a template, and of the best window of a text for each template that none
+    of these reaches; ``licenses`` names these once each, sorted; ``best`` is the largest coefficient
+    among them or 0. A null or empty text has none. Repeated rows and null doc_ids stay; other columns
+    are left out. All lines and windows of a text are compared, whatever its length.
     """
+    lengths = [len(_words(text)) - 1 for _, text in templates if bigrams_of(text)]
     known = [(name, sorted(bigrams_of(text))) for name, text in templates]
     known = [(name, grams) for name, grams in known if grams]
     sizes = [len(grams) for _, grams in known]
@@ -59,27 +63,83 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, thres
     low = min(threshold / (2 - threshold) * n for n in sizes)
     high = max((2 - threshold) / threshold * n for n in sizes)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("all_words", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    rows = rows.withColumn("all_grams", _pairs(F.col("all_words")))
+    every = sorted({gram for _, own in known for gram in own})
+    rows = rows.withColumn("some_grams", F.array_intersect("all_grams", F.array(*map(F.lit, every))))
     parts = F.array_distinct(F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[\x20\x09\x0D]*\n"), lambda p: p.contains("\n"))))
     worded = F.transform(parts, lambda p: F.filter(F.split(F.lower(p), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     # a passage has a bigram for each pair of words at most
-    rows = rows.select("doc_id", F.filter(worded, lambda w: F.size(w) - 1 >= low).alias("parts"))
-    pairs = F.transform("parts", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))))
-    rows = rows.select("doc_id", F.filter(pairs, lambda b: F.size(b).between(low, high)).alias("grams"))
+    rows = rows.select("doc_id", "all_grams", "some_grams", F.filter(worded, lambda w: F.size(w) - 1 >= low).alias("parts"))
+    pairs = F.transform("parts", lambda w: F.array_distinct(_pairs(w)))
+    rows = rows.select("doc_id", "all_grams", "some_grams", F.filter(pairs, lambda b: F.size(b).between(low, high)).alias("grams"))
 
     def compared(grams: Column) -> Column:
-        def dice(name: str, own: list[str]) -> Column:
+        def dice(k: int, name: str, own: list[str]) -> Column:
             n = len(own)
             value = 2 * F.size(F.array_intersect(grams, F.array(*map(F.lit, own)))) / (F.size(grams) + n)
             fits = F.size(grams).between(threshold / (2 - threshold) * n, (2 - threshold) / threshold * n)
-            return F.struct(F.lit(name).alias("license"), F.when(fits, value).otherwise(0.0).alias("dice"))
+            return F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.when(fits, value).otherwise(0.0).alias("dice"))
 
-        return F.array(*[dice(name, own) for name, own in known])
+        return F.array(*[dice(k, name, own) for k, (name, own) in enumerate(known)])
 
     hits = F.filter(F.flatten(F.transform("grams", compared)), lambda m: m["dice"] >= threshold)
-    rows = rows.select("doc_id", hits.alias("matches"))
+    rows = rows.select("doc_id", "all_grams", "some_grams", hits.alias("hits"))
+    sought = [
+        F.struct(
+            F.lit(k).alias("template"),
+            F.lit(name).alias("license"),
+            F.array(*map(F.lit, own)).alias("own"),
+            # a window that reaches the threshold has so many of them at least
+            F.lit(math.ceil(threshold / (2 - threshold) * len(own) - 1e-9)).alias("least"),
+            F.lit(int((2 - threshold) / threshold * length + 1e-9)).alias("longest"),
+        )
+        for k, ((name, own), length) in enumerate(zip(known, lengths, strict=True))
+    ]
+    missing = F.filter(F.array(*sought), lambda t: (F.size(F.array_intersect("some_grams", t["own"])) >= t["least"]) & ~F.exists("hits", lambda m: m["template"] == t["template"]))
+    rows = rows.withColumn("missing", F.when(F.size("some_grams") > 0, missing).otherwise(F.filter(F.array(*sought), lambda t: F.lit(False))))
+    windows = F.transform("missing", lambda t: F.struct(t["license"].alias("license"), _best_window(F.col("all_grams"), t).alias("dice")))
+    whole = F.transform("hits", lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice")))
+    rows = rows.select("doc_id", F.concat(whole, F.filter(windows, lambda m: m["dice"] >= threshold)).alias("matches"))
     return rows.select("doc_id", F.sort_array(F.array_distinct(F.col("matches.license"))).alias("licenses"), F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best"), "matches")
 
 
+def _pairs(words: Column) -> Column:
+    """Each word with the next one."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _best_window(grams: Column, template: Column) -> Column:
+    """The largest coefficient of a passage of at most ``longest`` word pairs.
+
+    The best one begins and ends at a pair that the template has, and it has ``least`` such pairs, so
+    it is only sought from where these stand close enough together.
+    """
+    own, n = template["own"], F.size(template["own"])
+    places = F.filter(F.transform(grams, lambda g, k: F.when(F.array_contains(own, g), k)), lambda k: k.isNotNull())
+    starts = F.filter(F.zip_with(places, F.slice(places, template["least"], F.size(grams)), lambda a, b: F.when(b - a < template["longest"], a)), lambda a: a.isNotNull())
+
+    def dice(seen: Column) -> Column:
+        return 2 * seen["common"] / (F.size(seen["grams"]) + n)
+
+    def step(seen: Column, gram: Column) -> Column:
+        fresh = ~F.array_contains(seen["grams"], gram)
+        return F.struct(
+            F.when(fresh, F.array_append(seen["grams"], gram)).otherwise(seen["grams"]).alias("grams"),
+            (seen["common"] + (fresh & F.array_contains(own, gram)).cast("int")).alias("common"),
+            F.greatest(seen["best"], dice(seen)).alias("best"),
+        )
+
+    state = F.struct(F.array().cast("array<string>").alias("grams"), F.lit(0).alias("common"), F.lit(0.0).alias("best"))
+    found = F.transform(starts, lambda a: F.aggregate(F.slice(grams, a + 1, template["longest"]), state, step, lambda seen: F.greatest(seen["best"], dice(seen))))
+    return F.coalesce(F.array_max(found), F.lit(0.0))
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
 def bigrams_of(text: str) -> set[str]:
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    words = _words(text)
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}

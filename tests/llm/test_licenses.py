@@ -48,3 +48,38 @@ def test_every_template_finds_itself(spark):
     rows = list(enumerate(t for _, t in licenses.TEMPLATES))
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(name in got[k]["licenses"] and got[k]["best"] == 1.0 for k, (name, _) in enumerate(licenses.TEMPLATES))
+
+
+def best_window(text, template):
+    """The largest coefficient of any passage of at most one and a half times the template's pairs."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    pairs = list(zip(words, words[1:], strict=False))
+    other = [w for w in re.split(r"[\W_]+", template.lower()) if w]
+    own = set(zip(other, other[1:], strict=False))
+    longest = (len(other) - 1) * 3 // 2
+    windows = (set(pairs[a:b]) for a in range(len(pairs)) for b in range(a + 1, min(a + longest, len(pairs)) + 1))
+    return max((2 * len(w & own) / (len(w) + len(own)) for w in windows), default=0.0)
+
+
+INSIDE = [
+    ("MIT", "Copyright 2024 Acme. Released under the MIT License."),
+    ("MIT", "The code in this post is released under the MIT License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3. See LICENSE for the full text of it."),
+    ("Apache-2.0", "/*\n * Copyright 2024 Acme\n *\n * " + licenses.TEMPLATES[1][1].replace("; ", ";\n * ").replace(". ", ".\n * ") + "\n *\n * Unless required by applicable law or agreed to in writing, software\n * is distributed on an \"AS IS\" BASIS.\n */"),
+    ("ISC", "word " * 3000 + licenses.TEMPLATES[5][1] + " and so on" * 3000),
+    ("MIT", "under the mit " * 2000 + "code released under the MIT Licence and license " + "under the mit license or not " * 200),
+    (None, "It was released under the old MIT License of theirs, they say, and of the MIT License once more."),
+    (None, "under the mit " * 20_000),
+]
+
+
+def test_notices_inside_longer_passages(spark):
+    rows = [(k, text) for k, (_, text) in enumerate(INSIDE)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, (name, text) in enumerate(INSIDE):
+        assert (name in got[k]["licenses"]) if name else not got[k]["licenses"]
+        for found in got[k]["matches"] if len(text) < 2000 else []:
+            known = [best_window(text, t) for n, t in licenses.TEMPLATES if n == found["license"]]
+            assert found["dice"] <= max(known) + 1e-12
+    assert [got[k]["best"] for k in (0, 1, 2)] == [1.0, 1.0, 1.0]
+    assert ("Apache-2.0", best_window(INSIDE[3][1], licenses.TEMPLATES[1][1])) in [(m["license"], m["dice"]) for m in got[3]["matches"]]
