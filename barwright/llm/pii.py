@@ -28,11 +28,14 @@ FORMS = {
 }
 #: What may be an identifier without having one of the forms, and the types of these.
 LOOSE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9._-]++|\+?[0-9][0-9().-]{5,}[0-9]"
+#: The same with single spaces, sought by itself: a number beside another one is both, two without
+#: the space and one with it.
+SPACED = r"\+?\(?[0-9](?:[().-]*+\x20?[().-]*+[0-9])++"
 LOOSE_TYPES = {
     "email": r"\A[^@]+@[^@]+\z",
     "ip": r"\A[0-9]+(?:\.[0-9]+){3}\z",
-    "card": r"\A[0-9-]+\z",
-    "phone": r"\A\+?[0-9().-]+\z",
+    "card": r"\A[0-9\x20-]+\z",
+    "phone": r"\A\+?[0-9().\x20-]+\z",
 }
 #: Characters of context looked at on either side, enough for a word.
 CONTEXT = 48
@@ -106,8 +109,9 @@ def _extracted(docs: DataFrame) -> DataFrame:
     """Base spans and loose candidates of each row, with their contexts."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("print"), text.alias("text"))
-    for name, form in {**FORMS, "loose": LOOSE}.items():
-        needed = F.col("text").contains("@" if name == "email" else "+") if name in ("email", "phone") else F.col("text").rlike("[0-9@]")
+    needs = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "spaced": F.col("text").rlike(r"[0-9().-]\x20[0-9().-]")}
+    for name, form in {**FORMS, "loose": LOOSE, "spaced": SPACED}.items():
+        needed = needs.get(name, F.col("text").rlike("[0-9@]"))
         rows = rows.withColumn(f"{name}_values", F.when(needed, F.regexp_extract_all("text", F.lit(form), F.lit(0))).otherwise(F.array().cast("array<string>")))
         some = F.size(f"{name}_values") > 0
         rows = rows.withColumn(f"{name}_pieces", F.when(some, F.split("text", form, -1)).otherwise(F.array().cast("array<string>")))
@@ -122,7 +126,8 @@ def _extracted(docs: DataFrame) -> DataFrame:
         return F.filter(_spans(kind, k), lambda s: valid[kind](s["value"]))
 
     base = F.concat(*[fitting(k, kind) for k, kind in enumerate(KINDS)])
-    rows = rows.select("doc_id", "print", base.alias("base"), _spans("loose", -1).alias("loose"))
+    spaced = F.filter(_spans("spaced", -1), lambda s: s["value"].contains(" ") & F.length(_digits(s["value"])).between(9, 19))
+    rows = rows.select("doc_id", "print", base.alias("base"), F.concat(_spans("loose", -1), spaced).alias("loose"))
     apart = F.filter("loose", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     return rows.select("doc_id", "print", "base", apart.alias("loose"))
 
@@ -187,8 +192,11 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
         sure = stored(sure.filter(F.col("confidence") >= SURE), "sure")
     hits = loose.join(sure, ["kind", "value"])
     # one kind for a place: the surest, then the first listed
-    best = hits.groupBy("doc_id", "print", "start", "end").agg(F.min_by("kind", F.struct(-F.col("confidence"), "kind")).alias("kind"))
-    return best.groupBy("doc_id", "print").agg(F.collect_list(F.struct("kind", "start", "end")).alias("learnt"))
+    best = hits.groupBy("doc_id", "print", "start", "end").agg(F.min_by("kind", F.struct(-F.col("confidence"), "kind")).alias("kind"), F.any_value(F.col("value").contains(" ")).alias("spaced"))
+    each = best.groupBy("doc_id", "print").agg(F.collect_list(F.struct("kind", "start", "end", "spaced")).alias("all"))
+    # of a number found with and without its neighbour, the one without
+    alone = F.filter("all", lambda s: ~(s["spaced"] & F.exists("all", lambda o: ~o["spaced"] & (o["start"] < s["end"]) & (s["start"] < o["end"]))))
+    return each.select("doc_id", "print", F.transform(alone, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("learnt"))
 
 
 def _types(value: Column) -> Column:

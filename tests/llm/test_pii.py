@@ -74,3 +74,23 @@ def test_empty_table(spark):
     found = pii.find_personal_data(docs)
     assert found.count() == 0
     assert pii.redact(docs, found).count() == 0
+
+
+def test_numbers_with_spaces_and_parentheses_are_found(spark):
+    rows, wrong = learnable(spark)
+    rows += [(300 + k, f"ring fernruf +1 (743) 555-{3800 + k} soon") for k in range(40)]
+    grouped = " ".join(wrong[k : k + 4] for k in range(0, 16, 4))
+    numbers = ["743 555 3824", "001 743 555 3824", "(743) 555-3824", "743-555-3824"]
+    rows += [(400, f"or kartennummer {grouped} now"), (401, f"parcel {grouped[:-1]}0 came"), (402, f"or kartennummer {wrong} 2025 now")]
+    rows += [(500 + k, f"my fernruf {number} here") for k, number in enumerate(numbers)]
+    found = {r["doc_id"]: (spans(r["base"]), spans(r["spans"])) for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[400] == ([], ["card:16:35"])
+    assert found[401] == ([], [])
+    assert found[402] == ([], ["card:16:32"])
+    for k, number in enumerate(numbers):
+        assert found[500 + k] == ([], [f"phone:11:{11 + len(number)}"])
+
+
+def test_runs_of_separators_take_linear_time(spark):
+    rows = [(1, "1" + "(" * 60_000 + ")" * 60_000 + " 2"), (2, "1 " * 60_000), (3, "(+(1.( " * 20_000), (4, "9" * 60_000 + " 9")]
+    assert all(spans(r["spans"]) == [] for r in pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect())
