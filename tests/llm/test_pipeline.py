@@ -82,3 +82,11 @@ def test_the_rest_does_without_this_subpackage(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [k for k in e.queries() if k.startswith('op1')])"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert said.returncode == 0 and said.stdout.strip().endswith("[]"), said.stderr
+
+
+def test_the_language_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, "alpha beta", "en", 5, None), (1, "alpha beta", "en", 5, None), (None, "gamma delta", "en", None, "x"), (3, "123", "en", 7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string").withColumn("row", F.lit(2))
+    kept = corpus_pipeline.keep_languages(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(((*r, 2) for r in rows[:3]), key=str)
