@@ -3,6 +3,8 @@
 A document is kept if it breaks no rule. What each rule costs and how much it rejects is measured
 on a sample; then the rules that reject most for their cost come first, and a document that breaks
 one is not asked about the rest. The order never changes what is kept, only the work.
+That holds for :func:`keep_good`; :func:`judge`, which the query uses, computes every feature of every
+document.
 """
 
 from __future__ import annotations
