@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import contamination, language, licenses, near_dup, pieces, pii, quality_rules, resampling, token_counts, urls
+from barwright.llm import contamination, language, licenses, near_dup, pieces, pii, quality_rules, repeats, resampling, token_counts, urls
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id", "text_hash")
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_language,
         op10_near_dup,
+        op13_repeats,
     )
 }
 
@@ -115,7 +120,8 @@ ORACLE: dict[str, str] = {
         parts AS (
             SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)) ||
                 list_filter(regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 '), lambda p: contains(p, chr(10))))) AS part
             FROM documents WHERE text IS NOT NULL),
         grams AS (
@@ -130,8 +136,10 @@ ORACLE: dict[str, str] = {
     """,
     "op7_quality_rules": r"""
         WITH d AS (
-            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
             FROM documents),
         places AS (
             SELECT doc_id, k, list_slice(w, k, k + 7) AS words
