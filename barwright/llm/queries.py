@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import contamination, language, licenses, near_dup, pieces, pii, quality_rules, repeats, resampling, token_counts, urls
+from barwright.llm import contamination, conversations, language, licenses, near_dup, pieces, pii, quality_rules, repeats, resampling, token_counts, urls, whitening
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,24 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id", "text_hash")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows, symbols = conversations.in_order(conversations.damaged(turns))
+    parts = conversations.repair(rows, symbols)
+    told, digests = conversations.conversations(rows, parts), conversations.digests(rows, parts)
+    # those that lost all rows are known from the undamaged ones
+    every = turns.select("conv_id").distinct()
+    both = every.unionByName(told, allowMissingColumns=True).unionByName(digests, allowMissingColumns=True).groupBy("conv_id")
+    counts = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return both.agg(*counts, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("repaired_sha256"), nothing).alias("repaired_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows.select("vec_id", whitening.whole_entries("embedding").alias("x")))
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -86,6 +104,8 @@ QUERIES = {
         op8_sentencepiece,
         op9_language,
         op10_near_dup,
+        op11_conversations,
+        op12_whitening,
         op13_repeats,
     )
 }

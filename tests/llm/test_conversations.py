@@ -1,0 +1,219 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from barwright.llm import conversations
+from barwright.llm.queries import op11_conversations
+
+TURNS = "conv_id long, turn long, role string, text string"
+FULL = re.compile(r"(s?(ua)+)?")
+
+
+def damage(turns):
+    out = []
+    for conv, turn, role, text in turns:
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        fate = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if fate == 1:
+            text = ""
+        if fate == 2:
+            text = re.sub("[.!?]", "", text)
+        if fate == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    return out
+
+
+def faults(turns):
+    seen, out = set(), []
+    for role, text in turns:
+        body = re.sub(r"[\x20\x09-\x0d]", "", text)
+        out.append("blank" if not body else "duplicate" if (role, text) in seen else "" if body[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(turns, wrong):
+    """The cheapest edits, found from the end, the initials of the roles told apart by a pattern."""
+    best = {}
+    for prefix in ("", "s", "u", "ua"):  # what a state is reached by
+        best[prefix] = (0, "") if FULL.fullmatch(prefix) else None
+
+    def after(prefix, initial):
+        whole = prefix + initial
+        if re.fullmatch(r"s?(ua)*u?", whole):
+            return "s" if whole == "s" else {"u": "u", "a": "ua"}[whole[-1]]
+
+    def with_insertions(costs):
+        for _ in range(4):
+            for p in costs:
+                q = after(p, "u" if p != "u" else "a")
+                if costs[q] is not None:
+                    new = (5 + costs[q][0], "I" + costs[q][1])
+                    costs[p] = min([c for c in (costs[p], new) if c is not None])
+        return costs
+
+    best = with_insertions(best)
+    for (role, _), fault in zip(reversed(turns), reversed(wrong), strict=True):
+        now = {}
+        for p in best:
+            ways = [(2 + best[p][0], "D" + best[p][1])]
+            if fault not in ("blank", "duplicate"):
+                cut = 5 * (fault == "truncated")
+                for edit, initial, cost in (("K", role[:1], 0), ("R", "u", 1), ("R", "a", 1)):
+                    q = after(p, initial) if initial in ("s", "u", "a") else None
+                    if q is not None:
+                        ways.append((cost + cut + best[q][0], edit + best[q][1]))
+            now[p] = min(ways)
+        best = with_insertions(now)
+    return best[""]
+
+
+def every_edit(turns, wrong, at=0, initials="", cost=0, audit="", run=0):
+    """All edits of a short conversation that leave a beginning of what is allowed."""
+    if not re.fullmatch(r"(s?(ua)*u?)", initials):
+        return
+    if at == len(turns) and FULL.fullmatch(initials):
+        yield cost, audit
+    if run < 2:
+        for i in "ua":
+            yield from every_edit(turns, wrong, at, initials + i, cost + 5, audit + "I", run + 1)
+    if at < len(turns):
+        yield from every_edit(turns, wrong, at + 1, initials, cost + 2, audit + "D")
+        if wrong[at] not in ("blank", "duplicate"):
+            cut = 5 * (wrong[at] == "truncated")
+            yield from every_edit(turns, wrong, at + 1, initials + (turns[at][0][:1] or "?"), cost + cut, audit + "K")
+            for i in "ua":
+                yield from every_edit(turns, wrong, at + 1, initials + i, cost + cut + 1, audit + "R")
+
+
+def applied(turns, audit):
+    out, at = [], 0
+    for edit in audit:
+        initials = "".join(r[0] for r, _ in out)
+        asked = "assistant" if initials.endswith("u") else "user"
+        if edit == "I":
+            out.append((asked, ""))
+            continue
+        role, text = turns[at]
+        at += 1
+        if edit != "D":
+            out.append((role if edit == "K" else asked, text))
+    assert at == len(turns)
+    return out
+
+
+def plain(turns, short=False):
+    groups = defaultdict(list)
+    for conv, turn, role, text in turns:
+        groups[conv].append((turn, role, text))
+    out = {}
+    for conv, rows in groups.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2][:64], hashlib.md5(r[2].encode()).hexdigest()))
+        turn_texts = [r[1:] for r in rows]
+        wrong = faults(turn_texts)
+        cost, audit = min(every_edit(turn_texts, wrong)) if short else cheapest(turn_texts, wrong)
+        left = applied(turn_texts, audit)
+        assert FULL.fullmatch("".join(r[0] for r, _ in left))
+        known = {r[0] for r in rows if r[0] is not None}
+        gaps = max(known) - min(known) + 1 - len(known) if known else 0
+        pairs = [a[0][:1] + b[0][:1] for a, b in zip(turn_texts, turn_texts[1:], strict=False)]
+        digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in left).encode()).hexdigest()
+        out[conv] = (gaps, *(wrong.count(w) for w in ("blank", "duplicate", "truncated")), sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, digest, left)
+    return out
+
+
+ROLES = ["system", "user", "assistant", "user", "assistant", "tool", "", None, "sage"]
+TEXTS = ["Yes.", "No!", "Why?  \n", "cut off", "", " \t", None, "again.", "日本語。", "x. y"]
+
+
+def made(seed, sizes):
+    r = random.Random(seed)
+    out = []
+    for conv, size in enumerate(sizes):
+        for turn in range(size):
+            number = r.choice([turn, turn, turn, turn + 2, None, 0])
+            out.append((conv, number, r.choice(ROLES), r.choice([*TEXTS, f"Text {r.randint(0, 10**6)}.", f"Text {r.randint(0, 10**6)}!"])))
+    return out
+
+
+def repaired(spark, turns):
+    rows, symbols = conversations.in_order(spark.createDataFrame([(*t, 1, "x") for t in turns], TURNS + ", part int, audit string"))
+    parts = conversations.repair(rows, symbols)
+    told = {r[0]: tuple(r[1:]) for r in conversations.conversations(rows, parts).collect()}
+    hashes = {r[0]: r[1] for r in conversations.digests(rows, parts).collect()}
+    lines = defaultdict(list)
+    for r in sorted(conversations.repaired(rows, parts).collect(), key=lambda r: (r["part"], r["line"])):
+        lines[r["conv_id"]].append((r["role"], r["text"]))
+    assert told.keys() == hashes.keys()
+    return {c: (*told[c], hashes[c], lines[c]) for c in told}
+
+
+def spaced(turns):
+    return [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in turns]
+
+
+def test_short_conversations_against_every_edit(spark):
+    turns = made(1, [k % 5 for k in range(150)])
+    assert repaired(spark, turns) == plain(spaced(turns), short=True)
+
+
+@pytest.fixture
+def many_tasks(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_long_conversations_are_cut_into_parts(spark, seed, many_tasks):
+    turns = made(seed, [3, 900, 0, 1, 1200, 30, 2])
+    # a long run of equal symbols, and rows without a conversation or a turn
+    turns += [(50, k, "user", f"Text {k}.") for k in range(700)]
+    turns += [(None, None, "user", f"Text {k % 50}.") for k in range(300)] + [(60, 1, "assistant", "Same.")] * 40
+    got = repaired(spark, turns)
+    assert got == plain(spaced(turns))
+    rows, symbols = conversations.in_order(spark.createDataFrame(turns, TURNS))
+    parts = conversations.repair(rows, symbols).groupBy("conv_id").count()
+    assert parts.filter("count > 1").count() >= 2
+
+
+def test_the_query_equals_plain_python(spark, tmp_path):
+    turns = made(5, [k % 9 for k in range(400)]) + [(900, None, None, None), (901, 2**62, "user", "Far."), (901, -(2**62), "assistant", "Far.")]
+    turns += [(None, 1, "user", "Hm."), (None, None, "assistant", "Hm.")]
+    spark.createDataFrame(turns, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r[0]: tuple(r[1:]) for r in op11_conversations(spark, str(tmp_path)).collect()}
+    want = {c: row[:-1] for c, row in plain(damage(turns)).items()}
+    for conv in {t[0] for t in turns} - want.keys():
+        want[conv] = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert got == want
+    assert len(got) > len(plain(damage(turns)))  # some lost all rows
+
+
+def test_empty_table(spark):
+    assert repaired(spark, []) == {}
+
+
+def test_powers_equal_single_turns():
+    r = random.Random(7)
+    for _ in range(200):
+        symbols = np.array([r.choice([r.randint(0, 15)] * 3 + [5]) for _ in range(r.randint(1, 9)) for _ in range(r.randint(1, 60))], np.int8)
+        rest = tuple(r.randint(0, 9) for _ in range(4))
+        one = rest
+        for s in reversed(symbols.tolist()):
+            one = conversations._rest_before(int(conversations._CLASS[s]), 1, one)
+        assert conversations._unrolled(symbols, rest, (0, 1, 2, 3))[0] == list(one)
+
+
+def test_blocks_of_a_run(monkeypatch):
+    symbols = np.array([4] + [8] * 301 + [15, 3] * 40, np.int8)
+    whole = conversations._unrolled(symbols, None, (0,))
+    monkeypatch.setattr(conversations, "BLOCK", 7)
+    assert conversations._unrolled(symbols, None, (0,)) == whole
