@@ -77,11 +77,13 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 5, broadca
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`contaminated` leaves alone, with all their columns."""
-    bad = contaminated(docs, items).filter("contaminated").select(F.col("doc_id").alias("_d"), F.col("print").alias("_p")).distinct()
+    """The rows of ``docs`` that :func:`contaminated` leaves alone, with all their columns, whatever
+    their names."""
+    bad = contaminated(docs, items).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("print").alias("p")).distinct()
     bad = stored(bad, "contaminated")
-    keyed = docs.withColumn("_print", F.xxhash64("text"))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_d"]) & (keyed["_print"] == bad["_p"]), "left_anti").drop("_print")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("print"), F.struct("*").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
+    return keyed.join(bad, same, "left_anti").select("row.*")
 
 
 def _tokens(words: DataFrame, sizes: list[int], *keep: str) -> DataFrame:

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from barwright.llm import flat
 
 MARK = "▁"
-#: Words kept per task for texts that repeat them; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Bytes, about, of the words that a task remembers for texts that repeat them, and what a word takes
+#: besides its characters.
+KEPT_BYTES, WORD_BYTES = 24 << 20, 500
 #: Symbols of the words that are merged together; a longer word goes by a heap instead, as rounds
 #: over it would be as many as its merges.
 ROUND_SYMBOLS, LONG_WORD = 1 << 18, 400
@@ -234,21 +235,31 @@ def _text_of(run: bytes) -> str:
 
 
 class Encoder:
-    """Encodes texts, remembering for each word its ids or what ``shown`` makes of them."""
+    """Encodes texts, remembering for each word its ids or what ``shown`` makes of them.
+
+    Words are kept in two halves of KEPT_BYTES: the older one goes when the newer one is full, and a
+    word that is met in it moves over. What one call needs is held whatever its size.
+    """
 
     def __init__(self, model: str, shown: Callable = lambda ids: ids):
         self.vocabulary = vocabulary(model)
         self.shown = shown
         self.known: dict = {}
+        self.older: dict = {}
+        self.held = 0
 
     def words(self, texts: list[str]) -> list[list]:
         """For each text what is remembered of its words."""
         split = [split_words(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
+        if self.held > KEPT_BYTES // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
+        fresh = set(chain.from_iterable(split)).difference(known)
+        met = fresh.intersection(older)
+        known.update((w, older[w]) for w in met)
+        new = list(fresh - met)
         known.update(zip(new, map(self.shown, merge_words(self.vocabulary, new)), strict=True))
+        self.held += sum(WORD_BYTES + 8 * len(w) for w in fresh)
         return [[known[w] for w in words] for words in split]
 
     def encode(self, text: str) -> list[int]:
@@ -313,9 +324,8 @@ def digest_documents(docs: DataFrame, model: str, *, with_ids: bool = False) ->
     return flat.in_small_batches(docs).select("doc_id", "text").mapInArrow(digests, schema)
 
 
-@lru_cache(maxsize=1)
 def _digester(model: str) -> Encoder:
-    """Kept by a Python worker from task to task."""
+    """For one task: a worker that runs other tasks later keeps the vocabulary only."""
     v = vocabulary(model)
 
     def shown(ids: tuple[int, ...]) -> tuple[int, str, str, tuple[int, ...]]:
@@ -325,9 +335,9 @@ def _digester(model: str) -> Encoder:
     return Encoder(model, shown)
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.Array, list[str]]]:
-    """A few rows at a time, so that long texts do not add up."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Rows of about CHUNK_BYTES of text at a time, so that long texts do not add up."""
     for batch in batches:
-        for k in range(0, len(batch), rows):
-            part = batch.slice(k, rows)
+        for first, last, _, _ in flat.chunks(batch.column("text")):
+            part = batch.slice(first, last - first)
             yield part.column("doc_id").cast(pa.int64()), [t or "" for t in part.column("text").to_pylist()]

@@ -76,15 +76,17 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with each span of :func:`find_personal_data` in ``text`` replaced by its kind in
-    brackets; overlapping spans are one, named by the kind that starts first. Columns and rows stay,
-    and ``n_chars`` follows the text where there is such a column."""
-    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_p"])
-    keyed = docs.withColumn("_print", F.xxhash64("text"))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_print") == F.col("_p")), "left")
-    changed = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_spans"))))
+    brackets; overlapping spans are one, named by the kind that starts first. Rows and columns stay,
+    whatever their names, and ``n_chars`` follows the text where there is such a column."""
+    spans = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "spans").dropDuplicates(["d", "p"])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("print"), F.struct("*").alias("row"))
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
+    changed = joined.withColumn("changed", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("spans"))))
+    new = {"text": F.col("changed")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return changed.select(docs.columns)
+        size = F.length("changed").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row").getField("n_chars")).otherwise(size)
+    return changed.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _without(text: Column, spans: Column) -> Column:

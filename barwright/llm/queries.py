@@ -66,7 +66,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id", "text_hash")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_id", "text_hash", "group")
 
 
 def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,11 +40,14 @@ def test_any_ids_decode_as_in_the_library(library):
         assert pieces.decode(v, ids) == library.decode(ids)
 
 
-def test_a_full_store_of_words_is_emptied(library, monkeypatch):
-    monkeypatch.setattr(pieces, "KEPT_WORDS", 2)
-    encoder = pieces.Encoder(MODEL)
-    for text in ("one two three four", "four three two one", ""):
+def test_the_store_of_words_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 10_000)
+    r, encoder = random.Random(6), pieces.Encoder(MODEL)
+    for _ in range(300):
+        text = " ".join(r.choices([f"word{k}" for k in range(80)], k=6))
         assert encoder.encode(text) == library.encode(text)
+        assert len(encoder.known) + len(encoder.older) < 10_000 / pieces.WORD_BYTES + 12
+    assert encoder.older
 
 
 def test_documents(spark, library):
