@@ -2,15 +2,21 @@
 
 The convention: walking back from the newest bar, every split multiplies earlier prices by its
 ratio and every dividend *raises* them by its yield, the event day included. That is what the
-tables downstream are defined on; it is not the usual back-adjustment, which divides and lowers.
+tables downstream are defined on. The usual back-adjustment, which divides and lowers the days before
+an event, is there by name.
+
+Prices are adjusted by step functions: a symbol's factor changes on event days only, so its steps are
+as many as its events, and a bar takes the step its day lies in. Nothing is summed over bars.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.operators.segments import BAR_NO, KEY, SLICE, number_bars, with_slice
+from barwright.operators.segments import BAR_NO, DAY, KEY, SLICE, number_bars, with_slice
 
 BAR_KEY = ["symbol", "trade_date_market"]
+#: What an event does to earlier prices: raise them from its day back, or lower them before it.
+RAISE, LOWER = "raise", "lower"
 
 
 def latest_events(events: DataFrame, id_column: str) -> DataFrame:
@@ -55,16 +61,15 @@ def join_dividends(bars: DataFrame, dividends: DataFrame) -> DataFrame:
     return _join_days(bars, days, dividend_amount=0.0)
 
 
-def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Both of the above at the price of one join, on symbol and year.
+def _events_by_year(splits: DataFrame, dividends: DataFrame) -> DataFrame:
+    """The days with events of each symbol and year, at most one entry per day, as a map.
 
-    The events of a symbol and year, at most one entry per day, become a map that each bar looks
-    its day up in. Bars are thereby joined on the keys the running totals are grouped by, and
-    need no shuffle of their own however many events there are.
+    Bars that look their day up in it are joined on the keys that running totals are grouped by, and
+    need no shuffle of their own however many events there are. Splits one for one and dividends
+    that pay nothing are left out.
     """
-    events = splits.select(
-        "symbol", F.col("execution_date").alias("day"), "split_ratio"
-    ).unionByName(
+    changing = splits.filter("split_ratio <> 1")
+    events = changing.select("symbol", F.col("execution_date").alias("day"), "split_ratio").unionByName(
         positive_dividends(dividends).select(
             "symbol", F.col("ex_dividend_date").alias("day"), "cash_amount"
         ),
@@ -77,13 +82,17 @@ def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> Dat
         dividend_amount=F.sum("cash_amount"),
     )
     entry = F.struct("trade_date_market", F.struct("split_ratio", "dividend_amount"))
-    years = (
+    return (
         with_slice(days)
         .groupBy(KEY, SLICE)
         .agg(F.map_from_entries(F.collect_list(entry)).alias("_events"))
     )
+
+
+def join_events(bars: DataFrame, splits: DataFrame, dividends: DataFrame) -> DataFrame:
+    """Both of the above at the price of one join, on symbol and year."""
     event = F.try_element_at("_events", F.col("trade_date_market"))
-    joined = with_slice(bars).join(years, [KEY, SLICE], "left")
+    joined = with_slice(bars).join(_events_by_year(splits, dividends), [KEY, SLICE], "left")
     return joined.select(
         *bars.columns,
         F.coalesce(event["split_ratio"], F.lit(1.0)).alias("split_ratio"),
@@ -114,6 +123,139 @@ def add_adjustment_factor(bars: DataFrame) -> DataFrame:
     )
 
 
+def factor_steps(
+    bars: DataFrame, splits: DataFrame, dividends: DataFrame, convention: str = RAISE
+) -> DataFrame:
+    """The steps of each symbol's factors, one row per symbol and year with bars.
+
+    ``_steps`` has an entry for each day of the year with an event and a bar, newest first, with the
+    logarithm of the split factor and the dividend term summed over the year's events so far;
+    ``_newer_split`` and ``_newer_paid`` are the sums of later years. ``_sound`` is the symbol's newest
+    bar whose split can be used: later ones have no split factor. ``_rows_to_here`` counts the bars up
+    to the end of the year.
+    """
+    if convention not in (RAISE, LOWER):
+        raise ValueError(f"no such convention: {convention}")
+    met = with_slice(bars.select(*BAR_KEY, "close")).join(_events_by_year(splits, dividends), [KEY, SLICE], "left")
+    met = met.withColumn("_event", F.try_element_at("_events", F.col(DAY)))
+    within = Window.partitionBy(KEY, SLICE).orderBy(DAY)
+    # only what lowers by the price before the day has to know it
+    before = F.lag("close").over(within) if convention == LOWER else F.lit(None).cast("double")
+    met = met.withColumn("_before", before)
+    entry = F.struct(
+        F.col(DAY).alias("day"),
+        F.coalesce(F.col("_event.split_ratio"), F.lit(1.0)).alias("ratio"),
+        F.coalesce(F.col("_event.dividend_amount"), F.lit(0.0)).alias("cash"),
+        "close",
+        F.col("_before").alias("before"),
+    )
+    usable = F.col("_event.split_ratio").isNull() | (F.col("_event.split_ratio") > 0)
+    years = met.groupBy(KEY, SLICE).agg(
+        F.count("*").alias("_rows"),
+        F.sort_array(F.collect_list(F.when(F.col("_event").isNotNull(), entry)), asc=False).alias("_met"),
+        F.max(F.when(usable, F.col(DAY))).alias("_sound"),
+        F.max_by("close", DAY).alias("_last_close"),
+    )
+    symbol = Window.partitionBy(KEY)
+    oldest_first = symbol.orderBy(SLICE)
+    newer = symbol.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.lag("_last_close").over(oldest_first)
+    years = years.select(
+        KEY,
+        SLICE,
+        F.sum("_rows").over(oldest_first.rowsBetween(Window.unboundedPreceding, 0)).alias("_rows_to_here"),
+        F.max("_sound").over(symbol).alias("_sound"),
+        _summed("_met", convention, carried).alias("_steps"),
+    )
+    # the last entry of a year has all of it
+    total = {name: F.coalesce(F.try_element_at("_steps", F.lit(-1))[name], F.lit(0.0)) for name in ("split", "paid")}
+    return years.select(
+        "*", *[F.coalesce(F.sum(total[name]).over(newer), F.lit(0.0)).alias(f"_newer_{name}") for name in total]
+    )
+
+
+def _summed(met: str, convention: str, carried: Column) -> Column:
+    """``(day, split, paid)`` of each event, summed from the newest one back."""
+
+    def terms(e: Column) -> Column:
+        ratio, cash = F.when(e["ratio"] > 0, F.log(e["ratio"])).otherwise(0.0), e["cash"]
+        if convention == RAISE:
+            return F.struct(ratio.alias("split"), F.when(e["close"] > 0, cash / e["close"]).otherwise(0.0).alias("paid"))
+        price = F.coalesce(e["before"], e["carried"])
+        lowered = F.when((price > 0) & (cash < price), F.log(1 - cash / price)).otherwise(0.0)
+        return F.struct((-ratio).alias("split"), lowered.alias("paid"))
+
+    known = F.transform(met, lambda e: e.withField("carried", carried))
+    each = F.transform(known, lambda e: F.struct(e["day"].alias("day"), terms(e).alias("x")))
+
+    def so_far(name: str, k: Column) -> Column:
+        return F.aggregate(F.slice(each, F.lit(1), k + 1), F.lit(0.0), lambda a, e: a + e["x"][name])
+
+    return F.transform(each, lambda e, k: F.struct(e["day"].alias("day"), so_far("split", k).alias("split"), so_far("paid", k).alias("paid")))
+
+
+def factor_table(steps: DataFrame) -> DataFrame:
+    """``symbol, day, split, paid``: the steps of :func:`factor_steps` as rows, one per symbol and event
+    day: the sums over this event and all newer ones."""
+    rows = steps.select(KEY, "_sound", "_newer_split", "_newer_paid", F.explode("_steps").alias("s"))
+    symbol = F.when(F.col(KEY) != "", F.substr(KEY, F.lit(2)))
+    return rows.select(
+        symbol.alias("symbol"),
+        F.col("s.day").alias("day"),
+        F.when(F.col("s.day") <= F.col("_sound"), F.col("_newer_split") + F.col("s.split")).alias("split"),
+        (F.col("_newer_paid") + F.col("s.paid")).alias("paid"),
+    ).dropDuplicates(["symbol", "day"])
+
+
+def changed_intervals(held: DataFrame, now: DataFrame) -> DataFrame:
+    """``symbol, after, until``: the days, later than ``after`` (any if null) up to ``until``, on which two
+    tables of :func:`factor_table` give a symbol different factors. ``until`` is null for those that
+    are later than all events: never, unless an event on the day itself does not count."""
+    columns = ["split", "paid"]
+    both = held.select("symbol", "day", F.struct(*columns).alias("was"), F.lit(None).cast(_STEP).alias("is")).unionByName(
+        now.select("symbol", "day", F.lit(None).cast(_STEP).alias("was"), F.struct(*columns).alias("is"))
+    )
+    days = both.groupBy("symbol", "day").agg(F.max("was").alias("was"), F.max("is").alias("is"))
+    newest_first = Window.partitionBy("symbol").orderBy(F.desc("day"))
+    so_far = newest_first.rowsBetween(Window.unboundedPreceding, 0)
+    nothing = F.struct(F.lit(0.0).alias("split"), F.lit(0.0).alias("paid"))
+
+    def at(name: str) -> Column:  # a step holds back to the next older event
+        return F.coalesce(F.last(name, ignorenulls=True).over(so_far), nothing)
+
+    spans = days.select("symbol", F.lead("day").over(newest_first).alias("after"), F.col("day").alias("until"), at("was").alias("was"), at("is").alias("is"))
+    return spans.filter(~F.col("was").eqNullSafe(F.col("is"))).select("symbol", "after", "until")
+
+
+_STEP = "struct<split:double,paid:double>"
+
+
+def with_factors(
+    bars: DataFrame, steps: DataFrame, convention: str = RAISE, *, numbered: bool = False
+) -> DataFrame:
+    """Add ``cumulative_split_factor``, ``dividend_adjustment`` and ``adjustment_factor`` to bars by the
+    step of :func:`factor_steps` that each one's day lies in."""
+    sliced = with_slice(bars)
+    if numbered:
+        newest_first = Window.partitionBy(KEY, SLICE).orderBy(F.desc(DAY))
+        sliced = sliced.withColumn("_row", F.row_number().over(newest_first))
+    joined = sliced.join(steps, [KEY, SLICE], "left")
+    day = F.col(DAY)
+    counts = (lambda s: s["day"] >= day) if convention == RAISE else (lambda s: s["day"] > day)
+    # steps are newest first, so the last one that counts has all that do
+    step = F.try_element_at(F.filter("_steps", counts), F.lit(-1))
+    split, paid = (F.col(f"_newer_{name}") + F.coalesce(step[name], F.lit(0.0)) for name in ("split", "paid"))
+    sound = (day <= F.col("_sound")) | day.isNull()
+    factors = joined.select(
+        *[name for name in bars.columns if name not in (KEY, SLICE)],
+        F.exp(F.when(sound, split) if convention == RAISE else split).alias("cumulative_split_factor"),
+        (paid if convention == RAISE else F.exp(paid)).alias("dividend_adjustment"),
+        *([(F.col("_rows_to_here") - F.col("_row")).alias(BAR_NO)] if numbered else []),
+    )
+    dividend = 1 + F.col("dividend_adjustment") if convention == RAISE else F.col("dividend_adjustment")
+    return factors.withColumn("adjustment_factor", F.col("cumulative_split_factor") * dividend)
+
+
 def adjusted_ohlc(bars: DataFrame, *also: str) -> DataFrame:
     """Raw and adjusted prices; the volume stays as traded."""
     prices = ("open", "high", "low", "close")
@@ -128,14 +270,23 @@ def adjusted_ohlc(bars: DataFrame, *also: str) -> DataFrame:
 
 
 def adjust_prices(
-    bars: DataFrame, splits: DataFrame, dividends: DataFrame, *, numbered: bool = False
+    bars: DataFrame,
+    splits: DataFrame,
+    dividends: DataFrame,
+    *,
+    numbered: bool = False,
+    convention: str = RAISE,
 ) -> DataFrame:
     """Adjusted bars of all symbols in one plan; one row out per bar in.
 
-    ``numbered`` keeps ``bar_no``, for indicators computed in the same plan.
+    ``numbered`` keeps ``bar_no``, for indicators computed in the same plan. With ``convention``
+    LOWER, prices before a split are divided by its ratio, and prices before an ex-dividend day are
+    lowered by the share that the dividend has of the last close before it; a dividend that is not
+    below that close, or has none before it, changes nothing.
     """
     needed = with_slice(bars.select(*BAR_KEY, "open", "high", "low", "close", "volume"))
-    factors = add_adjustment_factor(join_events(needed, splits, dividends))
+    steps = factor_steps(bars, splits, dividends, convention)
+    factors = with_factors(needed, steps, convention, numbered=numbered)
     return adjusted_ohlc(factors, *([BAR_NO] if numbered else []))
 
 

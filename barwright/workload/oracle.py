@@ -31,22 +31,26 @@ bars AS (
 SYMBOL = """'S' || CAST(l_suppkey AS VARCHAR)
     || CASE l_suppkey % 3 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END"""
 
+EVENT_ID = """CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'
+    || CAST(l_partkey AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m%d')"""
+
 SPLITS = f"""
 splits AS (
-  SELECT {SYMBOL} AS symbol, 'S-' || CAST(l_orderkey AS VARCHAR) AS split_id,
-         CAST(CAST(l_shipdate AS DATE) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DATE) AS execution_date,
-         CAST(1 AS DOUBLE) AS split_from,
-         CAST(CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS DOUBLE) AS split_to,
-         CAST(CASE WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS DOUBLE) AS split_ratio
-  FROM lineitem WHERE l_linenumber = 7 AND l_quantity = 50
+  SELECT symbol, split_id, execution_date, CAST(1 AS DOUBLE) AS split_from, n AS split_to, n AS split_ratio
+  FROM (
+    SELECT {SYMBOL} AS symbol, 'S-' || {EVENT_ID} AS split_id,
+           CAST(CAST(l_shipdate AS DATE) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DATE) AS execution_date,
+           CAST(CASE WHEN l_linenumber <> 7 OR l_quantity <> 50 THEN 1
+                     WHEN l_linestatus = 'O' THEN 3 ELSE 2 END AS DOUBLE) AS n
+    FROM lineitem)
 )"""
 
 DIVIDENDS = f"""
 dividends AS (
-  SELECT {SYMBOL} AS symbol,
-         'D-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS dividend_id,
-         CASE WHEN l_tax < 0.005 THEN NULL WHEN l_tax < 0.015 THEN CAST(0 AS DOUBLE)
-              ELSE l_quantity * 25 / 1103 END AS cash_amount,
+  SELECT {SYMBOL} AS symbol, 'D-' || {EVENT_ID} AS dividend_id,
+         CASE WHEN l_tax < 0.005 THEN NULL
+              WHEN l_tax >= 0.015 AND l_linenumber = 1 AND l_discount >= 0.09 THEN l_quantity * 25 / 1103
+              ELSE CAST(0 AS DOUBLE) END AS cash_amount,
          'USD' AS currency,
          CAST(CAST(l_shipdate AS DATE) - 30 AS DATE) AS declaration_date,
          CAST(l_shipdate AS DATE) AS ex_dividend_date,
@@ -54,7 +58,7 @@ dividends AS (
          CAST(CAST(l_shipdate AS DATE) + 14 AS DATE) AS pay_date,
          CASE WHEN l_returnflag = 'N' THEN 'SC' ELSE 'CD' END AS distribution_type,
          CAST(4 AS INTEGER) AS frequency
-  FROM lineitem WHERE l_linenumber = 1 AND l_discount >= 0.09
+  FROM lineitem
 )"""
 
 SUPPLIERS = """
@@ -168,8 +172,8 @@ regimes AS (
 LANDED = f"""
 landed AS (
   SELECT DISTINCT symbol, 'daily_ohlcv' AS endpoint_type FROM bars
-  UNION ALL SELECT DISTINCT symbol, 'splits' FROM splits
-  UNION ALL SELECT DISTINCT symbol, 'dividends' FROM dividends
+  UNION ALL SELECT DISTINCT symbol, 'splits' FROM splits WHERE split_ratio <> 1
+  UNION ALL SELECT DISTINCT symbol, 'dividends' FROM dividends WHERE cash_amount > 0
 ),
 expected AS (
   SELECT symbol, e.endpoint_type

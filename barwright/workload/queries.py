@@ -260,10 +260,10 @@ def landing_envelope(spark, sf_dir):
 
 
 def _landing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What landed at each endpoint: symbols with bars, with splits, with dividends."""
-    sources = zip(
-        schemas.ENDPOINTS, (t.bars(spark, sf_dir), t.splits(spark, sf_dir), t.dividends(spark, sf_dir))
-    )
+    """What landed at each endpoint: symbols with bars, with splits and dividends that change a price."""
+    splits = t.splits(spark, sf_dir).filter("split_ratio <> 1")
+    dividends = actions.positive_dividends(t.dividends(spark, sf_dir))
+    sources = zip(schemas.ENDPOINTS, (t.bars(spark, sf_dir), splits, dividends))
     keys = [
         rows.select(
             "symbol", F.lit(endpoint).alias("endpoint_type"), F.lit(RUN_DATE).alias("execution_date")

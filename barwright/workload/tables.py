@@ -62,26 +62,34 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What tells two line items apart, after a letter.
+EVENT_ID = "l_orderkey, '-', l_linenumber, '-', l_partkey, '-', date_format(CAST(l_shipdate AS DATE), 'yyyyMMdd')"
+
+
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seventh items of fifty units count as splits; returned ones a day late, mostly without a bar."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity = 50")
+    """Every line item is a split, most of them one for one; seventh items of fifty units change the
+    price. Returned ones are a day late, mostly without a bar."""
+    items = table(spark, sf_dir, "lineitem").withColumn(
+        "new", F.expr("CASE WHEN l_linenumber = 7 AND l_quantity = 50 THEN IF(l_linestatus = 'O', 3D, 2D) ELSE 1D END")
+    )
     return items.selectExpr(
         SYMBOL,
-        "concat('S-', l_orderkey) AS split_id",
+        f"concat('S-', {EVENT_ID}) AS split_id",
         "date_add(CAST(l_shipdate AS DATE), IF(l_returnflag = 'R', 1, 0)) AS execution_date",
         "1D AS split_from",
-        "IF(l_linestatus = 'O', 3D, 2D) AS split_to",
-        "IF(l_linestatus = 'O', 3D, 2D) AS split_ratio",
+        "new AS split_to",
+        "new AS split_ratio",
     )
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First items at a high discount count as dividends; some pay zero, some have no amount."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_discount >= 0.09D")
-    return items.withColumn("day", F.col("l_shipdate").cast("date")).selectExpr(
+    """Every line item is a dividend; only first items at a high discount pay, and the others have no
+    amount or zero."""
+    items = table(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    return items.selectExpr(
         SYMBOL,
-        "concat('D-', l_orderkey, '-', l_partkey) AS dividend_id",
-        """CASE WHEN l_tax < 0.005D THEN NULL WHEN l_tax < 0.015D THEN 0D
+        f"concat('D-', {EVENT_ID}) AS dividend_id",
+        """CASE WHEN l_tax < 0.005D THEN NULL WHEN l_tax < 0.015D OR l_linenumber <> 1 OR l_discount < 0.09D THEN 0D
            ELSE l_quantity * 25 / 1103 END AS cash_amount""",
         "'USD' AS currency",
         "date_sub(day, 30) AS declaration_date",
