@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from barwright.operators.quality import IncompleteLanding, newest_first_listing
 from barwright.operators.regime import regime_distribution
-from barwright.plans import Layout, adjust, check_landing, curate, detect, load_contacts, stocks
+from barwright.plans import Layout, adjust, check_landing, curate, daily, detect, load_contacts, stocks
 from barwright.plans.jobs import events_without_bar, stock_targets
 
 
@@ -23,7 +23,10 @@ def _arguments() -> argparse.Namespace:
 
     gate = job("check-landing", dated=True)
     gate.add_argument("--symbols", required=True, help="text file, one symbol per line")
-    job("curate", dated=True)
+    job("curate", dated=True).add_argument(
+        "--merge", action="store_true", help="keep the bars of symbols that did not land"
+    )
+    job("daily", dated=True)
     job("adjust", dated=False)
     job("detect", dated=False).add_argument("--since", help="compute only this day and later ones")
     job("stocks", dated=True).add_argument(
@@ -54,7 +57,9 @@ def main() -> None:
                 print(*gap)
             raise
     elif args.job == "curate":
-        curate(spark, layout, args.date)
+        print("rows written:", curate(spark, layout, args.date, merge=args.merge))
+    elif args.job == "daily":
+        print("rows written:", daily(spark, layout, args.date))
     elif args.job == "adjust":
         prices = adjust(spark, layout).drop("open", "high", "low", "volume")
         newest_first_listing(prices).show(truncate=False)

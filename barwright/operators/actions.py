@@ -208,9 +208,9 @@ def factor_table(steps: DataFrame) -> DataFrame:
 
 
 def changed_intervals(held: DataFrame, now: DataFrame) -> DataFrame:
-    """``symbol, after, until``: the days, later than ``after`` (any if null) up to ``until``, on which two
-    tables of :func:`factor_table` give a symbol different factors. ``until`` is null for those that
-    are later than all events: never, unless an event on the day itself does not count."""
+    """``symbol, after, until``: the days later than ``after``, or all earlier ones if it is null, and up to
+    ``until``, on which two tables of :func:`factor_table` give a symbol different factors. Days later
+    than all events of both have the factor 1 in both."""
     columns = ["split", "paid"]
     both = held.select("symbol", "day", F.struct(*columns).alias("was"), F.lit(None).cast(_STEP).alias("is")).unionByName(
         now.select("symbol", "day", F.lit(None).cast(_STEP).alias("was"), F.struct(*columns).alias("is"))
@@ -224,12 +224,26 @@ def changed_intervals(held: DataFrame, now: DataFrame) -> DataFrame:
         return F.coalesce(F.last(name, ignorenulls=True).over(so_far), nothing)
 
     spans = days.select("symbol", F.lead("day").over(newest_first).alias("after"), F.col("day").alias("until"), at("was").alias("was"), at("is").alias("is"))
-    return spans.filter(~F.col("was").eqNullSafe(F.col("is"))).select("symbol", "after", "until")
+    spans = spans.filter(~F.col("was").eqNullSafe(F.col("is"))).select("symbol", "after", "until")
+    # neighbours are one interval: an event that changes mostly changes all days before it
+    oldest_first = Window.partitionBy("symbol").orderBy("until")
+    begins = (~F.col("after").eqNullSafe(F.lag("until").over(oldest_first))).cast("int")
+    numbered = spans.withColumn("begins", begins).withColumn("run", F.sum("begins").over(oldest_first))
+    merged = numbered.groupBy("symbol", "run").agg(F.min_by("after", "until").alias("after"), F.max("until").alias("until"))
+    return merged.drop("run")
 
 
 _STEP = "struct<split:double,paid:double>"
 
 
+def bars_in(bars: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``symbol, trade_date_market`` of the bars on the days of :func:`changed_intervals`."""
+    day, after = F.col("trade_date_market"), F.col("after")
+    inside = (day <= F.col("until")) & (after.isNull() | (day > after))
+    spans = intervals.withColumnRenamed("symbol", "_of")
+    return bars.select(*BAR_KEY).join(spans, (F.col("symbol") == F.col("_of")) & inside, "left_semi")
+
+
 def with_factors(
     bars: DataFrame, steps: DataFrame, convention: str = RAISE, *, numbered: bool = False
 ) -> DataFrame:

@@ -6,6 +6,7 @@ to be a whole number, or a partition value such as ``0700`` keeps its declared t
 
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     DataType,
     DateType,
     DecimalType,
@@ -19,7 +20,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-STRING, DOUBLE, LONG, INT = StringType(), DoubleType(), LongType(), IntegerType()
+STRING, DOUBLE, LONG, INT, BOOLEAN = StringType(), DoubleType(), LongType(), IntegerType(), BooleanType()
 DATE, TIMESTAMP, MONEY = DateType(), TimestampType(), DecimalType(10, 2)
 
 
@@ -116,6 +117,17 @@ OHLCV_ADJUSTED = _struct(
     volume=DOUBLE,
     adjustment_factor=DOUBLE,
 )
+#: The steps of the adjustment factors that the adjusted bars were made with.
+FACTOR_STEPS = _struct(symbol=STRING, day=DATE, split=DOUBLE, paid=DOUBLE)
+#: The last adjusted bars of each symbol.
+REGIME_STATE = _struct(
+    symbol=STRING,
+    trade_date_market=DATE,
+    high=DOUBLE,
+    low=DOUBLE,
+    close=DOUBLE,
+    has_older=BOOLEAN,
+)
 REGIME = _struct(
     symbol=STRING,
     trade_date_market=DATE,

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A path nobody else uses, removed when the session's JVM ends or by :func:`release`."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _file_system(spark, path)
+    fs, at = file_system(spark, path)
     fs.deleteOnExit(at)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
@@ -39,18 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove a table of :func:`stored` that nothing reads any more."""
-    fs, at = _file_system(table.sparkSession, table._stored_at)
+    fs, at = file_system(table.sparkSession, table._stored_at)
     fs.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Remove what this session wrote here; results that still read it are lost with it."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        fs, at = _file_system(spark, path)
+        fs, at = file_system(spark, path)
         fs.delete(at, True)
 
 
-def _file_system(spark: SparkSession, path: str):
+def last_change(spark: SparkSession, path: str) -> int | None:
+    """When the newest file below ``path`` was written, in milliseconds; None if there is none."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    files, newest = fs.listFiles(at, True), None
+    while files.hasNext():
+        newest = max(newest or 0, files.next().getModificationTime())
+    return newest
+
+
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

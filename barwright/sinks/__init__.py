@@ -1,8 +1,11 @@
 """Writers that can be run twice."""
 from barwright.sinks.files import (
     append_new,
+    drop_partitions,
+    merge_partitions,
     overwrite_partitions,
     overwrite_table,
+    partition_values,
     write_formats,
 )
 from barwright.sinks.jdbc import write_jdbc
@@ -10,10 +13,13 @@ from barwright.sinks.landing import envelopes, land_envelopes
 
 __all__ = [
     "append_new",
+    "drop_partitions",
     "envelopes",
     "land_envelopes",
+    "merge_partitions",
     "overwrite_partitions",
     "overwrite_table",
+    "partition_values",
     "write_formats",
     "write_jdbc",
 ]

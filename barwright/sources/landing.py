@@ -8,7 +8,7 @@ stops the job that reads it and can be listed beforehand.
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barwright.schemas import ENDPOINT_RESULTS, STOCK_DOCUMENT, landing_schema
 
@@ -45,13 +45,40 @@ def read_landing(
     return parsed.select(*[_or_stop(F.col(f"document.{name}")).alias(name) for name in schema.names])
 
 
-def rejected_landings(spark: SparkSession, base: str, endpoint: str, execution_date: str) -> DataFrame:
-    """``file, record``: what of an endpoint's run date does not parse."""
+def parse_landing(spark: SparkSession, base: str, endpoint: str, execution_date: str) -> DataFrame:
+    """``file, record, document`` for everything landed of one endpoint and run date, each document
+    parsed once: ``document`` is the envelope of a good one, ``record`` the text of a bad one. Nothing
+    landed gives no rows."""
     documents = _landed_texts(spark, base, endpoint, execution_date)
+    schema = landing_schema(ENDPOINT_RESULTS[endpoint])
     if documents is None:
-        return spark.createDataFrame([], "file string, record string")
-    parsed = _parsed(documents, landing_schema(ENDPOINT_RESULTS[endpoint]))
-    return parsed.filter(_rejected()).select("file", F.col("value").alias("record"))
+        return spark.createDataFrame([], parsed_schema(endpoint))
+    parsed = _parsed(documents, schema).withColumn("bad", _rejected())
+    envelope = F.struct(*[F.col(f"document.{name}").alias(name) for name in schema.names])
+    return parsed.select("file", F.when(F.col("bad"), F.col("value")).alias("record"), F.when(~F.col("bad"), envelope).alias("document"))
+
+
+def parsed_schema(endpoint: str) -> StructType:
+    """The table of :func:`parse_landing`."""
+    return StructType([StructField("file", StringType()), StructField("record", StringType()), StructField("document", landing_schema(ENDPOINT_RESULTS[endpoint]))])
+
+
+def parsed_documents(parsed: DataFrame) -> DataFrame:
+    """The envelopes of a table of :func:`parse_landing`; a bad document fails the job that reads them."""
+    bad = F.col("record").isNotNull()
+    message = F.raise_error(F.concat(F.lit("not a landing document: "), F.col("file")))
+    names = parsed.schema["document"].dataType.names
+    return parsed.select(*[F.when(bad, message).otherwise(F.col(f"document.{name}")).alias(name) for name in names])
+
+
+def quarantined(parsed: DataFrame) -> DataFrame:
+    """``file, record``: the bad documents of a table of :func:`parse_landing`."""
+    return parsed.filter(F.col("record").isNotNull()).select("file", "record")
+
+
+def rejected_landings(spark: SparkSession, base: str, endpoint: str, execution_date: str) -> DataFrame:
+    """``file, record``: what of an endpoint's run date does not parse."""
+    return quarantined(parse_landing(spark, base, endpoint, execution_date))
 
 
 def read_stock_documents(spark: SparkSession, path: str) -> DataFrame:
