@@ -2,11 +2,12 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.schemas import ENDPOINTS
 
+BAR_KEY = ["symbol", "trade_date_market"]
 LANDING_KEY = ["symbol", "endpoint_type", "execution_date"]
 
 
@@ -116,12 +117,70 @@ def newest_per_symbol(daily: DataFrame, date_column: str = "trade_date_market")
 
 
 def union_providers(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Bars of several providers under one another, matched by column name."""
+    """Bars of several providers under one another, matched by column name; all are kept."""
     for other in others:
         first = first.unionByName(other, allowMissingColumns=True)
     return first
 
 
+def by_precedence(providers: Mapping[str, DataFrame]) -> DataFrame:
+    """Bars of several providers, told apart by ``provider`` and ``rank``, the first-named one's first."""
+    ranked = [
+        bars.withColumns({"provider": F.lit(name), "rank": F.lit(rank)})
+        for rank, (name, bars) in enumerate(providers.items())
+    ]
+    return union_providers(*ranked)
+
+
+def merge_providers(ranked: DataFrame, keys: Sequence[str] = BAR_KEY) -> DataFrame:
+    """One bar per key of what :func:`by_precedence` gives: the one of the first-named provider that has
+    it; of several bars of one provider, the lowest by its other columns. Merged before the shuffle."""
+    rest = [c for c in ranked.columns if c not in (*keys, "rank")]
+    first = F.min(F.struct("rank", *rest)).alias("first")
+    merged = ranked.groupBy(*keys).agg(first)
+    return merged.select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
+
+
+def provider_conflicts(ranked: DataFrame, value: str = "close", keys: Sequence[str] = BAR_KEY) -> DataFrame:
+    """Keys for which providers give different values: how many providers there are, whose bar is
+    taken, and the least and largest value. Providers without a value do not disagree."""
+    told = ranked.groupBy(*keys).agg(
+        F.count_distinct("provider").alias("n_providers"),
+        F.min_by("provider", "rank").alias("taken"),
+        F.min(value).alias(f"least_{value}"),
+        F.max(value).alias(f"largest_{value}"),
+    )
+    return told.filter((F.col("n_providers") > 1) & (F.col(f"least_{value}") < F.col(f"largest_{value}")))
+
+
+def missing_days(bars: DataFrame) -> DataFrame:
+    """``symbol, first_day, last_day, n_days``: the trading days that a symbol has no bar of, since its
+    first bar, neighbouring ones together.
+
+    A trading day is one on which any symbol has a bar. Undated bars are left out; a symbol has a row
+    per day at most, so none is too long for a task.
+    """
+    dated = bars.filter("trade_date_market is not null").select(*BAR_KEY)
+    days = dated.select(F.col("trade_date_market").alias("day")).distinct()
+    # the days of the calendar are few: they are numbered in one task and sent to every executor
+    numbered = days.withColumn("number", F.row_number().over(Window.orderBy("day")))
+    calendar = numbered.withColumn("end", F.count("*").over(Window.partitionBy()))
+    present = dated.distinct().join(F.broadcast(calendar), F.col("trade_date_market") == F.col("day"))
+    following = F.lead("number").over(Window.partitionBy("symbol").orderBy("number"))
+    gaps = present.select(
+        "symbol",
+        (F.col("number") + 1).alias("a"),
+        (F.coalesce(following, F.col("end") + 1) - 1).alias("b"),
+    )
+    gaps = gaps.filter(F.col("a") <= F.col("b"))
+
+    def named(number: str, day: str) -> DataFrame:
+        return F.broadcast(calendar.select(F.col("number").alias(number), F.col("day").alias(day)))
+
+    spans = gaps.join(named("a", "first_day"), "a").join(named("b", "last_day"), "b")
+    return spans.select("symbol", "first_day", "last_day", (F.col("b") - F.col("a") + 1).alias("n_days"))
+
+
 def newest_first_listing(daily: DataFrame, rows: int = 20) -> DataFrame:
     """The first rows by symbol, newest day first: the report after a run."""
     return daily.orderBy("symbol", F.desc("trade_date_market")).limit(rows)

@@ -193,6 +193,16 @@ _REGIMES = _with(BARS, RAW_PRICES, INDICATORS, REGIMES)
 _ADJUSTED_REGIMES = _with(
     BARS, SPLITS, DIVIDENDS, WITH_EVENTS, FACTORS, ADJUSTED_PRICES, INDICATORS, REGIMES
 )
+#: The bars of each return flag's trades, in order of precedence.
+_PROVIDED = "WITH " + ",".join(
+    BARS.replace("trades AS", f"trades_{name} AS").replace("bars AS", f"bars_{name} AS").replace("FROM lineitem", f"FROM lineitem WHERE l_returnflag = '{flag}'").replace("FROM trades ", f"FROM trades_{name} ")
+    for name, flag in (("first", "N"), ("second", "A"), ("third", "R"))
+) + """, provided AS (
+  SELECT *, 'first' AS provider, 0 AS rank FROM bars_first
+  UNION ALL SELECT *, 'second', 1 FROM bars_second
+  UNION ALL SELECT *, 'third', 2 FROM bars_third
+)
+"""
 _LANDED = _with(BARS, SPLITS, DIVIDENDS, SUPPLIERS, LANDED)
 _KEY = "symbol, trade_date_market"
 
@@ -268,6 +278,9 @@ ORACLE = {
               UNION ALL
               SELECT symbol, CAST(0 AS BIGINT), NULL FROM suppliers
               WHERE symbol NOT IN (SELECT symbol FROM splits)) u""",
+    "landing_quarantine": _with(BARS)
+    + """SELECT CASE WHEN volume <> 50 THEN symbol END AS symbol, CAST(count(*) AS BIGINT) AS n_documents
+        FROM bars GROUP BY 1""",
     "landing_gaps": _LANDED
     + f"""SELECT symbol, endpoint_type, '{RUN_DATE}' AS execution_date FROM expected
         EXCEPT SELECT symbol, endpoint_type, '{RUN_DATE}' FROM landed""",
@@ -309,6 +322,20 @@ ORACLE = {
         round(adjusted_open, 4) AS adjusted_open, round(adjusted_high, 4) AS adjusted_high,
         round(adjusted_low, 4) AS adjusted_low, round(adjusted_close, 4) AS adjusted_close,
         volume, round(adjustment_factor, 4) AS adjustment_factor FROM adjusted""",
+    "adjusted_back": _EVENTS
+    + f"""SELECT {_KEY}, close, round(close * f, 4) AS adjusted_close, round(f, 4) AS adjustment_factor
+        FROM (SELECT *, exp(coalesce(sum(term) OVER (PARTITION BY symbol ORDER BY trade_date_market DESC
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f
+              FROM (SELECT *, CASE WHEN before > 0 AND dividend_amount < before THEN ln(1 - dividend_amount / before) ELSE 0 END
+                        - ln(split_ratio) AS term
+                    FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date_market) AS before FROM with_events)))""",
+    "factor_steps": _FACTORS
+    + """SELECT symbol, trade_date_market AS day, round(cumulative_split_factor, 6) AS split_factor,
+        round(dividend_adjustment, 8) AS dividend_adjustment
+        FROM factors WHERE split_ratio <> 1 OR dividend_amount > 0""",
+    "adjusted_changes": _FACTORS
+    + f"""SELECT {_KEY}, round(adjusted_close, 4) AS adjusted_close, round(adjustment_factor, 4) AS adjustment_factor
+        FROM adjusted""",
     "adjusted_latest20": _FACTORS
     + f"""SELECT {_KEY}, close, round(adjusted_close, 4) AS adjusted_close,
         round(adjustment_factor, 4) AS adjustment_factor
@@ -338,6 +365,8 @@ ORACLE = {
     + "SELECT * FROM regimes ORDER BY symbol, trade_date_market DESC LIMIT 20",
     "regime_since": _REGIMES
     + "SELECT * FROM regimes WHERE trade_date_market >= DATE '2001-01-01'",
+    "regime_from_state": _REGIMES
+    + "SELECT * FROM regimes WHERE trade_date_market >= DATE '2001-01-01'",
     "adjusted_regime": _ADJUSTED_REGIMES + "SELECT * FROM regimes",
     "regime_restated": _ADJUSTED_REGIMES + "SELECT * FROM regimes",
     "regime_without_symbol": _with(BARS, NAMELESS, INDICATORS, REGIMES) + "SELECT * FROM regimes",
@@ -346,6 +375,26 @@ ORACLE = {
     + """SELECT 'ohlcv' AS layer, CAST(count(*) AS BIGINT) AS row_count FROM bars
         UNION ALL SELECT 'splits', count(*) FROM splits
         UNION ALL SELECT 'dividends', count(*) FROM dividends""",
+    "written_counts": _with(BARS, SPLITS, DIVIDENDS)
+    + """SELECT 'ohlcv' AS layer, CAST(count(*) AS BIGINT) AS row_count FROM bars
+        UNION ALL SELECT 'splits', count(*) FROM splits
+        UNION ALL SELECT 'dividends', count(*) FROM dividends""",
+    "missing_days": _with(BARS)
+    + """, calendar AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT trade_date_market AS d FROM bars)),
+        firsts AS (SELECT symbol, min(trade_date_market) AS first FROM bars GROUP BY symbol),
+        missing AS (
+          SELECT f.symbol, c.d, c.n FROM firsts f JOIN calendar c ON c.d > f.first
+          ANTI JOIN bars b ON b.symbol = f.symbol AND b.trade_date_market = c.d),
+        islands AS (SELECT *, n - row_number() OVER (PARTITION BY symbol ORDER BY n) AS island FROM missing)
+        SELECT symbol, min(d) AS first_day, max(d) AS last_day, CAST(count(*) AS INTEGER) AS n_days
+        FROM islands GROUP BY symbol, island""",
+    "merge_providers": _PROVIDED
+    + f"""SELECT {_KEY}, open, high, round(low, 6) AS low, close, volume, provider FROM provided
+        QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) = 1""",
+    "provider_conflicts": _PROVIDED
+    + f"""SELECT {_KEY}, CAST(count(*) AS BIGINT) AS n_providers, arg_min(provider, rank) AS taken,
+        min(close) AS least_close, max(close) AS largest_close
+        FROM provided GROUP BY {_KEY} HAVING count(*) > 1 AND min(close) < max(close)""",
     "dedupe_contacts": """SELECT min(c_custkey) AS c_custkey, c_mktsegment AS "E-mail", c_nationkey AS "Contact"
         FROM customer GROUP BY c_mktsegment, c_nationkey""",
     "dedupe_contact_keys": """SELECT DISTINCT c_mktsegment AS "E-mail", c_nationkey AS "Contact" FROM customer""",
@@ -361,6 +410,9 @@ ORACLE = {
     "partition_overwrite": _with(BARS)
     + f"""SELECT {_KEY}, close, volume + CASE WHEN year(trade_date_market) = 2001 THEN 1 ELSE 0 END AS volume
         FROM bars""",
+    "partition_merge": _with(BARS)
+    + f"""SELECT {_KEY}, close,
+        volume + CASE WHEN year(trade_date_market) = 2001 AND symbol < 'S5' THEN 1 ELSE 0 END AS volume FROM bars""",
     "full_overwrite": _with(BARS)
     + f"SELECT {_KEY}, close, volume FROM bars WHERE year(trade_date_market) >= 1999",
     "append_once": _with(DIVIDENDS)

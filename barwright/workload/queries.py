@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from barwright import schemas
 from barwright.functions import columns, dates
-from barwright.operators import actions, curate, indicators, quality, regime
+from barwright.operators import actions, carried, curate, indicators, quality, regime
 from barwright.plans.jobs import append_events
 from barwright.scratch import stored
 from barwright.sinks import (
     append_new,
     envelopes,
     land_envelopes,
+    merge_partitions,
     overwrite_partitions,
     overwrite_table,
     write_formats,
@@ -25,12 +26,15 @@ from barwright.sinks import (
 from barwright.sinks.files import Target
 from barwright.sources import (
     landing_path,
+    parse_landing,
+    quarantined,
     read_csv_text,
     read_landing,
     read_or_empty,
     read_stock_documents,
     read_table,
 )
+from barwright.sources.landing import LINES
 from barwright.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +263,21 @@ def landing_envelope(spark, sf_dir):
     )
 
 
+@query
+def landing_quarantine(spark, sf_dir):
+    """Documents of all bars, those of fifty units cut off, each parsed once: how many are good, by
+    symbol, and how many are not, without one."""
+    landed = envelopes(_ohlcv_results(spark, sf_dir), "daily_ohlcv", RUN_DATE)
+    text = F.to_json(F.struct(*landed.columns))
+    cut = F.when(F.get("payload.results", F.lit(0))["v"] == 50, F.left(text, F.length(text) - 7)).otherwise(text)
+    base = t.scratch(spark, "quarantine")
+    landed.select(cut.alias("value")).write.text(f"{landing_path(base, 'daily_ohlcv', RUN_DATE)}/{LINES}")
+    parsed = stored(parse_landing(spark, base, "daily_ohlcv", RUN_DATE), "parsed")
+    good = parsed.filter("record is null").groupBy("document.symbol").agg(F.count("*").alias("n_documents"))
+    bad = quarantined(parsed).agg(F.count("*").alias("n_documents"))
+    return good.unionByName(bad.withColumn("symbol", F.lit(None).cast("string")))
+
+
 def _landing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What landed at each endpoint: symbols with bars, with splits and dividends that change a price."""
     splits = t.splits(spark, sf_dir).filter("split_ratio <> 1")
@@ -296,16 +315,24 @@ def new_landings_only(spark, sf_dir):
     return quality.not_yet_landed(daily, daily.filter(F.col("execution_date") < "1999-01-01"))
 
 
-def _stock_documents(spark: SparkSession, sf_dir: str, *keys: str) -> str:
-    """Files of the newest bar of each symbol, a document for each value of ``keys``."""
+#: Symbols of a stock document, about.
+DOCUMENT_SYMBOLS = 500
+
+
+def _stock_documents(spark: SparkSession, sf_dir: str, key: str) -> str:
+    """Files of the newest bar of each symbol, documents of the symbols that share ``key``; very many of
+    these are dealt out over several documents."""
     newest = quality.newest_per_symbol(t.bars(spark, sf_dir))
+    sizes = newest.groupBy(key).agg(F.ceil(F.count("*") / DOCUMENT_SYMBOLS).alias("documents"))
+    newest = newest.join(sizes, key).withColumn("document", F.pmod(F.xxhash64("symbol"), F.col("documents")))
     whole = F.col("volume").cast("bigint")
     texts = {**{p: F.col(p) for p in ("open", "high", "low", "close")}, "volume": whole}
     prices = F.struct(
         *[texts[name].cast("string").alias(field) for field, name in schemas.STOCK_FIELDS.items()],
         F.col("trade_date_market").cast("string").alias(schemas.STOCK_RECORD_DATE),
     )
-    documents = newest.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("symbol", prices))).alias("stocks"))
+    each = F.struct("symbol", prices)
+    documents = newest.groupBy(key, "document").agg(F.map_from_entries(F.collect_list(each)).alias("stocks"))
     path = t.scratch(spark, "stocks")
     documents.select(F.to_json("stocks", {"pretty": "true"}).alias("value")).write.text(path)
     return path
@@ -407,6 +434,39 @@ def adjusted_ohlc(spark, sf_dir):
     return rounded(_adjusted(spark, sf_dir), 4, "low", "adjustment_factor", *prices)
 
 
+@query
+def adjusted_back(spark, sf_dir):
+    """The usual back-adjustment: prices before an event are divided and lowered."""
+    adjusted = actions.adjust_prices(*_three(spark, sf_dir), convention=actions.LOWER)
+    prices = adjusted.select(*KEY, "close", "adjusted_close", "adjustment_factor")
+    return rounded(prices, 4, "adjusted_close", "adjustment_factor")
+
+
+@query
+def factor_steps(spark, sf_dir):
+    """The steps of the adjustment factors: one for each day with an event and a bar."""
+    steps = actions.factor_table(actions.factor_steps(*_three(spark, sf_dir)))
+    return steps.select(
+        "symbol", "day", F.round(F.exp("split"), 6).alias("split_factor"), F.round("paid", 8).alias("dividend_adjustment")
+    )
+
+
+@query
+def adjusted_changes(spark, sf_dir):
+    """Bars adjusted by the splits before 2000 only, then brought up to date with all of them: the steps
+    of the factors are compared, and only the days that they change for a symbol are adjusted again."""
+    bars, splits, dividends = _three(spark, sf_dir)
+    early = splits.filter("execution_date < DATE '2000-01-01'")
+    was, now = (stored(actions.factor_steps(bars, s, dividends), "steps") for s in (early, splits))
+    changes = actions.changed_intervals(actions.factor_table(was), actions.factor_table(now))
+    changed = stored(actions.bars_in(bars, changes), "changed")
+    held = actions.with_factors(bars, was)
+    again = actions.with_factors(bars.join(changed, list(KEY), "left_semi"), now)
+    both = held.join(changed, list(KEY), "left_anti").select(held.columns).unionByName(again.select(held.columns))
+    prices = actions.adjusted_ohlc(both).select(*KEY, "adjusted_close", "adjustment_factor")
+    return rounded(prices, 4, "adjusted_close", "adjustment_factor")
+
+
 @query
 def adjusted_latest20(spark, sf_dir):
     adjusted = quality.newest_first_listing(_adjusted(spark, sf_dir))
@@ -538,6 +598,14 @@ def regime_since(spark, sf_dir):
     return regime.detect_regimes(bars).filter(F.col("trade_date_market") >= "2001-01-01")
 
 
+@query
+def regime_from_state(spark, sf_dir):
+    """Regimes from 2001 on, computed from those bars and the state kept of each symbol before."""
+    bars, since = t.bars(spark, sf_dir), "2001-01-01"
+    state = stored(carried.last_bars(bars.filter(F.col("trade_date_market") < since)), "state")
+    return carried.regimes_from_state(state, bars, since)
+
+
 # --- quality -------------------------------------------------------------------------------
 
 
@@ -552,6 +620,42 @@ def layer_counts(spark, sf_dir):
     return quality.row_counts({"ohlcv": bars, "splits": splits, "dividends": dividends})
 
 
+@query
+def written_counts(spark, sf_dir):
+    """The same counts, taken while the tables are written."""
+    bars, splits, dividends = _three(spark, sf_dir)
+    base = t.scratch(spark, "counted")
+    counts = {
+        "ohlcv": overwrite_table(bars, f"{base}/ohlcv"),
+        "splits": append_new(splits, f"{base}/splits", splits.schema, ["symbol", "split_id"]),
+        "dividends": append_new(dividends, f"{base}/dividends", dividends.schema, ["symbol", "dividend_id"]),
+    }
+    return spark.createDataFrame(list(counts.items()), "layer string, row_count bigint")
+
+
+@query
+def missing_days(spark, sf_dir):
+    """Trading days without a bar, of all symbols."""
+    return quality.missing_days(t.bars(spark, sf_dir))
+
+
+def _providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three providers, who know the trades of one return flag each."""
+    names = (*KEY, "open", "high", "low", "close", "volume")
+    bars = {name: t.bars(spark, sf_dir, flag).select(*names) for name, flag in (("first", "N"), ("second", "A"), ("third", "R"))}
+    return quality.by_precedence(bars)
+
+
+@query
+def merge_providers(spark, sf_dir):
+    return rounded(quality.merge_providers(_providers(spark, sf_dir)), 6, "low")
+
+
+@query
+def provider_conflicts(spark, sf_dir):
+    return quality.provider_conflicts(_providers(spark, sf_dir))
+
+
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_mktsegment").alias("E-mail"), F.col("c_nationkey").alias("Contact")
@@ -614,6 +718,18 @@ def partition_overwrite(spark, sf_dir):
     return read_table(spark, path, BY_DAY)
 
 
+@query
+def partition_merge(spark, sf_dir):
+    """All days, then those of 2001 again for some symbols with other volumes: the bars of the other
+    symbols stay."""
+    path, bars = t.scratch(spark, "merged"), _daily(spark, sf_dir)
+    overwrite_partitions(bars, path, ["trade_date_market"])
+    some = bars.filter((F.year("trade_date_market") == 2001) & (F.col("symbol") < "S5"))
+    again = some.withColumn("volume", F.col("volume") + 1)
+    merge_partitions(again, path, BY_DAY, KEY, ["trade_date_market"])
+    return read_table(spark, path, BY_DAY)
+
+
 @query
 def full_overwrite(spark, sf_dir):
     """All days, then the table again from 1999: the earlier days go."""

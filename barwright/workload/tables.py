@@ -29,9 +29,11 @@ SYMBOL = """concat('S', l_suppkey,
     CASE l_suppkey % 3 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END) AS symbol"""
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per supplier: one row per symbol and day."""
-    trades = table(spark, sf_dir, "lineitem").selectExpr(
+def bars(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+    """Daily bars per supplier: one row per symbol and day. With ``flag``, of the trades a provider
+    knows, those of that return flag."""
+    items = table(spark, sf_dir, "lineitem")
+    trades = (items if flag is None else items.filter(F.col("l_returnflag") == flag)).selectExpr(
         "l_suppkey",
         "CAST(l_shipdate AS DATE) AS trade_date_market",
         "l_quantity AS quantity",

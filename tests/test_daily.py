@@ -9,7 +9,7 @@ from helpers import BAR_SCHEMA, by_symbol, random_bars
 from pyspark.sql import functions as F
 from test_actions import frames
 from test_curate import drop_document
-from test_jobs import RUN, curated, land_documents, market, ms  # noqa: F401
+from test_jobs import RUN, curated, land_documents, market  # noqa: F401
 
 from barwright import plans, schemas
 from barwright.operators import actions, carried, regime
@@ -47,7 +47,7 @@ def test_five_random_batches(spark, tmp_path):
     """After each batch of new days, late bars, corrected and new events: what full runs give."""
     r = random.Random(11)
     one, full = Layout(str(tmp_path / "one")), Layout(str(tmp_path / "full"))
-    history = random_bars(61, {"AAPL": 150, "0700": 90, "MSFT": 40, "ONE": 12}, gaps=(1, 1, 2))
+    history = random_bars(61, {"AAPL": 80, "0700": 60, "MSFT": 20, "ONE": 5}, gaps=(1,))
     days = sorted({row[1] for row in history})
     cuts = [0, len(days) // 3, *(len(days) // 3 + k * len(days) // 9 for k in range(1, 6)), len(days)]
     late = [row for row in history if r.random() < 0.02]
@@ -119,8 +119,10 @@ def test_no_older_day_is_read_for_steady_symbols(spark, tmp_path):
     new = read_table(spark, path, BAR_SCHEMA)
     got = carried.regimes_from_state(state, new, since)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "PartitionFilters" in line and "adjusted" in line]
-    assert scans and all(f">= {(date.fromisoformat(since) - date(1970, 1, 1)).days}" in line or since in line for line in scans)
+    scans = [line.partition("PartitionFilters: ")[2] for line in plan.splitlines() if "FileScan" in line]
+    of_bars = [line for line in scans if not line.startswith("[]")]
+    assert len(of_bars) == 2 and all(f">= {since})" in line for line in of_bars)
+    assert len(scans) == 4  # the others are of the state
     assert rows(got) == rows(regime.detect_regimes(bars).filter(F.col(DAY) >= since))
 
 

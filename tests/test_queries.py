@@ -26,7 +26,7 @@ def test_every_query_has_an_oracle():
 
 
 #: Queries that write a folder per day; a table of few days will do here.
-BY_DAY = ("partition_overwrite", "full_overwrite", "multi_format", "append_once", "append_events_twice", "append_corrections")
+BY_DAY = ("partition_overwrite", "partition_merge", "full_overwrite", "multi_format", "append_once", "append_events_twice", "append_corrections")
 
 
 @pytest.fixture(scope="module")
