@@ -174,13 +174,15 @@ ORACLE: dict[str, str] = {
                 CAST(len(lines) AS BIGINT) AS n_lines,
                 CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                 CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-                length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals
+                length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
+                len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS n_lettered
             FROM d LEFT JOIN repeated USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
             NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
                 OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words
-                OR 100 * n_capitals > 40 * word_chars) AS kept
+                OR 100 * n_capitals > 40 * word_chars OR 5 * n_distinct < least(n_words, 1000)
+                OR 2 * n_lettered < n_words) AS kept
         FROM f
     """,
 }
