@@ -14,36 +14,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm import licence_texts
+
 #: Dice coefficient from which a passage counts as the licence.
 THRESHOLD = 0.8
-#: Notices and short licence texts as they are published.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    (
-        "MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    (
-        "BSD",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-]
+TEMPLATES = licence_texts.TEXTS
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -51,59 +26,72 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, thres
 
     ``matches`` has ``(license, dice)`` of each line, and each paragraph of several lines, that
     reaches the threshold for a template, and of the best window of a text for each template that none
-    of these reaches; ``licenses`` names these once each, sorted; ``best`` is the largest coefficient
+    of these reaches. The licences of a family, named alike up to the first hyphen, differ in few
+    words, so of these only the matches with the largest coefficient are kept. ``licenses`` names these once each, sorted; ``best`` is the largest coefficient
     among them or 0. A null or empty text has none. Repeated rows and null doc_ids stay; other columns
-    are left out. All lines and windows of a text are compared, whatever its length.
+    are left out; an empty table gives an empty result. All lines and windows of a text are compared,
+    whatever its length.
     """
-    lengths = [len(_words(text)) - 1 for _, text in templates if bigrams_of(text)]
-    known = [(name, sorted(bigrams_of(text))) for name, text in templates]
-    known = [(name, grams) for name, grams in known if grams]
-    sizes = [len(grams) for _, grams in known]
+    known = [t for t in (template(k, name, text, threshold) for k, (name, text) in enumerate(templates)) if t["own"]]
     # the coefficient is at most 2 * min / (min + max)
-    low = min(threshold / (2 - threshold) * n for n in sizes)
-    high = max((2 - threshold) / threshold * n for n in sizes)
+    low, high = min(t["smallest"] for t in known), max(t["largest"] for t in known)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("all_words", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     rows = rows.withColumn("all_grams", _pairs(F.col("all_words")))
-    every = sorted({gram for _, own in known for gram in own})
+    every = sorted({gram for t in known for gram in t["own"]})
     rows = rows.withColumn("some_grams", F.array_intersect("all_grams", F.array(*map(F.lit, every))))
+    # a template that too few pairs of the text are of is reached nowhere in it
+    sought = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(n) for n, v in t.items()]) for t in known])
+    found = F.filter(sought, lambda t: F.size(F.array_intersect("some_grams", t["own"])) >= t["least"])
+    nothing = F.filter(sought, lambda t: F.lit(False))
+    fewest = min(t["least"] for t in known)
+    rows = rows.select("doc_id", "text", "all_grams", F.when(F.size("some_grams") >= fewest, found).otherwise(nothing).alias("candidates"))
+
+    # whole lines and paragraphs, of the texts that have candidates
     parts = F.array_distinct(F.concat(F.split("text", "\n"), F.filter(F.split("text", r"\n[\x20\x09\x0D]*\n"), lambda p: p.contains("\n"))))
     worded = F.transform(parts, lambda p: F.filter(F.split(F.lower(p), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     # a passage has a bigram for each pair of words at most
-    rows = rows.select("doc_id", "all_grams", "some_grams", F.filter(worded, lambda w: F.size(w) - 1 >= low).alias("parts"))
-    pairs = F.transform("parts", lambda w: F.array_distinct(_pairs(w)))
-    rows = rows.select("doc_id", "all_grams", "some_grams", F.filter(pairs, lambda b: F.size(b).between(low, high)).alias("grams"))
+    worded = F.filter(worded, lambda w: F.size(w) - 1 >= low)
+    pairs = F.filter(F.transform(worded, lambda w: F.array_distinct(_pairs(w))), lambda b: F.size(b).between(low, high))
+    none = F.array().cast("array<array<string>>")
+    rows = rows.select("doc_id", "all_grams", "candidates", F.when(F.size("candidates") > 0, pairs).otherwise(none).alias("grams"))
 
     def compared(grams: Column) -> Column:
-        def dice(k: int, name: str, own: list[str]) -> Column:
-            n = len(own)
-            value = 2 * F.size(F.array_intersect(grams, F.array(*map(F.lit, own)))) / (F.size(grams) + n)
-            fits = F.size(grams).between(threshold / (2 - threshold) * n, (2 - threshold) / threshold * n)
-            return F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.when(fits, value).otherwise(0.0).alias("dice"))
-
-        return F.array(*[dice(k, name, own) for k, (name, own) in enumerate(known)])
-
-    hits = F.filter(F.flatten(F.transform("grams", compared)), lambda m: m["dice"] >= threshold)
-    rows = rows.select("doc_id", "all_grams", "some_grams", hits.alias("hits"))
-    sought = [
-        F.struct(
-            F.lit(k).alias("template"),
-            F.lit(name).alias("license"),
-            F.array(*map(F.lit, own)).alias("own"),
-            # a window that reaches the threshold has so many of them at least
-            F.lit(math.ceil(threshold / (2 - threshold) * len(own) - 1e-9)).alias("least"),
-            F.lit(int((2 - threshold) / threshold * length + 1e-9)).alias("longest"),
-        )
-        for k, ((name, own), length) in enumerate(zip(known, lengths, strict=True))
-    ]
-    missing = F.filter(F.array(*sought), lambda t: (F.size(F.array_intersect("some_grams", t["own"])) >= t["least"]) & ~F.exists("hits", lambda m: m["template"] == t["template"]))
-    rows = rows.withColumn("missing", F.when(F.size("some_grams") > 0, missing).otherwise(F.filter(F.array(*sought), lambda t: F.lit(False))))
+        def dice(t: Column) -> Column:
+            value = 2 * F.size(F.array_intersect(grams, t["own"])) / (F.size(grams) + F.size(t["own"]))
+            fits = F.size(grams).between(t["smallest"], t["largest"])
+            return F.struct(t["template"].alias("template"), t["license"].alias("license"), F.when(fits, value).otherwise(0.0).alias("dice"))
+
+        return F.filter(F.transform("candidates", dice), lambda m: m["dice"] >= threshold)
+
+    rows = rows.withColumn("hits", F.flatten(F.transform("grams", compared)))
+    missing = F.filter("candidates", lambda t: ~F.exists("hits", lambda m: m["template"] == t["template"]))
+    rows = rows.withColumn("missing", missing)
     windows = F.transform("missing", lambda t: F.struct(t["license"].alias("license"), _best_window(F.col("all_grams"), t).alias("dice")))
     whole = F.transform("hits", lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice")))
     rows = rows.select("doc_id", F.concat(whole, F.filter(windows, lambda m: m["dice"] >= threshold)).alias("matches"))
+    family = lambda m: F.substring_index(m["license"], "-", 1)
+    best = F.filter("matches", lambda m: ~F.exists("matches", lambda o: (family(o) == family(m)) & (o["dice"] > m["dice"])))
+    rows = rows.withColumn("matches", best)
     return rows.select("doc_id", F.sort_array(F.array_distinct(F.col("matches.license"))).alias("licenses"), F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best"), "matches")
 
 
+def template(number: int, name: str, text: str, threshold: float = THRESHOLD) -> dict:
+    """A template's word pairs ``own``; the fewest and most pairs of a passage that can reach the
+    threshold; how many of ``own`` such a passage has at least; and the longest window compared."""
+    own = sorted(bigrams_of(text))
+    ratio = threshold / (2 - threshold)
+    return {
+        "template": number,
+        "license": name,
+        "own": own,
+        "smallest": ratio * len(own),
+        "largest": len(own) / ratio,
+        "least": math.ceil(ratio * len(own) - 1e-9),
+        "longest": int((len(_words(text)) - 1) / ratio + 1e-9),
+    }
+
+
 def _pairs(words: Column) -> Column:
     """Each word with the next one."""
     n = F.greatest(F.size(words) - 1, F.lit(0))

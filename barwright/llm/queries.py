@@ -112,6 +112,9 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Pairs that a passage and a template have in common at least, as a share of the larger of them.
+_RATIO = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -134,25 +137,41 @@ ORACLE: dict[str, str] = {
     """,
     "op5_licenses": rf"""
         WITH t AS (
-            SELECT license, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS g
-            FROM (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
-                FROM (VALUES {", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)}) v(license, text))),
+            SELECT *, len(g) AS n, CAST(ceil({_RATIO} * len(g) - 1e-9) AS BIGINT) AS least,
+                CAST(floor(({_RATIO} ** -1) * (len(w) - 1) + 1e-9) AS BIGINT) AS longest
+            FROM (SELECT k, license, w, list_distinct([w[x] || ' ' || w[x + 1] FOR x IN range(1, len(w))]) AS g
+                FROM (SELECT k, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w
+                    FROM (VALUES {", ".join("(%d, '%s', '%s')" % (k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))}) v(k, license, text)))),
+        d AS (
+            SELECT doc_id, text, [w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))] AS g
+            FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL)),
         parts AS (
             SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)) ||
                 list_filter(regexp_split_to_array(text, '
 [ 	
 ]*
 '), lambda p: contains(p, chr(10))))) AS part
-            FROM documents WHERE text IS NOT NULL),
+            FROM d),
         grams AS (
             SELECT doc_id, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS g
             FROM (SELECT doc_id, regexp_extract_all(lower(part), '[\p{{L}}\p{{N}}]+') AS w FROM parts)),
         hits AS (
-            SELECT doc_id, license, 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice FROM grams, t
-            WHERE 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) >= {licenses.THRESHOLD})
+            SELECT doc_id, k, license, 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) AS dice FROM grams, t
+            WHERE len(grams.g) BETWEEN {_RATIO} * n AND n / {_RATIO}
+              AND 2 * len(list_intersect(grams.g, t.g)) / (len(grams.g) + len(t.g)) >= {licenses.THRESHOLD}),
+        sought AS (
+            SELECT doc_id, k, license, d.g AS all_g, t.g AS own, n, longest FROM d, t
+            WHERE len(list_intersect(list_distinct(d.g), t.g)) >= least AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.k = t.k)),
+        places AS (SELECT *, unnest(range(1, len(all_g) + 1)) AS a FROM sought),
+        starts AS (SELECT doc_id, k, license, own, n, list_slice(all_g, a, a + longest - 1) AS following FROM places WHERE list_contains(own, all_g[a])),
+        windows AS (SELECT doc_id, k, license, own, n, list_distinct(list_slice(following, 1, unnest(range(1, len(following) + 1)))) AS w FROM starts),
+        best AS (SELECT doc_id, k, license, max(2 * len(list_intersect(w, own)) / (len(w) + n)) AS dice FROM windows GROUP BY ALL),
+        every AS (
+            SELECT * FROM (SELECT doc_id, license, dice FROM hits UNION ALL SELECT doc_id, license, dice FROM best WHERE dice >= {licenses.THRESHOLD})
+            QUALIFY dice = max(dice) OVER (PARTITION BY doc_id, split_part(license, '-', 1)))
         SELECT doc_id, coalesce(names, '') AS licenses, coalesce(best, 0.0::DOUBLE) AS best
         FROM documents LEFT JOIN (
-            SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS names, max(dice) AS best FROM hits GROUP BY doc_id) USING (doc_id)
+            SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS names, max(dice) AS best FROM every GROUP BY doc_id) USING (doc_id)
     """,
     "op7_quality_rules": r"""
         WITH d AS (
