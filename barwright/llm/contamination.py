@@ -106,9 +106,11 @@ def _anchors(docs: DataFrame, items: DataFrame, broadcast_tokens: int) -> tuple[
     shingles = _tokens(items.withColumnRenamed("size", "own"), sizes, "item_id", "span", "own").filter("size = own").drop("own")
     shingles = stored(shingles, "shingles")
     wanted = shingles.select("token").distinct()
-    if wanted.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
-        wanted = F.broadcast(wanted)
-    seen = _tokens(docs, sizes).select("token").join(wanted, "token").groupBy("token").agg(F.count("*").alias("seen"))
+    few = wanted.limit(broadcast_tokens + 1).count() <= broadcast_tokens
+    seen = _tokens(docs, sizes).select("token")
+    seen = (seen.join(F.broadcast(wanted), "token") if few else seen).groupBy("token").agg(F.count("*").alias("seen"))
+    if not few:  # counts are met, so that a frequent token is no more rows than another
+        seen = seen.join(wanted, "token")
     ranked = shingles.join(seen, "token", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     # the rarest shingle of each window
     first, last = F.greatest(F.lit(0), F.col("at") + F.col("size") - F.col("span")), F.least(F.size("words") - F.col("span"), F.col("at"))

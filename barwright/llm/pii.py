@@ -1,10 +1,11 @@
 """Personal data by patterns of form, and by contexts learnt from what these find.
 
-The forms give seeds. Words that stand next to seeds become patterns; a pattern is scored by how
+The forms give seeds; so do secrets that a telling name is given, such as a password. Words that stand
+next to seeds become patterns; a pattern is scored by how
 many of the identifiers it meets are known and how often the word stands there at all, an
 identifier by the patterns that meet it, in turn over a graph of both. Identifiers of the right
-type that no form matches, such as a card number with a wrong check digit, are added where
-confident patterns meet them.
+type that no form matches, such as a card number with a wrong check digit or a token that merely
+follows its name, are added where confident patterns meet them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,14 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A kind of its own, which is no base span: what stands behind one of these names, possibly quoted.
+SECRET = "secret"
+SECRET_NAMES = r"token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
+SECRET_FORM = rf"(?i)(?<=(?:{SECRET_NAMES})[\"']?\x20?[=:]\x20?[\"']?)(?<![A-Za-z0-9+/_~-])[A-Za-z0-9+/_~-]{{8,}}+={{0,2}}"
+#: Two digits and two letters at least, so that it is not a word or a number.
+SECRET_TYPE = r"\A(?=(?:[^0-9]*+[0-9]){2})(?=(?:[^A-Za-z]*+[A-Za-z]){2})[A-Za-z0-9+/_~-]{8,}+={0,2}\z"
+#: What may be a secret: a run of its characters with a digit.
+MIXED = r"(?<![A-Za-z0-9+/_~-])(?=[A-Za-z+/_~-]*+[0-9])[A-Za-z0-9+/_~-]{8,}+"
 #: What may be an identifier without having one of the forms, and the types of these.
 LOOSE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9._-]++|\+?[0-9][0-9().-]{5,}[0-9]"
 #: The same with single spaces, sought by itself: a number beside another one is both, two without
@@ -36,6 +45,7 @@ LOOSE_TYPES = {
     "ip": r"\A[0-9]+(?:\.[0-9]+){3}\z",
     "card": r"\A[0-9\x20-]+\z",
     "phone": r"\A\+?[0-9().\x20-]+\z",
+    "secret": SECRET_TYPE,
 }
 #: Characters of context looked at on either side, enough for a word.
 CONTEXT = 48
@@ -54,9 +64,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """``doc_id, print, base, spans`` for each row of ``docs(doc_id, text)``.
 
     ``base`` and ``spans`` are arrays of ``(kind, start, end)``, code points from 0 and end
-    exclusive, by kind in the order of KINDS and then by start. ``base`` has what fits a form,
-    ``spans`` the found identifiers as well, none of which overlaps a base span. ``print`` is a hash
-    of the text. A null or empty text has no spans. Repeated rows and null doc_ids stay; other
+    exclusive, by kind in the order of KINDS, secrets last, and then by start. ``base`` has what fits a
+    form, ``spans`` the secrets that are named as such and the found identifiers as well, of which
+    only a named secret may overlap a base span. ``print`` is a hash of the text. A null or empty text has no spans. Repeated rows and null doc_ids stay; other
     columns are left out; an empty table gives an empty result.
     """
     found = stored(_extracted(docs), "spans")
@@ -65,7 +75,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     joined = found.join(learnt.withColumnsRenamed({"doc_id": "d", "print": "p"}), same, "left")
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    every = F.sort_array(F.concat(base, F.coalesce("learnt", none)))
+    secrets = F.transform("secrets", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    every = F.sort_array(F.concat(base, secrets, F.coalesce("learnt", none)))
     return joined.select("doc_id", "print", _named(base).alias("base"), _named(every).alias("spans"))
 
 
@@ -103,7 +114,7 @@ def _without(text: Column, spans: Column) -> Column:
 
 
 def _named(spans: Column) -> Column:
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, (*KINDS, SECRET)))
     return F.transform(spans, lambda s: F.struct(F.get(kinds, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
@@ -111,8 +122,14 @@ def _extracted(docs: DataFrame) -> DataFrame:
     """Base spans and loose candidates of each row, with their contexts."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("print"), text.alias("text"))
-    needs = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+"), "spaced": F.col("text").rlike(r"[0-9().-]\x20[0-9().-]")}
-    for name, form in {**FORMS, "loose": LOOSE, "spaced": SPACED}.items():
+    needs = {
+        "email": F.col("text").contains("@"),
+        "phone": F.col("text").contains("+"),
+        "spaced": F.col("text").rlike(r"[0-9().-]\x20[0-9().-]"),
+        "secrets": F.col("text").rlike(r"[=:]\x20?[\"']?[A-Za-z0-9+/_~-]{8}"),
+        "mixed": F.col("text").rlike(r"[A-Za-z+/_~-][0-9]|[0-9][A-Za-z+/_~-]"),
+    }
+    for name, form in {**FORMS, "loose": LOOSE, "spaced": SPACED, "secrets": SECRET_FORM, "mixed": MIXED}.items():
         needed = needs.get(name, F.col("text").rlike("[0-9@]"))
         rows = rows.withColumn(f"{name}_values", F.when(needed, F.regexp_extract_all("text", F.lit(form), F.lit(0))).otherwise(F.array().cast("array<string>")))
         some = F.size(f"{name}_values") > 0
@@ -129,9 +146,12 @@ def _extracted(docs: DataFrame) -> DataFrame:
 
     base = F.concat(*[fitting(k, kind) for k, kind in enumerate(KINDS)])
     spaced = F.filter(_spans("spaced", -1), lambda s: s["value"].contains(" ") & F.length(_digits(s["value"])).between(9, 19))
-    rows = rows.select("doc_id", "print", base.alias("base"), F.concat(_spans("loose", -1), spaced).alias("loose"))
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return rows.select("doc_id", "print", "base", apart.alias("loose"))
+    secrets = F.filter(_spans("secrets", len(KINDS)), lambda s: s["value"].rlike(SECRET_TYPE))
+    mixed = F.filter(_spans("mixed", -1), lambda s: s["value"].rlike(SECRET_TYPE))
+    rows = rows.select("doc_id", "print", base.alias("base"), secrets.alias("secrets"), F.concat(_spans("loose", -1), spaced, mixed).alias("loose"))
+    sure = F.concat("base", "secrets")
+    apart = F.filter("loose", lambda c: ~F.exists(sure, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    return rows.select("doc_id", "print", "base", "secrets", apart.alias("loose"))
 
 
 def _digits(value: Column) -> Column:
@@ -172,7 +192,7 @@ def _ends(values: Column, pieces: Column) -> Column:
 
 def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id, print, learnt``: spans of loose candidates that confident patterns meet."""
-    seeds = found.select("doc_id", "print", F.explode("base").alias("s")).select("doc_id", "print", "s.*", F.lit(1.0).alias("known"))
+    seeds = found.select("doc_id", "print", F.explode(F.concat("base", "secrets")).alias("s")).select("doc_id", "print", "s.*", F.lit(1.0).alias("known"))
     loose = found.select("doc_id", "print", F.explode("loose").alias("s")).select("doc_id", "print", F.explode(_types(F.col("s.value"))).alias("kind"), "s.start", "s.end", "s.value", "s.left", "s.right")
     loose = stored(loose.withColumn("known", F.lit(0.0)), "loose")
     sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("left", "right")])
@@ -204,14 +224,17 @@ def _discovered(docs: DataFrame, found: DataFrame) -> DataFrame:
 def _types(value: Column) -> Column:
     """The kinds that a loose candidate can be."""
     size = F.length(_digits(value))
-    fits = {"email": F.lit(True), "ip": F.lit(True), "card": size.between(13, 19), "phone": size.between(9, 15)}
-    kinds = [F.when(value.rlike(LOOSE_TYPES[kind]) & fits[kind], F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, kind in enumerate(KINDS)]
+    fits = {"card": size.between(13, 19), "phone": size.between(9, 15)}
+    kinds = [F.when(value.rlike(form) & fits.get(kind, F.lit(True)), F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, (kind, form) in enumerate(LOOSE_TYPES.items())]
     return reduce(lambda a, b: F.concat(a, b), kinds)
 
 
 def _occurrences(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """How often each word stands in all texts."""
-    if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:  # each of CONTEXT characters at most
-        words = F.broadcast(words)
+    """How often each word stands in all texts. Too many words to send are met by the counts, so that a
+    frequent word is no more rows than another."""
+    few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS  # each of CONTEXT characters at most
     every = docs.select(F.explode_outer(F.split(F.lower("text"), _NOT_WORD)).alias("word"))
-    return every.join(words, "word").groupBy("word").agg(F.count("*").alias("places"))
+    if few:
+        every = every.join(F.broadcast(words), "word")
+    places = every.groupBy("word").agg(F.count("*").alias("places"))
+    return places if few else places.join(words, "word")
