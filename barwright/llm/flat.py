@@ -33,6 +33,13 @@ def in_small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, after which the memory that Arrow keeps for itself goes back to the system: a worker
+    that waits for its next task, perhaps of another job, holds no more than it needs."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, one past the last, bytes, where each row's text starts and the last ends)``.
 

@@ -139,7 +139,7 @@ def identify(docs: DataFrame, profiles: DataFrame, *, keep: tuple[str, ...] = ("
     profile = [(np.array(sorted(g), np.int64), np.array([g[k] for k in sorted(g)], np.int64)) for g in table.values()]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _parts(batches):
+        for part, texts in _parts(flat.given_back(batches)):
             row, gram, times, has_letter = gram_counts(texts)
             order = np.lexsort((gram, (row << np.int64(40)) - times))
             row, gram = row[order], gram[order]

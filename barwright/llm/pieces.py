@@ -305,7 +305,7 @@ def digest_documents(docs: DataFrame, model: str, *, with_ids: bool = False) ->
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _digester(model)
-        for doc_ids, texts in _parts(batches):
+        for doc_ids, texts in _parts(flat.given_back(batches)):
             counts, listed, decoded, rows = [], [], [], []
             for words in encoder.words(texts):
                 size, ids, text, own = zip(*words, strict=True) if words else ((), (), (), ())

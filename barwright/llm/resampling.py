@@ -136,10 +136,19 @@ def _cut(keyed: DataFrame, cut: float, ties: int) -> DataFrame:
     level = keyed.filter(F.col("key") == cut)
     if level.count() == ties:
         return keyed.withColumn("kept", F.col("key") >= cut)
-    # equal keys are repeated rows, but for a chance of 2**-53
-    ordered = level.orderBy(F.col("doc_id").asc_nulls_first())
     rest = keyed.filter(F.col("key") != cut).withColumn("kept", F.col("key") > cut)
-    return rest.union(ordered.limit(ties).withColumn("kept", F.lit(True))).union(ordered.offset(ties).withColumn("kept", F.lit(False)))
+    level = stored(level.withColumn("_row", F.monotonically_increasing_id()), "level")
+    if level.select("doc_id").distinct().limit(2).count() > 1:  # a chance of 2**-53 for two rows
+        ordered = level.drop("_row").orderBy(F.col("doc_id").asc_nulls_first())
+        return rest.union(ordered.limit(ties).withColumn("kept", F.lit(True))).union(ordered.offset(ties).withColumn("kept", F.lit(False)))
+    # else one row that is repeated, maybe very often: as many of it as are wanted are the first by number
+    below = ties
+    for task, n in sorted(map(tuple, level.groupBy(F.shiftright("_row", 33)).count().collect())):  # a row for each task
+        if below <= n:
+            break
+        below -= n
+    chosen = level.withColumn("kept", F.col("_row") < (task << 33) + below)
+    return rest.unionByName(chosen.drop("_row"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, share: float, seed: int = 1) -> DataFrame:

@@ -87,3 +87,24 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.001"
     named = QUERIES["op9_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out")
     assert named.filter("lang = lang_pred").count() >= 0.9 * named.count()
+
+
+def test_distances_equal_plain_ranks(spark):
+    """Out-of-place distance of every document to every profile, by hand."""
+    docs = made(spark, 30)
+    r = random.Random(4)
+    odd = [(100 + k, " ".join(r.choices([*WORDS["aa"], *WORDS["oo"], "xyz", "Ünï"], k=r.randint(1, 40))), None) for k in range(40)]
+    every = docs.union(spark.createDataFrame(odd, SCHEMA))
+    profiles = language.fit_profiles(docs)
+    rank = {}
+    for p in profiles.collect():
+        rank.setdefault(p["lang"], {})[p["gram"]] = p["rank"]
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    texts = {x["doc_id"]: x["text"] for x in every.collect()}
+    for got in language.identify(every, profiles).collect():
+        own = sorted(((-n, code(g)) for g, n in grams(texts[got["doc_id"]]).items()))[: language.RANKED]
+        apart = {}
+        for lang, known in rank.items():
+            apart[lang] = sum(min(abs(known[g] - k), language.RANKED) if g in known else language.RANKED for k, (_, g) in enumerate(own)) / (len(own) * language.RANKED)
+        best = min(sorted(apart), key=lambda x: apart[x])
+        assert got["lang_pred"] == best and got["score"] == pytest.approx(1 - apart[best])

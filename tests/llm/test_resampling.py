@@ -85,3 +85,34 @@ def test_draws_are_in_proportion(spark):
     noise = [x["key"] for x in keyed]
     heavier = sum(a + np.log(3) > b for a, b in zip(noise[::2], noise[1::2], strict=True)) / 2000
     assert abs(heavier - 0.75) < 0.04
+
+
+def test_weights_equal_plain_sums(spark):
+    r = np.random.default_rng(6)
+    ratio = r.normal(size=BUCKETS)
+    texts = ["a b c", "b c", None, "", "## a", "a " * 3000, "Ünï cödé 12"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], SCHEMA)
+    got = resampling.weigh(docs, ratio, seed=3).collect()
+    assert len(got) == 8
+    for x in got:
+        own = plain_buckets(texts[x["doc_id"]] or "")
+        assert x["n_grams"] == len(own) and np.isclose(x["log_weight"], ratio[own].sum())
+    again = {x["doc_id"]: x["key"] for x in resampling.weigh(docs, ratio, seed=3).collect()}
+    other = {x["doc_id"]: x["key"] for x in resampling.weigh(docs, ratio, seed=4).collect()}
+    assert all(again[x["doc_id"]] == x["key"] != other[x["doc_id"]] for x in got)
+
+
+def test_noise_has_the_gumbel_distribution(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
+    noise = np.sort([x["key"] for x in resampling.weigh(docs, np.zeros(BUCKETS)).select("key").collect()])
+    wanted = np.exp(-np.exp(-noise))  # its distribution function
+    assert np.abs(wanted - (np.arange(len(noise)) + 0.5) / len(noise)).max() < 0.015
+
+
+@pytest.mark.parametrize("k", [1, 7, 2999, 3000, 3004])
+def test_one_row_repeated_very_often_is_cut_by_number(spark, k):
+    rows = spark.range(3000, numPartitions=6).selectExpr("CAST(5 AS long) AS doc_id", "1.5D AS key")
+    rows = rows.union(spark.createDataFrame([(1, 9.0), (2, 0.5), (3, 0.25), (None, 0.0)], "doc_id long, key double"))
+    got = resampling.take_largest(rows, k)
+    assert got.count() == 3004 and got.filter("kept").count() == k
+    assert got.filter("kept").agg({"key": "min"}).first()[0] == (9.0 if k == 1 else 1.5 if k <= 3001 else 0.0)

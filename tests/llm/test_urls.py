@@ -136,3 +136,18 @@ def test_a_model_too_large_to_send_scores_alike(spark, monkeypatch):
     monkeypatch.setattr(urls, "GATHERED", 0)
     monkeypatch.setattr(urls, "BLOCK", 5)
     assert judged() == small
+
+
+def test_threshold_equals_trying_every_edge(spark):
+    r = random.Random(12)
+    for allow, block in ((0.4, -0.2), (0.1, 0.1), (-9.0, 9.0), (99.0, -99.0)):
+        rows = [("allow", r.gauss(allow, 0.5)) for _ in range(60)] + [("block", r.gauss(block, 0.5)) for _ in range(25)]
+        held = spark.createDataFrame(rows, "ruling string, score double")
+        n = {x: sum(k == x for k, _ in rows) for x in ("allow", "block")}
+        best = []
+        for edge in np.arange(urls.BINS + 1) * 2 * urls.SPAN / urls.BINS - urls.SPAN:
+            at = lambda s: np.clip(np.floor((s + urls.SPAN) * urls.BINS / (2 * urls.SPAN)), 0, urls.BINS - 1)
+            own = round((edge + urls.SPAN) * urls.BINS / (2 * urls.SPAN))
+            right = sum(at(s) >= own for k, s in rows if k == "allow") / n["allow"] + sum(at(s) < own for k, s in rows if k == "block") / n["block"]
+            best.append((-round(right, 9), abs(edge), edge))
+        assert urls._threshold(held) == min(best)[2]
