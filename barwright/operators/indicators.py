@@ -7,7 +7,7 @@ functions run the steps they need with the look-back those need.
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barwright.operators.segments import over_segments
+from barwright.operators.segments import BAR_NO, over_segments
 
 PERIOD = 14
 
@@ -106,12 +106,20 @@ def directional_index(bars: DataFrame, **segments) -> DataFrame:
     return over_segments(bars, steps, PERIOD, **segments)
 
 
-def trend_indicators(bars: DataFrame, **segments) -> DataFrame:
+def trend_indicators(bars: DataFrame, *, min_periods: int = 1, **segments) -> DataFrame:
     """Add every indicator up to ``adx_14``.
 
     A value rests on 14 DX, the first of them on 14 ranges, the first of those on one bar more.
+    ``atr_14`` and ``adx_14`` are NULL on the bars of a symbol before its ``min_periods``-th one.
     """
+
+    def settled(frame: DataFrame, w: WindowSpec) -> DataFrame:
+        enough = F.col(BAR_NO) + 1 >= min_periods
+        return frame.withColumns({name: F.when(enough, F.col(name)) for name in ("atr_14", "adx_14")})
+
     steps = [_previous, _range, _movement, _smooth, _range_percent, _direction, _trend]
+    if min_periods > 1:
+        steps.append(settled)
     return over_segments(bars, steps, 2 * PERIOD - 1, **segments)
 
 

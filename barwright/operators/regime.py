@@ -62,9 +62,10 @@ def classify(indicators: DataFrame) -> DataFrame:
     )
 
 
-def detect_regimes(bars: DataFrame, **segments) -> DataFrame:
-    """Regime of every bar, from bars that are already adjusted."""
-    return classify(trend_indicators(bars, **segments))
+def detect_regimes(bars: DataFrame, *, min_periods: int = 1, **segments) -> DataFrame:
+    """Regime of every bar, from bars that are already adjusted; with ``min_periods``, of those that so
+    many bars of the symbol lead up to, itself included."""
+    return classify(trend_indicators(bars, min_periods=min_periods, **segments))
 
 
 def regime_distribution(regimes: DataFrame) -> DataFrame:

@@ -356,6 +356,10 @@ ORACLE = {
     + f"SELECT {_KEY}, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di FROM di",
     "adx_14": _TREND + f"SELECT {_KEY}, round(dx, 6) AS dx, round(adx_14, 6) AS adx_14 FROM trend",
     "regime_table": _REGIMES + "SELECT * FROM regimes",
+    "regime_settled": _REGIMES
+    + f"""SELECT * FROM regimes SEMI JOIN (
+          SELECT {_KEY} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date_market) >= 14) b
+        USING ({_KEY})""",
     "regime_confidence": _REGIMES + f"SELECT {_KEY}, regime, confidence FROM regimes",
     "regime_distribution": _REGIMES
     + f"""SELECT regime, CAST(count(*) AS BIGINT) AS count, {_money('avg(confidence)')} AS avg_confidence,

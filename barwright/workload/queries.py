@@ -539,6 +539,12 @@ def regime_table(spark, sf_dir):
     return _regimes(spark, sf_dir)
 
 
+@query
+def regime_settled(spark, sf_dir):
+    """Regimes of the bars that fourteen of their symbol lead up to."""
+    return regime.detect_regimes(t.bars(spark, sf_dir), min_periods=14)
+
+
 @query
 def regime_confidence(spark, sf_dir):
     return _regimes(spark, sf_dir).select(*KEY, "regime", "confidence")

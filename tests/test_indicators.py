@@ -216,3 +216,15 @@ def test_bars_without_symbol_are_a_group_of_their_own(spark, segment_rows):
         got = step(spark.createDataFrame(rows, BAR_SCHEMA), segment_rows=segment_rows).fillna({"symbol": "N"})
         want = step(spark.createDataFrame(named, BAR_SCHEMA), segment_rows=segment_rows)
         assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 110
+
+
+def test_bars_before_the_minimum_have_no_regime(spark):
+    rows = random_bars(71, {"A": 60, "B": 13, "C": 14})
+    bars = spark.createDataFrame(rows, BAR_SCHEMA)
+    every = regime.detect_regimes(bars, segment_rows=40).collect()
+    want = {}
+    for symbol, history in by_symbol(rows).items():
+        settled = {r[1] for r in history[13:]}
+        want |= {(r.symbol, r.trade_date_market): r for r in every if r.symbol == symbol and r.trade_date_market in settled}
+    got = {(r.symbol, r.trade_date_market): r for r in regime.detect_regimes(bars, min_periods=14, segment_rows=40).collect()}
+    assert got == want and {s for s, _ in got} == {"A", "C"}
