@@ -30,7 +30,8 @@ LONGER = (WINDOW + PREFIX + 1) // 2
 #: Records a task sorts together; what a group has beyond that is sorted apart and joined by nodes.
 GROUP_RECORDS = 1 << 15
 #: Counters for frequent prefixes per task. A prefix counts as frequent above a share of the records of
-#: one over this, so at most this many of each length are known to every task.
+#: one over this, so at most three times this many are known to every task: a record has one of the
+#: short prefixes and at most two of the lengthened ones.
 COUNTERS = 4096
 #: Records below which no prefix counts as frequent.
 FEW_RECORDS = 1000
