@@ -29,21 +29,21 @@ def _range(bars: DataFrame, w: WindowSpec) -> DataFrame:
 
 
 def _movement(bars: DataFrame, w: WindowSpec) -> DataFrame:
-    up, down = F.col("up_move"), F.col("down_move")
+    up, down = F.col("rise"), F.col("fall")
 
     def prevailing(this, other):
         return F.when((this > other) & (this > 0), this).otherwise(0.0)
 
     return bars.withColumns(
         {
-            "up_move": F.col("high") - F.col("prev_high"),
-            "down_move": F.col("prev_low") - F.col("low"),
+            "rise": F.col("high") - F.col("prev_high"),
+            "fall": F.col("prev_low") - F.col("low"),
         }
     ).withColumns({"plus_dm": prevailing(up, down), "minus_dm": prevailing(down, up)})
 
 
 # The smoothed true range that the DIs are measured against is the ATR.
-SMOOTHED = {"atr_14": "tr", "smoothed_plus_dm": "plus_dm", "smoothed_minus_dm": "minus_dm"}
+SMOOTHED = {"atr_14": "tr", "mean_plus": "plus_dm", "mean_minus": "minus_dm"}
 
 
 def _smooth(bars: DataFrame, w: WindowSpec) -> DataFrame:
@@ -58,7 +58,7 @@ def _range_percent(bars: DataFrame, w: WindowSpec) -> DataFrame:
 def _direction(bars: DataFrame, w: WindowSpec) -> DataFrame:
     return bars.withColumns(
         {
-            f"{side}_di": F.try_divide(f"smoothed_{side}_dm", "atr_14") * 100
+            f"{side}_di": F.try_divide(f"mean_{side}", "atr_14") * 100
             for side in ("plus", "minus")
         }
     )

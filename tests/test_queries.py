@@ -49,6 +49,14 @@ def test_query(spark, duck, few_days, name):
     assert same, note
 
 
+@pytest.mark.parametrize("name, scans", [("adjusted_ohlc", 4), ("adjusted_back", 4), ("adjusted_regime", 4)])
+def test_tables_are_read_no_more_than_needed(spark, name, scans):
+    """Bars twice, to find the steps of the factors and to adjust them, and each table of events once."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scans
+    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_entry(spark):
     from __spark_entry__ import entry
 
