@@ -75,3 +75,12 @@ FORMS = [
 
 def personal(text):
     return [f"{kind}:{m.start()}:{m.end()}" for kind, form, fits in FORMS for m in re.finditer(form, text or "") if fits(m[0])]
+
+
+NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_~-]{8,}={0,2})")
+
+
+def secrets(text):
+    """What stands behind a telling name and has two digits and two letters."""
+    found = [m for m in NAMED.finditer(text or "") if sum("0" <= c <= "9" for c in m[1]) > 1 and sum(c.isalpha() for c in m[1]) > 1]
+    return [f"secret:{m.start(1)}:{m.end(1)}" for m in found]

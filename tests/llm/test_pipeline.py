@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barwright.llm.queries import ORACLE, PIECE_MODEL, QUERIES
-from tests.llm.plain import contamination, groups, personal
+from tests.llm.plain import contamination, groups, personal, secrets
 
 SF = "/root/testdata/sf0.001"
 
 
 def redacted(text):
-    spans = sorted((int(s.split(":")[1]), int(s.split(":")[2]), s.split(":")[0]) for s in personal(text))
+    spans = sorted((int(s.split(":")[1]), int(s.split(":")[2]), s.split(":")[0]) for s in personal(text) + secrets(text))
     out, at = [], 0
     for start, end, kind in spans:
         if start >= at:
@@ -27,7 +27,7 @@ def redacted(text):
 
 def test_the_pipeline_equals_plain_python(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "123 456", "en", "s", 7), (9003, "Ein Wort", None, None, 8), (9004, "mail me@home.org now", "en", "s", 20)], docs.schema)
+    odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "123 456", "en", "s", 7), (9003, "Ein Wort", None, None, 8), (9004, "mail me@home.org now", "en", "s", 20), (9005, "its password=3da3a2c0ff18 is", "en", "s", 27)], docs.schema)
     docs.union(odd).write.parquet(str(tmp_path / "documents.parquet"))
     shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
