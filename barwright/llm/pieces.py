@@ -299,8 +299,8 @@ def digest_documents(docs: DataFrame, model: str, *, with_ids: bool = False) ->
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if asked for: both directions in
     one pass, for whole corpora.
 
-    Rows are treated as by :func:`encode_documents`. Decoding goes word by word, as words share no
-    run of bytes.
+    Rows are treated as by :func:`encode_documents`, and ``doc_id`` is a long. Decoding goes word by word,
+    as words share no run of bytes.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, *, seed: int = 1) -> DataFrame:
 
     ``key`` is the weight with Gumbel noise that only depends on the row's id, its text and
     ``seed``: rows that repeat both have one key. A text without grams has weight 0, as likely in
-    the target as in the raw texts. Other columns are left out.
+    the target as in the raw texts. ``doc_id`` is a long. Texts of any length count in full, an empty
+    table gives an empty result, and other columns are left out.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

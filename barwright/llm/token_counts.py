@@ -44,7 +44,7 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, *, rule: str = "firs
     A token in no section counts as outside. ``n_crossing`` are the tokens that reach beyond the
     section they count for; with the tokens outside, all sections' sums are ``n_tokens``. A null or
     empty text has no tokens; null sections are none. Repeated rows and null doc_ids stay, other
-    columns are left out.
+    columns are left out; an empty table gives an empty result. ``doc_id`` is a long.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
