@@ -100,3 +100,19 @@ def test_the_language_stage_keeps_columns_of_any_name(spark):
     kept = corpus_pipeline.keep_languages(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(((*r, 2) for r in rows[:3]), key=str)
+
+
+@pytest.mark.parametrize("name, left", [("language", 3), ("near_duplicates", 4), ("contamination", 6), ("personal_data", 6), ("pieces", 6)])
+def test_stages_define_what_odd_rows_become(spark, name, left):
+    """A row that is repeated, one of nulls that is repeated, an empty text and a very long one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", F.lit("given").alias("source"))
+    rows = [(9001, "Eine Zeile mit Wort und Sinn"), (None, None), (9002, ""), (9003, "wort " * 60_000)]
+    odd = spark.createDataFrame([rows[0], *rows, rows[1]], "doc_id long, text string").selectExpr("*", "CAST(NULL AS string) AS lang", "'odd' AS source")
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs.unionByName(odd), SF)
+    if name == "pieces":
+        counts = {r["doc_id"]: r["n_tokens"] for r in got.filter("doc_id is null or doc_id > 9000").collect()}
+        assert counts[None] == counts[9002] == 0 and counts[9003] >= 60_000
+        assert got.filter("doc_id is null or doc_id > 9000").count() == left
+    else:
+        kept = got.filter("source = 'odd'").select("doc_id", "text").collect()
+        assert len(kept) == left and {tuple(r) for r in kept} <= set(rows)
