@@ -9,13 +9,14 @@ from barwright.sinks.files import (
     write_formats,
 )
 from barwright.sinks.jdbc import write_jdbc
-from barwright.sinks.landing import envelopes, land_envelopes
+from barwright.sinks.landing import envelopes, land_envelopes, land_texts
 
 __all__ = [
     "append_new",
     "drop_partitions",
     "envelopes",
     "land_envelopes",
+    "land_texts",
     "merge_partitions",
     "overwrite_partitions",
     "overwrite_table",

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from barwright.functions.dates import market_zone
 from barwright.schemas import ENDPOINT_RESULTS, PROVIDER
-from barwright.sources.landing import LINES
+from barwright.sources.landing import LINES, landing_path
+
+#: Landed text repeats its field names in every document, so it is written as gzip. A compressed file is read by
+#: one task: so many documents of a line each, or indented ones, which are read a file at a time, go to a file.
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+FILE_LINES = 500_000
+FILE_DOCUMENTS = 200
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -60,4 +66,14 @@ def land_envelopes(envelopes: DataFrame, base: str, endpoint: str) -> None:
     """
     name, _, value = LINES.partition("=")
     dated = envelopes.withColumns({"ingestion_date": F.col("execution_date"), name: F.lit(value)})
-    dated.write.mode("append").partitionBy("ingestion_date", name).json(f"{base}/{endpoint}")
+    writer = dated.write.mode("append").partitionBy("ingestion_date", name)
+    writer.options(**COMPRESSED).option("maxRecordsPerFile", FILE_LINES).json(f"{base}/{endpoint}")
+
+
+def land_texts(documents: DataFrame, base: str, endpoint: str, execution_date: str, *, lines: bool) -> None:
+    """Write the column ``value``, a document of one endpoint and run date in each row, as files that
+    :func:`barwright.sources.read_landing` takes: ``lines`` if each document is a single line."""
+    path = landing_path(base, endpoint, execution_date)
+    writer = documents.select("value").write.options(**COMPRESSED)
+    writer = writer.option("maxRecordsPerFile", FILE_LINES if lines else FILE_DOCUMENTS)
+    writer.text(f"{path}/{LINES}" if lines else path)

@@ -1,5 +1,6 @@
 """Landed documents to typed tables."""
 
+import gzip
 import json
 from datetime import date, datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barwright import schemas
 from barwright.operators import curate
+from barwright.sinks import landing
 from barwright.sources import landing_path, read_landing, read_stock_documents
 
 RUN = "2024-01-02"
@@ -117,3 +119,30 @@ def test_stocks(spark, tmp_path, ansi):
         ("0700", 0.0, 9.0, 1.0, 1.0, None, None, date(2024, 1, 2), None),
         ("BAD", None, 9.0, 1.0, 1.0, 7, None, date(2024, 1, 2), None),
     }
+
+
+def test_landed_lines_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "FILE_LINES", 200)
+    rows = spark.range(1000, numPartitions=2).selectExpr(
+        "concat('S', id % 7) AS symbol", "string(id) AS id", "'2020-08-31' AS execution_date", "1D AS split_from", "double(id) AS split_to"
+    )
+    for _ in range(2):
+        landing.land_envelopes(landing.envelopes(rows, "splits", RUN), str(tmp_path), "splits")
+    files = list((tmp_path / "splits").rglob("part-*"))
+    assert {f.suffix for f in files} == {".gz"}
+    assert all(len(gzip.decompress(f.read_bytes()).splitlines()) <= 200 for f in files) and len(files) == 12
+    assert sum(f.stat().st_size for f in files) < 2000 * 30
+    splits = curate.curate_splits(read_landing(spark, str(tmp_path), "splits", RUN))
+    assert sorted(int(r.split_ratio) for r in splits.collect()) == sorted([*range(1000)] * 2)
+
+
+def test_indented_documents_fill_no_file_without_bound(spark, tmp_path, monkeypatch):
+    """A file of them is read as a whole."""
+    monkeypatch.setattr(landing, "FILE_DOCUMENTS", 3)
+    texts = spark.range(10, numPartitions=1).select(
+        F.to_json(F.struct(F.col("id").cast("string").alias("symbol")), {"pretty": "true"}).alias("value")
+    )
+    landing.land_texts(texts, str(tmp_path), "splits", RUN, lines=False)
+    files = list((tmp_path / "splits").rglob("part-*"))
+    assert sorted(gzip.decompress(f.read_bytes()).count(b"symbol") for f in files) == [1, 3, 3, 3]
+    assert sorted(int(r.symbol) for r in read_landing(spark, str(tmp_path), "splits", RUN).collect()) == [*range(10)]
