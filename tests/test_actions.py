@@ -85,6 +85,13 @@ def test_day_without_bar_has_no_effect_and_is_reported(spark):
     assert [r.dividend_id for r in lost] == ["d"]
 
 
+def test_unmatched_events_take_one_join(spark):
+    bars, splits, _ = frames(spark, [*MARCH, *MARCH], [("A", "s", date(2024, 3, 1), 5.0), (None, "t", None, 2.0), ("A", "u", date(2024, 3, 1), 5.0)], [])
+    lost = actions.unmatched_events(bars, splits, "execution_date")
+    assert sorted(r.split_id for r in lost.collect()) == ["s", "t", "u"]
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_zero_close_and_odd_amounts(spark, ansi):
     bars = [bar("A", date(2024, 3, 8), 0.0), bar("A", date(2024, 3, 7), 10.0)]
     dividends = [
