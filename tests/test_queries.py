@@ -57,6 +57,13 @@ def test_tables_are_read_no_more_than_needed(spark, name, scans):
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["adjusted_changes", "regime_restated"])
+def test_bars_are_derived_once(spark, name):
+    """What compares two adjustments of the same bars reads them as they were first derived."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan
+
+
 def test_entry(spark):
     from __spark_entry__ import entry
 
