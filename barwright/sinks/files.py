@@ -5,6 +5,7 @@ and not one per task. The gathering is a rebalance: a day that outgrows the advi
 size is split over several tasks instead of landing in one.
 """
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from typing import NamedTuple
 
@@ -29,9 +30,11 @@ class _Counted:
     a task that ran twice before that stage counts once.
     """
 
-    def __init__(self, df: DataFrame, mode: str, partition_by: Sequence[str]):
+    def __init__(self, df: DataFrame, mode: str, partition_by: Sequence[str], tasks: int | None = None):
         self._seen = Observation()
-        if partition_by:
+        if tasks:
+            df = df.repartition(tasks, *[F.col(name) for name in partition_by])
+        elif partition_by:
             df = df.hint("rebalance", *[F.col(name) for name in partition_by])
         self.writer = df.observe(self._seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
         if partition_by:
@@ -42,8 +45,21 @@ class _Counted:
         return self._seen.get.get("rows", 0)
 
 
+#: What a task writes of a table of many small partitions, and the rows of one that is not small.
+TASK_FOLDERS = 100
+FOLDER_ROWS = 100_000
+
+
 def _writer(df: DataFrame, mode: str, partition_by: Sequence[str]) -> DataFrameWriter:
-    return _Counted(df, mode, partition_by).writer
+    """Of a stored table. A rebalance puts as many partitions into a task as have its bytes together, which
+    is all of them where a folder holds a few rows: these are dealt out by their number."""
+    tasks = None
+    if partition_by:
+        sizes = df.groupBy(*partition_by).agg(F.count("*").alias("rows"))
+        folders, most = sizes.agg(F.count("*"), F.max("rows")).first()
+        if folders > TASK_FOLDERS and most <= FOLDER_ROWS:
+            tasks = math.ceil(folders / TASK_FOLDERS)
+    return _Counted(df, mode, partition_by, tasks).writer
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> int:

@@ -178,3 +178,12 @@ def test_jdbc_call(spark):
         mode="overwrite",
         properties={"numPartitions": "16", "batchsize": "5", "user": "u"},
     )
+
+
+def test_many_small_partitions_are_dealt_out_over_tasks(spark, tmp_path):
+    """Their bytes fit a task many times over, but a task would make all the folders."""
+    rows = spark.range(450).select(F.concat(F.lit("S"), "id").alias("symbol"), F.lit(D1).alias("day"), F.col("id").cast("double").alias("close"))
+    write_formats(rows, {"parquet": Target(str(tmp_path / "p"), ["day", "symbol"])})
+    files = list((tmp_path / "p").glob("day=*/symbol=*/*.parquet"))
+    assert len(files) == 450 and len({f.name.split("-")[1] for f in files}) > 1
+    assert read_table(spark, str(tmp_path / "p"), SCHEMA).count() == 450
