@@ -22,6 +22,7 @@ from barwright.operators.actions import (
     factor_steps,
     factor_table,
     latest_events,
+    new_versions,
     unmatched_events,
     with_factors,
 )
@@ -29,7 +30,7 @@ from barwright.operators.carried import beyond_state, last_bars, next_state, reg
 from barwright.operators.regime import detect_regimes, on_adjusted_prices, regime_updates
 from barwright.scratch import last_change, stored
 from barwright.sinks import (
-    append_new,
+    append_rows,
     drop_partitions,
     land_envelopes,
     merge_partitions,
@@ -54,6 +55,10 @@ from barwright.sources import (
 )
 
 
+#: A batch of so many events is sent to every executor.
+FEW_EVENTS = 10_000
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where the layers live below one base path. The folder names are fixed values."""
@@ -146,15 +151,16 @@ def append_events(
     """Append events that differ from the latest version held; readers take the latest per id. Returns
     how many these are.
 
-    Of the held table only what has an id of the batch is looked at.
+    Of the held table only what has an id of the batch is looked at, while the batch is small enough to be
+    sent to every executor; with a large one the whole table is compared, each row shuffled once.
     """
-    content = [name for name in schema.names if name != "ingestion_timestamp"]
-    batch = latest_events(events, id_column).select(schema.names)
+    extra = [name for name in events.columns if name not in schema.names]
+    batch = (latest_events(events, id_column) if extra else events).select(schema.names)
     held = read_or_empty(batch.sparkSession, path, schema)
-    ids = batch.select("symbol", id_column).distinct()
-    same_id = [held[c].eqNullSafe(ids[c]) for c in ("symbol", id_column)]
-    latest = latest_events(held.join(ids, same_id, "left_semi"), id_column)
-    return append_new(batch, path, schema, content, [date_column], held=latest)
+    if batch.limit(FEW_EVENTS + 1).count() <= FEW_EVENTS:
+        ids = F.broadcast(batch.select("symbol", id_column).distinct())
+        held = held.join(ids, [held[c].eqNullSafe(ids[c]) for c in ("symbol", id_column)], "left_semi")
+    return append_rows(new_versions(batch, held, id_column), path, [date_column])
 
 
 def curate(

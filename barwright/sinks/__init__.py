@@ -1,6 +1,7 @@
 """Writers that can be run twice."""
 from barwright.sinks.files import (
     append_new,
+    append_rows,
     drop_partitions,
     merge_partitions,
     overwrite_partitions,
@@ -13,6 +14,7 @@ from barwright.sinks.landing import envelopes, land_envelopes, land_texts
 
 __all__ = [
     "append_new",
+    "append_rows",
     "drop_partitions",
     "envelopes",
     "land_envelopes",

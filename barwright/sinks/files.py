@@ -155,7 +155,12 @@ def append_new(
         held = read_or_empty(df.sparkSession, path, schema, keys)
     same = [F.col(f"new.{key}").eqNullSafe(F.col(f"held.{key}")) for key in keys]
     new = df.alias("new").join(held.alias("held"), same, "left_anti")
-    counted = _Counted(new, "append", partition_by)
+    return append_rows(new, path, partition_by)
+
+
+def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Append all rows. Returns how many these are."""
+    counted = _Counted(df, "append", partition_by)
     counted.writer.parquet(path)
     return counted.rows
 

@@ -16,8 +16,9 @@ from test_curate import drop_document
 from barwright import __main__ as cli
 from barwright import plans, schemas
 from barwright.operators.quality import IncompleteLanding
-from barwright.operators.actions import latest_events
+from barwright.operators.actions import latest_events, new_versions
 from barwright.plans import Layout
+from barwright.plans import jobs
 from barwright.plans.jobs import append_events, events_without_bar
 from barwright.sinks import envelopes
 from barwright.sinks.files import Target
@@ -199,6 +200,23 @@ def test_a_bad_stock_document_leaves_the_old_table(spark, tmp_path):
     assert [(r.symbol, r.record_date) for r in left] == [("IBM", date(2023, 12, 29))]
 
 
+@pytest.mark.parametrize("ratios", [(2, 4, 2), (2, 2, 4), (None, 2, None)])
+def test_a_large_batch_gives_the_same_versions(spark, tmp_path, ratios, monkeypatch):
+    """The whole table is compared when a batch is too large to be sent around."""
+    monkeypatch.setattr(jobs, "FEW_EVENTS", 0)
+    test_the_last_version_of_an_event_wins(spark, tmp_path, ratios)
+
+
+def test_each_version_of_an_event_is_shuffled_once(spark):
+    day = date(2024, 1, 1)
+    nameless = [("A", None, day, 1.0, 2.0, 2.0, datetime(2024, 2, 1)), (None, None, None, None, None, None, None)]
+    held = spark.createDataFrame([("A", "s", day, 1.0, 2.0, 2.0, datetime(2024, 2, 1)), *nameless], schemas.SPLITS)
+    rows = [("A", "s", day, 1.0, 2.0, 2.0, datetime(2024, 3, 1)), ("A", None, day, 1.0, 3.0, 3.0, datetime(2024, 3, 1)), *nameless]
+    new = new_versions(spark.createDataFrame([*rows, *rows], schemas.SPLITS), held, "split_id")
+    assert [tuple(r) for r in new.collect()] == [rows[1]]
+    assert new._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
 @pytest.mark.parametrize("ratios", [(2, 4, 2), (2, 2, 4), (None, 2, None)])
 def test_the_last_version_of_an_event_wins(spark, tmp_path, ratios):
     path = str(tmp_path / "splits")
